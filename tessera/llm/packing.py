@@ -20,8 +20,10 @@ gives no pieces; other columns are not carried.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from zlib import crc32
@@ -37,28 +39,87 @@ from .common import table, written
 
 LENGTH, END_ID = 2048, 1
 _SPACES = re.compile(r"[ \t\n\r\f\v]+")
+#: Letters before marks that are neither letters nor digits: always two words of the tokenizer.
+_LETTERS_AND_MARKS = re.compile(r"([^\W\d_]+)([^\w\s']+)").fullmatch
+_ODD = re.compile(r"[\x1c-\x1f]")
 
 
 class Encoder:
-    """Ids of a text by a tokenizer that drops white space between words: chunks between ASCII white space are
-    encoded apart and remembered while they fit."""
+    """Ids of texts by a tokenizer that lower-cases, drops white space and then splits letters from the rest.
 
-    def __init__(self, path: str, remember: int = 200_000):
+    Chunks between ASCII white space are encoded apart and remembered while they fit. New chunks of letters, alone or
+    before marks, are encoded many at a time, and their ids are told apart by the tokens that end a word. Texts that
+    lower-casing could change otherwise (not in NFC, or with letters whose lower case depends on the place) are encoded whole.
+    """
+
+    def __init__(self, path: str, remember: int = 1_200_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.seen, self.remember = Tokenizer.from_file(path), {}, remember
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _plain(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _letters(self, chunks: list[str]) -> None:
+        """Remembers chunks; those of letters alone are encoded together."""
+        words = []
+        for c in chunks:
+            if c.isalpha():
+                words.append(c)
+            else:
+                self.seen[c] = self._plain(c)
+        for i in range(0, len(words), 2000):
+            part = words[i:i + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(part) and stops[-1] == len(ids):
+                raw, at = ids.tobytes(), 0
+                for w, to in zip(part, (stops * 4).tolist(), strict=True):
+                    self.seen[w] = raw[at:to]
+                    at = to
+            else:
+                for w in part:
+                    self.seen[w] = self._plain(w)
+
+    def batch(self, texts: list[str], step: int = 500) -> Iterator[np.ndarray]:
+        end = struct.pack("<I", END_ID)
+        for start in range(0, len(texts), step):
+            split: list[list[str] | str] = []
+            new: set[str] = set()
+            if len(self.seen) > self.remember:
+                self.seen.clear()
+            seen = self.seen
+            for text in texts[start:start + step]:
+                if not text.isascii() and ("\u03a3" in text or "\u0130" in text or not unicodedata.is_normalized("NFC", text)) or "<|" in text:
+                    split.append(text)
+                    continue
+                chunks = text.lower().split(None) if text.isascii() and not _ODD.search(text) else _SPACES.split(text.lower())
+                split.append(chunks)
+                new.update(chunks)
+            fresh = new.difference(seen)
+            cut = {c: m.groups() for c in fresh if not c.isalpha() and (m := _LETTERS_AND_MARKS(c)) and m[1].isalpha()}
+            self._letters(list({w for w, _ in cut.values()}.union(fresh.difference(cut)).difference(seen)))
+            for c, (letters, marks) in cut.items():
+                if marks not in seen:
+                    seen[marks] = self._plain(marks)
+                seen[c] = seen[letters] + seen[marks]
+            for chunks in split:
+                ids = self._plain(chunks) if isinstance(chunks, str) else b"".join(map(seen.__getitem__, chunks))
+                yield np.frombuffer(ids + end, "<u4")
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
 
-    def batch(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for text in texts:
-            chunks = _SPACES.split(text)
-            new = [c for c in dict.fromkeys(chunks) if c not in self.seen]
-            if new:
-                if len(self.seen) + len(new) > self.remember:
-                    self.seen.clear()
-                    new = list(dict.fromkeys(chunks))
-                for c, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                    self.seen[c] = np.array(e.ids, "<u4").tobytes()
-            yield np.frombuffer(b"".join(map(self.seen.__getitem__, chunks)) + struct.pack("<I", END_ID), "<u4")
+def encoder(path: str) -> Encoder:
+    """One for each Python worker: what it remembers serves the worker's next tasks too."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def default_tokenizer() -> str:
@@ -148,12 +209,12 @@ def tokenized(docs: DataFrame, tokenizer: str | None, length: int, filler_every:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(path), TaskContext.get().partitionId()
+        encode, part = encoder(path), TaskContext.get().partitionId()
         ranks: dict[tuple[int, int], int] = defaultdict(int)
         row = whole_rank = 0
         for batch in batches:
             made = []
-            for ids in encoder.batch([t or "" for t in batch.column("text").to_pylist()]):
+            for ids in encode.batch([t or "" for t in batch.column("text").to_pylist()]):
                 whole, rest = divmod(len(ids), length)
                 tail = ids[whole * length:].tobytes()
                 filler = int(crc32(struct.pack("<qq", part, row)) % filler_every == 0 and rest > 0)
