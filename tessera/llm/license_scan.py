@@ -54,7 +54,8 @@ def signature_rules() -> list[Rule]:
             if short:
                 out.append(("spdx", f"spdx license identifier {short}{said.replace('version ', '')}", full, 1.0))
                 if suffix:
-                    out.append((short.split()[0], f"{short}{said}", full, 0.7))
+                    # three letters are part of too many words to gate a text alone
+                    out.append((short if len(short) > 3 or short == "gpl" else "licen", f"{short}{said}", full, 0.7))
 
     def numbers(*values: str) -> dict[str, str]:
         return {v: f"(?:version |v)?{v.replace('.', ' ')}(?: 0)?(?: or later| or any later version| only)?" for v in values} | {"": ""}

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 SPACE = r"[\x20\x09-\x0D]+"
-SYMBOLS = "[^#*$%&|<>]"
+SYMBOLS = "[^#*$%&|<>]+"
 WINDOW = 8
 
 
@@ -46,15 +46,18 @@ def with_counts(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.filter(F.split(text, SPACE), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
-    stepped = docs.withColumn("_words", words).withColumn("_hashes", F.when(F.size("_words") > WINDOW, F.array_sort(F.transform(
-        F.sequence(F.lit(0), F.size("_words") - WINDOW), lambda i: F.struct(F.xxhash64(F.slice("_words", i + 1, F.lit(WINDOW))).alias("h"), i.alias("i"))))))
+    hashes = F.transform(F.sequence(F.lit(0), F.size("_words") - WINDOW), lambda i: F.xxhash64(F.slice("_words", i + 1, F.lit(WINDOW))))
+    # most texts repeat no window: only the others are sorted
+    sorted_ = F.array_sort(F.transform("_all", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    stepped = (docs.withColumn("_words", words).withColumn("_all", F.when(F.size("_words") > WINDOW, hashes))
+               .withColumn("_hashes", F.when(F.size(F.array_distinct("_all")) < F.size("_all"), sorted_)))
     return stepped.withColumns({
         "n_words": F.size("_words").cast("long"),
-        "word_chars": F.length(F.regexp_replace(text, SPACE, "")).cast("long"),
+        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
         "n_symbols": F.length(F.regexp_replace(text, SYMBOLS, "")).cast("long"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         "n_repeat_words": F.when(F.col("_hashes").isNull(), F.lit(0).cast("long")).otherwise(_covered(F.col("_hashes"), WINDOW)),
-    }).drop("_words", "_hashes")
+    }).drop("_words", "_all", "_hashes")
 
 
 def default_rules() -> list[Rule]:
