@@ -40,7 +40,7 @@ PATTERNS = (
     ("google_key", re.compile(r"\bAIza[0-9A-Za-z_-]{35}")),
     ("jwt", re.compile(r"\beyJ[A-Za-z0-9_-]{8,2000}\.[A-Za-z0-9_-]{8,4000}\.[A-Za-z0-9_-]{8,2000}")),
     ("assigned", re.compile(r"(?i)\b(?:[a-z0-9_]{0,24}?)(?:password|passwd|pwd|secret|token|api_?-?key|access_?-?key|auth|credential)s?[\"']?\s{0,3}(?:=|:|:=|=>)\s{0,3}[\"']?([^\s\"',;<>]{6,200})")),
-    ("random_run", re.compile(r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z0-9+/_=-]{0,60}[0-9])(?=[A-Za-z0-9+/_=-]{0,60}[A-Za-z])[A-Za-z0-9+/_=-]{24,200}(?![A-Za-z0-9+/_=-])")),
+    ("random_run", re.compile(r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z0-9+/_-]{0,60}[0-9])(?=[A-Za-z0-9+/_-]{0,60}[A-Za-z])[A-Za-z0-9+/_-]{24,200}={0,2}(?![A-Za-z0-9+/_=-])")),
 )
 #: One cheap look tells whether a text can hold a candidate at all.
 GATE = re.compile(r"(?i)AKIA|ASIA|gh[pousr]_|xox[abprs]-|[sr]k[-_]|pk[-_]|AIza|eyJ|PRIVATE KEY|passw|pwd|secret|token|api_?-?key|access_?-?key|auth|credential|[a-z0-9+/_=-]{24}")
@@ -71,7 +71,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     for a, b, kind in sorted(taken, key=lambda x: (x[0], rank[x[2]])):
         if free and a < free[-1][1]:
             if rank[kind] < rank[free[-1][2]] and (kind != "random_run"):
-                free[-1] = (min(a, free[-1][0]), max(b, free[-1][1]), kind)
+                free[-1] = (a, b, kind)
             continue
         free.append((a, b, kind))
     return free
@@ -81,7 +81,7 @@ def features(value: str, before: str, after: str, kind: str) -> list[float]:
     n = len(value)
     classes = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in value]
     count, letters = Counter(value), [c for c in value.lower() if c.isalpha()]
-    low, around = value.lower(), (before[-NEAR:] + " " + after[:NEAR]).lower()
+    low = value.lower()
     covered = sum(len(m[0]) for m in _DICT.finditer(low))
     pairs = [low[i:i + 2] for i in range(n - 1)]
     assigned = bool(re.search(r"(?:=|:)\s*[\"']?$", before[-6:]))
@@ -91,7 +91,7 @@ def features(value: str, before: str, after: str, kind: str) -> list[float]:
         sum(p in _COMMON_PAIRS for p in pairs) / max(1, n - 1), covered / n, sum(c in "aeiou" for c in letters) / max(1, len(letters)),
         float(value.count("/") >= 2 or "\\" in value or "." in value), float(bool(_UUID.match(value))), float(all(c in string.hexdigits for c in value)),
         float(bool(re.search(r"(?i)x{4}|\*{3}|\.{3}|<|>|\$\{|\{\{|example|changeme|your|placeholder|dummy|redacted|12345|abcdef", value))), max(count.values()) / n,
-        float(bool(_HINT.search(around[:NEAR]))), float(bool(_HARMLESS.search(around))), float(before[-1:] in "\"'" and before[-1:] != ""), float(assigned), float([k for k, _ in PATTERNS].index(kind)),
+        float(bool(_HINT.search(before[-NEAR:].lower()))), float(bool(_HARMLESS.search(before[-24:].lower()))), float(before[-1:] in "\"'" and before[-1:] != "" and after[:1] == before[-1:]), float(assigned), float([k for k, _ in PATTERNS].index(kind)),
     ]
 
 
