@@ -52,7 +52,7 @@ class Encoder:
     lower-casing could change otherwise (not in NFC, or with letters whose lower case depends on the place) are encoded whole.
     """
 
-    def __init__(self, path: str, remember: int = 1_200_000):
+    def __init__(self, path: str, remember: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

@@ -54,7 +54,7 @@ def _bins(text: str, words: list[str]) -> list[int]:
 class Hasher:
     """Feature numbers of a text; those of a word are remembered while they fit."""
 
-    def __init__(self, bits: int = BITS, remember: int = 300_000):
+    def __init__(self, bits: int = BITS, remember: int = 150_000):
         self.mask, self.size, self.seen, self.remember = (1 << bits) - 1, (1 << bits) + DENSE, {}, remember
 
     def _word(self, w: str) -> tuple[int, ...]:
