@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import stat
+import zipfile
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,3 +48,37 @@ def duplicate_edges(df: DataFrame, key: str) -> DataFrame:
 def eligibility(encrypted: Column, blocking: Column, flags: Column, match: Column) -> Column:
     """``flags``, ``blocking``: arrays; ``match``: MATCH, MISMATCH or UNKNOWN of extension and signature."""
     return (F.when(encrypted, "AUTHORIZATION_REQUIRED").when(F.arrays_overlap(flags, blocking), "BLOCKED").when((F.size(flags) > 0) | (match != "MATCH"), "ELIGIBLE_WITH_LIMITATIONS").otherwise("ELIGIBLE"))
+
+
+def png_size(content: Column) -> Column:
+    """struct(width, height) of a PNG, null for other content."""
+    number = lambda at: F.conv(F.hex(F.substring(content, at, 4)), 16, 10).cast("long")
+    png = F.startswith(F.hex(F.substring(content, 1, 8)), F.lit("89504E470D0A1A0A")) & (F.substring(content, 13, 4) == F.lit(b"IHDR")) & (F.length(content) >= 24)
+    return F.when(png, F.struct(number(17).alias("width"), number(21).alias("height")))
+
+
+def member_flags(m: zipfile.ZipInfo, ratio: int) -> list[str]:
+    parts, name = m.filename.replace("\\", "/").split("/"), m.filename.lower()
+    found = {"UNSAFE_PATH": ".." in parts or parts[0] == "" or ":" in parts[0], "SYMLINK": stat.S_ISLNK(m.external_attr >> 16), "ENCRYPTED": bool(m.flag_bits & 1),
+             "HIGH_RATIO": m.file_size > ratio * max(m.compress_size, 1), "MACRO": name.endswith("vbaproject.bin"), "EMBEDDING": "/embeddings/" in f"/{name}"}
+    return [k for k, v in found.items() if v]
+
+
+def archive_members(files: DataFrame, ratio: int = 100) -> DataFrame:
+    """source, member, size, compressed, flags of each member of ZIP files (source, content).
+
+    Only the directory is read, nothing is unpacked. A broken archive (or null content) gives one row without a member, flagged INVALID_ARCHIVE.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for source, content in zip(batch.column("source").to_pylist(), batch.column("content")):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content.as_py() or b"")) as z:
+                        rows = [(source, m.filename, m.file_size, m.compress_size, member_flags(m, ratio)) for m in z.infolist()]
+                except (zipfile.BadZipFile, ValueError, NotImplementedError):
+                    rows = [(source, None, None, None, ["INVALID_ARCHIVE"])]
+                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x)) for x in rows], schema=schema)
+
+    schema = pa.schema([("source", pa.string()), ("member", pa.string()), ("size", pa.int64()), ("compressed", pa.int64()), ("flags", pa.list_(pa.string()))])
+    return files.select("source", "content").mapInArrow(run, "source string, member string, size long, compressed long, flags array<string>")

@@ -202,3 +202,13 @@ def missing_roles(required: DataFrame, records: DataFrame) -> DataFrame:
 
 def with_group_total(records: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     return records.withColumn(out, F.sum(value).over(Window.partitionBy(*keys)))
+
+
+def bridged(left: DataFrame, right: DataFrame, bridge: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """left_id, right_id, n_bridges of records that the rows of ``bridge`` (left_key, right_key) connect.
+
+    Bridge rows are counted before the joins, so a hot key meets once in each; rows with a null key connect nothing.
+    """
+    ways = bridge.where(F.col(left_key).isNotNull() & F.col(right_key).isNotNull()).groupBy(left_key, right_key).agg(F.count(F.lit(1)).alias("n_bridges"))
+    l, r = left.select(left_key, F.col("record_id").alias("left_id")), right.select(right_key, F.col("record_id").alias("right_id"))
+    return ways.join(l, left_key).join(r, right_key).select("left_id", "right_id", "n_bridges")

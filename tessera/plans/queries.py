@@ -298,3 +298,10 @@ def set_contains(spark, sf):
     rule = R.Rule("sets", (R.Component("tags", "l", "r", "SET_CONTAINS"),))
     rows = table(spark, sf, "orders").withColumns({"l": F.array(*map(F.lit, ("1-URGENT", "O", "F"))), "r": F.array(F.lit("1-URGENT"), F.col("o_orderstatus"))})
     return rows.select("o_orderkey", (R.compared(rule.components[0], rule, F.col("l"), F.col("r"))["status"] == "EXACT_MATCH").alias("contained"))
+
+
+@query("SELECT 'PO-' || o_orderkey AS left_id, 'S-' || s_suppkey AS right_id, count(*) AS n_bridges FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2")
+def bridge_links(spark, sf):
+    left = table(spark, sf, "orders").select(F.col("o_orderkey").alias("order"), F.concat(F.lit("PO-"), "o_orderkey").alias("record_id"))
+    right = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("party"), F.concat(F.lit("S-"), "s_suppkey").alias("record_id"))
+    return R.bridged(left, right, table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("order"), F.col("l_suppkey").alias("party")), "order", "party")
