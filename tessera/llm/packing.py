@@ -112,14 +112,15 @@ class Encoder:
                 yield np.frombuffer(ids + end, "<u4")
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remember: int) -> Encoder:
     """One for each Python worker: what it remembers serves the worker's next tasks too."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, remember) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path, remember] = Encoder(path, remember)
+    return _ENCODERS[path, remember]
 
 
 def default_tokenizer() -> str:
@@ -203,13 +204,13 @@ def plan(rests: dict[int, int], fillers: dict[int, int], length: int = LENGTH) -
     return runs, sequences
 
 
-def tokenized(docs: DataFrame, tokenizer: str | None, length: int, filler_every: int) -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer: str | None, length: int, filler_every: int, remember: int) -> DataFrame:
     """Narrow rows: part, row_id, doc_id, doc_tokens, whole (crc of each whole stretch), whole_rank, filler, rest, rest_rank, rest_crc, ids."""
     path = tokenizer or default_tokenizer()
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = encoder(path), TaskContext.get().partitionId()
+        encode, part = encoder(path, remember), TaskContext.get().partitionId()
         ranks: dict[tuple[int, int], int] = defaultdict(int)
         row = whole_rank = 0
         for batch in batches:
@@ -229,9 +230,12 @@ def tokenized(docs: DataFrame, tokenizer: str | None, length: int, filler_every:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, part int, row_id long, doc_tokens long, whole array<long>, whole_rank long, filler int, rest int, rest_rank long, rest_crc long, ids binary")
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, filler_every: int = 8) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, row_id (string) of each piece."""
-    rows = written(tokenized(docs, tokenizer, length, filler_every), "tokens")
+def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, filler_every: int = 8, remember: int = 600_000) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, row_id (string) of each piece.
+
+    ``remember``: chunks whose ids a worker keeps, about 200 bytes each; results are the same for any number.
+    """
+    rows = written(tokenized(docs, tokenizer, length, filler_every, remember), "tokens")
     counts = written(rows.groupBy("part", "filler", "rest").agg(F.count(F.lit(1)).alias("n")), "lengths")
     before = Window.partitionBy("filler", "rest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
@@ -283,4 +287,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, fi
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents"), remember=1_200_000)
