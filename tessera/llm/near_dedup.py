@@ -9,8 +9,8 @@ Jaccard similarity of its shingle sets. Classes are the connected components of
 
 At scale: exact copies are one node (the text's 128-bit hash). Each node is first compared with the least of the heads
 (first nodes) of its bands' buckets, which joins most members of a large group. Only buckets whose members are in several
-components go on. One of more than ``block`` members is cut by further bands into buckets of two bands, three and so on,
-in which similar texts still meet. In a block, all pairs from different components whose registers (a byte each) agree in
+components go on. One of more than ``block`` is dealt into groups by hash, and each pair of groups is a tile with a task of
+its own, so that all its pairs are compared. In a block or tile, all pairs from different components whose registers (a byte each) agree in
 ``estimate`` of them are verified in memory, the nearest first; those that pass join their components there, so that a block of k
 texts emits k - 1 links at most and no candidate pair, and none between two components stays unverified. 32 bands of
 7 registers find a pair of similarity 0.8 with probability 0.999, one of 0.5 with 0.2. Components are found by
@@ -191,17 +191,18 @@ def components(edges: DataFrame) -> DataFrame:
 def block_links(members: DataFrame, similarity: float, estimate: float) -> DataFrame:
     """Verified pairs (a, b) that join the components of each bucket: a forest over them, never all pairs.
 
-    ``members``: bucket, node, label, registers, s. A bucket's members and the positions of its near pairs are in memory.
+    ``members``: bucket, node, label, side, registers, s; members of one side are not compared, but those of side 0. A bucket's members and the positions of its near pairs are in memory.
     """
 
-    def block(nodes: list[bytes], labels: list[bytes], registers: list[bytes], sets: list[np.ndarray]) -> Iterator[tuple[bytes, bytes]]:
+    def block(nodes: list[bytes], labels: list[bytes], sides: list[int], registers: list[bytes], sets: list[np.ndarray]) -> Iterator[tuple[bytes, bytes]]:
         if len(set(labels)) < 2:
             return
         label = np.unique(np.array(labels, dtype="V16"), return_inverse=True)[1]
+        side = np.array(sides)
         g, size = np.frombuffer(b"".join(registers), np.uint8).reshape(len(nodes), -1), np.array([len(x) for x in sets])
         least, near = estimate * g.shape[1], []
         for i in range(len(nodes) - 1):
-            other = i + 1 + np.flatnonzero(label[i + 1:] != label[i])
+            other = i + 1 + np.flatnonzero((label[i + 1:] != label[i]) & ((side[i + 1:] != side[i]) | (side[i] == 0)))
             other = other[np.minimum(size[other], size[i]) >= similarity * np.maximum(size[other], size[i])]
             same = (g[other] == g[i]).sum(axis=1)
             kept = same >= least
@@ -216,18 +217,18 @@ def block_links(members: DataFrame, similarity: float, estimate: float) -> DataF
                     yield nodes[i], nodes[j]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def buckets() -> Iterator[tuple[list, list, list, list]]:
-            at, held = None, ([], [], [], [])
+        def buckets() -> Iterator[tuple[list, list, list, list, list]]:
+            at, held = None, ([], [], [], [], [])
             for batch in batches:
                 keys, s = batch.column("bucket").to_numpy(), batch.column("s")
                 ends, flat = s.offsets.to_numpy(), s.values.to_numpy()
-                columns = [*(batch.column(c).to_pylist() for c in ("node", "label", "registers")), [flat[x:y].copy() for x, y in zip(ends, ends[1:])]]
+                columns = [*(batch.column(c).to_pylist() for c in ("node", "label", "side", "registers")), [flat[x:y].copy() for x, y in zip(ends, ends[1:])]]
                 cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
                 for x, y in zip(cuts, cuts[1:]):
                     if y > x:
                         if keys[x] != at:
                             yield held
-                            at, held = keys[x], ([], [], [], [])
+                            at, held = keys[x], ([], [], [], [], [])
                         for own, new in zip(held, columns):
                             own.extend(new[x:y])
             yield held
@@ -237,7 +238,7 @@ def block_links(members: DataFrame, similarity: float, estimate: float) -> DataF
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
-    rows = members.select("bucket", "node", "label", "registers", "s").repartition("bucket").sortWithinPartitions("bucket")
+    rows = members.select("bucket", "node", "label", "side", "registers", "s").repartition("bucket").sortWithinPartitions("bucket")
     return rows.mapInArrow(run, "a binary, b binary").distinct()
 
 
@@ -245,13 +246,13 @@ def classes(docs: DataFrame, similarity: float = 0.8, width: int = 5, bands: int
     """doc_id, node (hash of the text), class_id (least doc_id), class_node (the least node among those of class_id), class_size.
 
     ``block``: most shingles of the texts of a bucket that is compared in memory, where each text counts 1000 more (eight
-    texts or fewer always are).
+    texts or fewer always are); a larger one is compared in tiles of about that size.
     """
     sketches = written(sketched(docs, width, bands, rows), "sketches")
     nodes = written(sketches.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.first("registers").alias("registers"), F.first("size").alias("size")), "nodes")
     members = nodes.select("node", F.explode("bands").alias("bucket"))
     heads = members.groupBy("bucket").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket", "head")
-    shared = written(members.join(heads, "bucket").withColumn("last", F.col("bucket")), "buckets")
+    shared = written(members.join(heads, "bucket"), "buckets")
     sets = written(shingle_sets(docs, nodes.select("node", "doc_id").join(shared.select("node").distinct(), "node", "left_semi"), width), "shingles")
     # one comparison for each node first: with the least of its heads; most members of a large group meet here
     first = shared.where("node <> head").groupBy("node").agg(F.min("head").alias("head")).select(F.col("head").alias("a"), F.col("node").alias("b"))
@@ -261,19 +262,18 @@ def classes(docs: DataFrame, similarity: float = 0.8, width: int = 5, bands: int
     known = nodes.select("node", F.col("size").cast("long").alias("size"))
 
     def mixed(members: DataFrame) -> DataFrame:
-        """bucket, node, last, label of the buckets whose members are in several components, with their weight k."""
-        named = members.join(labels, "node", "left").join(known, "node").select("bucket", "node", "last", "size", F.coalesce("label", "node").alias("label"))
+        """bucket, node, label of the buckets whose members are in several components, with their weight k."""
+        named = members.join(labels, "node", "left").join(known, "node").select("bucket", "node", "size", F.coalesce("label", "node").alias("label"))
         several = named.groupBy("bucket").agg(F.when(F.count(F.lit(1)) > 8, F.sum(F.col("size") + 1000)).otherwise(0).alias("k"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket", "k")
         return named.drop("size").join(several, "bucket")
 
-    # buckets of more than a block are cut by the bands that come after their last one
+    # a bucket of more than a block is dealt into groups of half a block; each pair of groups, and each with itself, is a tile
     found = written(mixed(shared), "mixed")
-    blocks = found.where(F.col("k") <= block)
-    while not (large := found.where(F.col("k") > block)).isEmpty():
-        cut = (large.join(nodes.select("node", "bands"), "node").select("node", "bucket", F.explode(F.filter("bands", lambda b: b > F.col("last"))).alias("last"))
-               .select(F.col("bucket").bitwiseXOR(F.col("last")).alias("bucket"), "node", "last"))
-        found = written(mixed(cut), "mixed")
-        blocks = blocks.unionByName(found.where(F.col("k") <= block))
+    blocks = found.where(F.col("k") <= block).select("bucket", "node", "label", F.lit(0).alias("side"))
+    dealt = found.where(F.col("k") > block).withColumn("groups", F.ceil(2 * F.col("k") / block)).withColumn("own", F.pmod(F.xxhash64("node", "bucket"), "groups"))
+    tiles = (dealt.select("bucket", "node", "label", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("other"))
+             .select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "node", "label", F.signum(F.col("own") - F.col("other")).cast("int").alias("side")))
+    blocks = blocks.unionByName(tiles)
     more = written(block_links(blocks.join(nodes.select("node", "registers"), "node").join(sets, "node"), similarity, estimate), "links")
     if not more.isEmpty():
         labels = written(components(links.unionByName(more)), "labels")

@@ -115,6 +115,26 @@ def test_near_duplicates(docs):
     assert kept.columns == docs.columns and kept.count() == 6
 
 
+def class_sets(rows):
+    got = collections.defaultdict(set)
+    for r in rows:
+        got[r.class_id].add(r.doc_id)
+    return sorted(map(sorted, got.values()))
+
+
+def test_near_duplicates_of_full_buckets(spark):
+    r = np.random.default_rng(5)
+    rows = []
+    for i in range(40):
+        # templates 0.7 alike and a near copy of each
+        own = [f"own{i}w{k}" for k in range(40)]
+        words = [f"t{k}" for k in range(200)] + own
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:-int(r.integers(10, 20))]))]
+    pages = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    whole, tiled = (class_sets(N.classes(pages, bands=2, rows=1, block=block).collect()) for block in (3_000_000, 5_000))
+    assert tiled == whole and sum(len(x) == 2 for x in whole) > 10
+
+
 def test_signatures_estimate():
     r = np.random.default_rng(1)
     e = r.integers(0, 2**63, 300).astype(np.uint64)
