@@ -1,19 +1,19 @@
 """Near-duplicate classes by ProbMinHash.
 
-A text is the weighted set of its shingles of ``width`` words (letters, digits, non-ASCII; A-Z lower-cased; a shorter text is
-one shingle), weight 1 + ln(times). For each shingle arrivals of a Poisson process with its weight as rate are drawn
+A text is the set of its shingles of ``width`` words (letters, digits, non-ASCII; A-Z lower-cased; a shorter text is
+one shingle), each of weight 1, as in the verification. For each shingle arrivals of a Poisson process with its weight as rate are drawn
 from its hash; each arrival goes to a random register, which keeps the earliest one, and a shingle stops as soon as its
-next arrival is later than every register. Two texts agree in a register with their probability Jaccard similarity.
+next arrival is later than every register. Two texts agree in a register with their probability Jaccard similarity, which is that of the sets where weights are 1.
 Registers are cut into bands; texts that share a band are candidates, and a candidate pair is verified by the exact
 Jaccard similarity of its shingle sets. Classes are the connected components of verified pairs and exact copies.
 
 At scale: exact copies are one node (the text's 128-bit hash). Each node is first compared with the least of the heads
 (first nodes) of its bands' buckets, which joins most members of a large group. Only buckets whose members are in several
 components go on. One of more than ``block`` is dealt into groups by hash, and each pair of groups is a tile with a task of
-its own, so that all its pairs are compared. In a block or tile, all pairs from different components whose registers (a byte each) agree in
-``estimate`` of them are verified in memory, the nearest first; those that pass join their components there, so that a block of k
-texts emits k - 1 links at most and no candidate pair, and none between two components stays unverified. 32 bands of
-7 registers find a pair of similarity 0.8 with probability 0.999, one of 0.5 with 0.2. Components are found by
+its own, so that all its pairs are compared. In a block or tile, all pairs from different components are verified in memory by
+exact counts of common shingles; those that pass join their components there, so that a block of k texts emits k - 1 links at
+most and no candidate pair, and none between two components stays unverified. 32 bands of 7 registers, cut from 112 in two
+ways, find a pair of similarity 0.8 with probability 0.9988 (measured), one of 0.5 with 0.2. Components are found by
 alternating large and small stars, each step from a checkpoint. Hot buckets and hubs only meet in joins that can be split, or
 in sums that are pre-aggregated; nothing that grows with the corpus goes to the driver.
 
@@ -90,13 +90,13 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], registers: int) -> np.
 
 
 def weighted(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    e, n = np.unique(shingles, return_counts=True)
-    return e, 1 + np.log(n)
+    e = np.unique(shingles)
+    return e, np.ones(len(e))
 
 
-def bands_of(texts: list[str | None], shingler: Shingler, bands: int, rows: int, most: int = 400_000) -> list[tuple[np.ndarray, bytes, int]]:
-    """Band hashes (half of them in a row, half in strides) registers (a byte each) and number of different shingles of each text (none for a text without words), in chunks of about ``most`` shingles."""
-    out: list[tuple[np.ndarray, bytes, int]] = [(np.zeros(0, np.int64), b"", 0)] * len(texts)
+def bands_of(texts: list[str | None], shingler: Shingler, bands: int, rows: int, most: int = 400_000) -> list[tuple[np.ndarray, int]]:
+    """Band hashes (half of them in a row, half in strides) and number of different shingles of each text (none for a text without words), in chunks of about ``most`` shingles."""
+    out: list[tuple[np.ndarray, int]] = [(np.zeros(0, np.int64), 0)] * len(texts)
     chunk: list[tuple[int, tuple[np.ndarray, np.ndarray]]] = []
     size = 0
 
@@ -107,8 +107,8 @@ def bands_of(texts: list[str | None], shingler: Shingler, bands: int, rows: int,
         h = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(chunk), bands)).copy()
         for j in range(rows):
             h = _mix(h * U(0x9E3779B97F4A7C15) + sig[:, :, j])
-        for (i, (e, _)), x, g in zip(chunk, h.view(np.int64), (flat >> U(8)).astype(np.uint8), strict=True):
-            out[i] = x, g.tobytes(), len(e)
+        for (i, (e, _)), x in zip(chunk, h.view(np.int64), strict=True):
+            out[i] = x, len(e)
         chunk.clear()
         size = 0
 
@@ -129,7 +129,7 @@ def node_of(text: str = "text"):
 
 
 def sketched(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, node, bands, registers, size of every document."""
+    """doc_id, node, bands, size of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,9 +139,9 @@ def sketched(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
             first = {n: i for i, n in reversed(list(enumerate(nodes)))}  # copies in a batch are sketched once
             chosen = sorted(first.values())
             made = dict(zip((nodes[i] for i in chosen), bands_of([batch.column("text")[i].as_py() for i in chosen], shingler, bands, rows), strict=True))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array([made[n][0] for n in nodes], pa.list_(pa.int64())), pa.array([made[n][1] for n in nodes], pa.binary()), pa.array([made[n][2] for n in nodes], pa.int64())], names=["doc_id", "node", "bands", "registers", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array([made[n][0] for n in nodes], pa.list_(pa.int64())), pa.array([made[n][1] for n in nodes], pa.int64())], names=["doc_id", "node", "bands", "size"])
 
-    return docs.select("doc_id", node_of().alias("node"), "text").mapInArrow(run, f"doc_id {kind}, node binary, bands array<long>, registers binary, size long")
+    return docs.select("doc_id", node_of().alias("node"), "text").mapInArrow(run, f"doc_id {kind}, node binary, bands array<long>, size long")
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -188,47 +188,45 @@ def components(edges: DataFrame) -> DataFrame:
     return state.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(tops.select("node", F.col("node").alias("label")))
 
 
-def block_links(members: DataFrame, similarity: float, estimate: float) -> DataFrame:
+def block_links(members: DataFrame, similarity: float) -> DataFrame:
     """Verified pairs (a, b) that join the components of each bucket: a forest over them, never all pairs.
 
-    ``members``: bucket, node, label, side, registers, s; members of one side are not compared, but those of side 0. A bucket's members and the positions of its near pairs are in memory.
+    ``members``: bucket, node, label, side, s; members of one side are not compared, but those of side 0. A bucket's members are in memory.
     """
 
-    def block(nodes: list[bytes], labels: list[bytes], sides: list[int], registers: list[bytes], sets: list[np.ndarray]) -> Iterator[tuple[bytes, bytes]]:
+    def block(nodes: list[bytes], labels: list[bytes], sides: list[int], sets: list[np.ndarray]) -> Iterator[tuple[bytes, bytes]]:
         if len(set(labels)) < 2:
             return
         label = np.unique(np.array(labels, dtype="V16"), return_inverse=True)[1]
-        side = np.array(sides)
-        g, size = np.frombuffer(b"".join(registers), np.uint8).reshape(len(nodes), -1), np.array([len(x) for x in sets])
-        least, near = estimate * g.shape[1], []
+        side, size = np.array(sides), np.array([len(x) for x in sets])
+        known, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        ids, mark = np.split(flat.astype(np.int32), np.cumsum(size)[:-1]), np.zeros(len(known), np.int8)
         for i in range(len(nodes) - 1):
             other = i + 1 + np.flatnonzero((label[i + 1:] != label[i]) & ((side[i + 1:] != side[i]) | (side[i] == 0)))
             other = other[np.minimum(size[other], size[i]) >= similarity * np.maximum(size[other], size[i])]
-            same = (g[other] == g[i]).sum(axis=1)
-            kept = same >= least
-            near.append(np.stack((same[kept], np.full(kept.sum(), i), other[kept])).astype(np.int32))
-        same, left, right = np.concatenate(near, axis=1)
-        for at in np.argsort(-same, kind="stable"):
-            i, j = left[at], right[at]
-            if label[i] != label[j]:
-                n = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if n >= similarity * (size[i] + size[j] - n):
+            if not len(other):
+                continue
+            mark[ids[i]] = 1
+            common = np.add.reduceat(mark[np.concatenate([ids[j] for j in other])], np.cumsum(size[other]) - size[other], dtype=np.int64)
+            mark[ids[i]] = 0
+            for j in other[common >= similarity * (size[i] + size[other] - common)]:
+                if label[i] != label[j]:
                     label[label == label[j]] = label[i]
                     yield nodes[i], nodes[j]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def buckets() -> Iterator[tuple[list, list, list, list, list]]:
-            at, held = None, ([], [], [], [], [])
+        def buckets() -> Iterator[tuple[list, list, list, list]]:
+            at, held = None, ([], [], [], [])
             for batch in batches:
                 keys, s = batch.column("bucket").to_numpy(), batch.column("s")
                 ends, flat = s.offsets.to_numpy(), s.values.to_numpy()
-                columns = [*(batch.column(c).to_pylist() for c in ("node", "label", "side", "registers")), [flat[x:y].copy() for x, y in zip(ends, ends[1:])]]
+                columns = [*(batch.column(c).to_pylist() for c in ("node", "label", "side")), [flat[x:y].copy() for x, y in zip(ends, ends[1:])]]
                 cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
                 for x, y in zip(cuts, cuts[1:]):
                     if y > x:
                         if keys[x] != at:
                             yield held
-                            at, held = keys[x], ([], [], [], [], [])
+                            at, held = keys[x], ([], [], [], [])
                         for own, new in zip(held, columns):
                             own.extend(new[x:y])
             yield held
@@ -238,18 +236,18 @@ def block_links(members: DataFrame, similarity: float, estimate: float) -> DataF
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
-    rows = members.select("bucket", "node", "label", "side", "registers", "s").repartition("bucket").sortWithinPartitions("bucket")
+    rows = members.select("bucket", "node", "label", "side", "s").repartition("bucket").sortWithinPartitions("bucket")
     return rows.mapInArrow(run, "a binary, b binary").distinct()
 
 
-def classes(docs: DataFrame, similarity: float = 0.8, width: int = 5, bands: int = 32, rows: int = 7, block: int = 3_000_000, estimate: float = 0.7) -> DataFrame:
+def classes(docs: DataFrame, similarity: float = 0.8, width: int = 5, bands: int = 32, rows: int = 7, block: int = 3_000_000) -> DataFrame:
     """doc_id, node (hash of the text), class_id (least doc_id), class_node (the least node among those of class_id), class_size.
 
     ``block``: most shingles of the texts of a bucket that is compared in memory, where each text counts 1000 more (eight
     texts or fewer always are); a larger one is compared in tiles of about that size.
     """
     sketches = written(sketched(docs, width, bands, rows), "sketches")
-    nodes = written(sketches.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.first("registers").alias("registers"), F.first("size").alias("size")), "nodes")
+    nodes = written(sketches.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.first("size").alias("size")), "nodes")
     members = nodes.select("node", F.explode("bands").alias("bucket"))
     heads = members.groupBy("bucket").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket", "head")
     shared = written(members.join(heads, "bucket"), "buckets")
@@ -274,7 +272,7 @@ def classes(docs: DataFrame, similarity: float = 0.8, width: int = 5, bands: int
     tiles = (dealt.select("bucket", "node", "label", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("other"))
              .select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "node", "label", F.signum(F.col("own") - F.col("other")).cast("int").alias("side")))
     blocks = blocks.unionByName(tiles)
-    more = written(block_links(blocks.join(nodes.select("node", "registers"), "node").join(sets, "node"), similarity, estimate), "links")
+    more = written(block_links(blocks.join(sets, "node"), similarity), "links")
     if not more.isEmpty():
         labels = written(components(links.unionByName(more)), "labels")
     labelled = nodes.select("node", "doc_id", "n").join(labels, "node", "left").select("node", "doc_id", "n", F.coalesce("label", "node").alias("label"))

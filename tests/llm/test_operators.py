@@ -135,6 +135,18 @@ def test_near_duplicates_of_full_buckets(spark):
     assert tiled == whole and sum(len(x) == 2 for x in whole) > 10
 
 
+def test_near_duplicates_with_repeats(spark):
+    rows = []
+    for i in range(25):
+        # 400 shingles; the copy has a passage of 80 words 50 times more: Jaccard similarity 400/484
+        words = [f"d{i}w{k}" for k in range(404)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words + [f"d{i}p{k}" for k in range(80)] * 50))]
+    shingler = N.Shingler()
+    sets = [set(shingler(t).tolist()) for _, t in rows]
+    assert all(len(a & b) >= 0.8 * len(a | b) for a, b in zip(sets[::2], sets[1::2]))
+    assert class_sets(N.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [[2 * i, 2 * i + 1] for i in range(25)]
+
+
 def test_signatures_estimate():
     r = np.random.default_rng(1)
     e = r.integers(0, 2**63, 300).astype(np.uint64)
