@@ -47,15 +47,16 @@ def signature_rules() -> list[Rule]:
         for suffix, stated in versions.items():
             full = f"{label}-{suffix}" if suffix else label
             said = f" {stated}" if stated else ""
-            gate = "licen" if "licen" in name else keyword
-            out.append(("licen", f"{lic} under (?:the )?(?:terms of )?(?:the )?{name}{said}", full, 1.0))
+            # a gate is in every match of its rule; "bsd 3 clause" does without "licen"
+            gate = "licen" if "licen" in name and keyword != "bsd" else keyword
+            out.append((gate, f"{lic} under (?:the )?(?:terms of )?(?:the )?{name}{said}", full, 1.0))
             out.append((gate, f"(?:released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?{name}{said}", full, 0.95))
             out.append((gate, f"{name}{said}", full, 0.8))
             if short:
                 out.append(("spdx", f"spdx license identifier {short}{said.replace('version ', '')}", full, 1.0))
                 if suffix:
-                    # three letters are part of too many words to gate a text alone
-                    out.append((short if len(short) > 3 or short == "gpl" else "licen", f"{short}{said}", full, 0.7))
+                    # three letters are part of too many words, so they gate as a word of their own
+                    out.append((short if len(short) > 3 or short == "gpl" else f" {short} ", f"{short}{said}", full, 0.7))
 
     def numbers(*values: str) -> dict[str, str]:
         return {v: f"(?:version |v)?{v.replace('.', ' ')}(?: 0)?(?: or later| or any later version| only)?" for v in values} | {"": ""}
@@ -122,8 +123,11 @@ def scan_licenses(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame
     text = F.coalesce(F.col("text"), F.lit(""))
     lowered = docs.withColumn("_low", F.lower(text))
     gate = F.lit(False)
-    for k in sorted({k for k in keywords if not any(o != k and o in k for o in keywords)} - {"by"}):
+    for k in sorted({k for k in keywords if k == k.strip() and not any(o != k and o in k for o in keywords)} - {"by"}):
         gate = gate | F.contains("_low", F.lit(k))
+    alone = [k.strip() for k in keywords if k != k.strip()]
+    if alone:
+        gate = gate | F.rlike("_low", F.lit(f"(?:^|{GAP[:-1]})(?:{'|'.join(alone)})(?:{GAP[:-1]}|$)"))
     gate = gate | (F.contains("_low", F.lit("cc")) & F.contains("_low", F.lit("by")))
     # each word stands between two spaces of its own, so that places side by side do not share one
     normal = F.concat(F.lit(" "), F.regexp_replace(ascii_lower(text), GAP, "  "), F.lit(" "))

@@ -94,6 +94,13 @@ def test_licenses(docs):
     assert {x.label for x in got[7].license_detections} == {"cc-by-nc-4.0", "reserved"} and got[2].license_n_words == 0
 
 
+def test_short_license_names(spark):
+    said = {"MPL 2.0": "mpl-2.0", "Under (EPL-1.0).": "epl-1.0", "see OFL version 1.1": "ofl-1.1", "BSL 1.0": "boost-1.0", "the OSL v3.0 or later": "osl-3.0", "PSF 2": "python-2",
+            "BSD 2-Clause": "bsd-2-clause", "BSD 3-Clause": "bsd-3-clause", "bsd 4 clause": "bsd-4-clause", "a simple 2.0 example": ""}
+    rows = L.scan_licenses(spark.createDataFrame(list(said.items()), "text string, want string")).collect()
+    assert [",".join(sorted({x.label for x in r.license_detections})) for r in rows] == [r.want for r in rows]
+
+
 def test_decontamination(docs, spark):
     items = [("a", "quick brown fox jumps over the lazy dog and runs far away"), ("b", "two three"), ("c", None), ("d", "")]
     bench = spark.createDataFrame(items, "item_id string, text string")
