@@ -221,7 +221,7 @@ def block_coverage(spark, sf):
 
 @query()
 def heading_path(spark, sf):
-    turns = table(spark, sf, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("reading_order"), F.when(F.col("role") == "user", "HEADING").otherwise("PARAGRAPH").alias("block_type"), ((F.col("turn") % 3) + 1).cast("int").alias("level"), F.substring("text", 1, 20).alias("text"))
+    turns = table(spark, sf, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("reading_order"), F.when(F.col("role") == "user", "HEADING").otherwise("PARAGRAPH").alias("block_type"), ((F.col("turn") % 3) + 1).cast("int").alias("level"), "text")
     return C.heading_paths(turns).select("document_id", "reading_order", F.array_join("path", " > ").alias("path"))
 
 
