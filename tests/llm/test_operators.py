@@ -209,6 +209,21 @@ def test_secrets(docs, spark):
     assert ((score >= 0.5) == np.array([x[4] for x in rows])).mean() > 0.97
 
 
+def test_long_secrets():
+    r = np.random.default_rng(4)
+    draw = lambda n: "".join(r.choice(list("abcdefghijkABCDEFGHIJK0123456789"), n))
+    body = "\n".join(draw(64) for _ in range(200)) + "\n" + draw(10) + "=="
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----\n", "\n-----END RSA PRIVATE KEY-----"
+    headed = begin + "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n" + body + end
+    cases = {"assigned": draw(700), "random_run": "a1" + draw(700), "api_key": "sk-" + draw(700), "jwt": f"eyJ{draw(3000)}.{draw(6000)}.{draw(3000)}"}
+    for kind, value in cases.items():
+        text = ("password=" if kind == "assigned" else "see ") + value
+        assert S.candidates(text + " end of it") == [(len(text) - len(value), len(text), kind)]
+    for key in (headed, headed.replace("\n", "\\n"), begin + body, begin + body + end):
+        assert S.candidates("x " + key + "\nand so on.") == [(2, 2 + len(key), "private_key")]
+    assert S.candidates("a -----BEGIN PRIVATE KEY----- line stands first") == [(2, 29, "private_key")]
+
+
 def test_empty_tables(docs):
     none = docs.limit(0)
     for f in (N.one_of_each, P.pack, S.redact, L.scan_licenses, R.with_counts, lambda d: T.score_documents(T.with_held_out(d))):
