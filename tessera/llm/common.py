@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,10 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where the session names none (tests), a fresh local one."""
+    """The folder in spark.checkpoint.dir; where the session names none, a fresh local one in local mode (tests), else an error."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='tessera-shared-')}"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
@@ -39,6 +47,22 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_KEPT: dict[str, Any] = {}
+
+
+def worker_cache(owner: str, make: Callable[[], Any] = dict) -> Any:
+    """What a Python worker keeps from task to task for one operator, made by ``make``. Workers serve all operators in turn:
+    the call of another one frees it, so that a worker never holds what two of them remember."""
+    if owner not in _KEPT:
+        if _KEPT:
+            _KEPT.clear()
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+        _KEPT[owner] = make()
+    return _KEPT[owner]
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z alone."""
     return F.translate(c, UPPER, LOWER)

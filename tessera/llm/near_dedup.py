@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table, written
+from .common import checkpointed, table, worker_cache, written
 from .decontaminate import words_of
 
 U = np.uint64
@@ -133,7 +133,7 @@ def sketched(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(width)
+        shingler = worker_cache(f"shingles {width}", lambda: Shingler(width))
         for batch in batches:
             nodes = batch.column("node").to_pylist()
             first = {n: i for i, n in reversed(list(enumerate(nodes)))}  # copies in a batch are sketched once
@@ -148,7 +148,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """node, s: sorted distinct shingle hashes of the nodes; ``nodes``: node, doc_id of one document that has the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(width)
+        shingler = worker_cache(f"shingles {width}", lambda: Shingler(width))
         for batch in batches:
             sets = [np.unique(shingler(t.as_py())).view(np.int64) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "s"])
@@ -231,6 +231,7 @@ def block_links(members: DataFrame, similarity: float) -> DataFrame:
                             own.extend(new[x:y])
             yield held
 
+        worker_cache("blocks")
         for bucket in buckets():
             found = list(block(*bucket))
             if found:

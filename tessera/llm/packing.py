@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table, written
+from .common import table, worker_cache, written
 
 LENGTH, END_ID = 2048, 1
 _SPACES = re.compile(r"[ \t\n\r\f\v]+")
@@ -47,16 +47,17 @@ _ODD = re.compile(r"[\x1c-\x1f]")
 class Encoder:
     """Ids of texts by a tokenizer that lower-cases, drops white space and then splits letters from the rest.
 
-    Chunks between ASCII white space are encoded apart and remembered while they fit. New chunks of letters, alone or
+    Chunks between ASCII white space are encoded apart and remembered in two generations of at most ``remember`` chunks:
+    when the young one is full it becomes the old one, and what is met again comes back from there. New chunks of letters, alone or
     before marks, are encoded many at a time, and their ids are told apart by the tokens that end a word. Texts that
     lower-casing could change otherwise (not in NFC, or with letters whose lower case depends on the place) are encoded whole.
     """
 
-    def __init__(self, path: str, remember: int = 600_000):
+    def __init__(self, path: str, remember: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.seen, self.remember = Tokenizer.from_file(path), {}, remember
+        self.tokenizer, self.seen, self.old, self.remember = Tokenizer.from_file(path), {}, {}, remember
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -85,42 +86,51 @@ class Encoder:
                 for w in part:
                     self.seen[w] = self._plain(w)
 
+    def _known(self, fresh: set[str]) -> None:
+        """Puts chunks that aren't remembered among the young."""
+        seen, old = self.seen, self.old
+        again = fresh.intersection(old)
+        seen.update(zip(again, map(old.__getitem__, again), strict=True))
+        fresh -= again
+        cut = {c: m.groups() for c in fresh if not c.isalpha() and (m := _LETTERS_AND_MARKS(c)) and m[1].isalpha()}
+        self._letters(list({w for w, _ in cut.values()}.union(fresh.difference(cut)).difference(seen)))
+        for c, (letters, marks) in cut.items():
+            if marks not in seen:
+                seen[marks] = self._plain(marks)
+            seen[c] = seen[letters] + seen[marks]
+
     def batch(self, texts: list[str], step: int = 500) -> Iterator[np.ndarray]:
         end = struct.pack("<I", END_ID)
         for start in range(0, len(texts), step):
-            split: list[list[str] | str] = []
+            split: list[tuple[list[str], list[bytes | None], list[int]] | str] = []
             new: set[str] = set()
             if len(self.seen) > self.remember:
-                self.seen.clear()
+                self.old, self.seen = self.seen, {}
             seen = self.seen
             for text in texts[start:start + step]:
-                if not text.isascii() and ("\u03a3" in text or "\u0130" in text or not unicodedata.is_normalized("NFC", text)) or "<|" in text:
+                plain = text.isascii()
+                if not plain and ("\u03a3" in text or "\u0130" in text or not unicodedata.is_normalized("NFC", text)) or "<|" in text:
                     split.append(text)
                     continue
-                chunks = text.lower().split(None) if text.isascii() and not _ODD.search(text) else _SPACES.split(text.lower())
-                split.append(chunks)
-                new.update(chunks)
-            fresh = new.difference(seen)
-            cut = {c: m.groups() for c in fresh if not c.isalpha() and (m := _LETTERS_AND_MARKS(c)) and m[1].isalpha()}
-            self._letters(list({w for w, _ in cut.values()}.union(fresh.difference(cut)).difference(seen)))
-            for c, (letters, marks) in cut.items():
-                if marks not in seen:
-                    seen[marks] = self._plain(marks)
-                seen[c] = seen[letters] + seen[marks]
-            for chunks in split:
-                ids = self._plain(chunks) if isinstance(chunks, str) else b"".join(map(seen.__getitem__, chunks))
-                yield np.frombuffer(ids + end, "<u4")
-
-
-_ENCODERS: dict[tuple[str, int], Encoder] = {}
+                chunks = text.lower().split(None) if plain and not _ODD.search(text) else _SPACES.split(text.lower())
+                ids = list(map(seen.get, chunks))
+                gaps = [i for i, x in enumerate(ids) if x is None]
+                new.update([chunks[i] for i in gaps])
+                split.append((chunks, ids, gaps))
+            self._known(new)
+            for own in split:
+                if isinstance(own, str):
+                    yield np.frombuffer(self._plain(own) + end, "<u4")
+                else:
+                    chunks, ids, gaps = own
+                    for i in gaps:
+                        ids[i] = seen[chunks[i]]
+                    yield np.frombuffer(b"".join(ids) + end, "<u4")
 
 
 def encoder(path: str, remember: int) -> Encoder:
-    """One for each Python worker: what it remembers serves the worker's next tasks too."""
-    if (path, remember) not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[path, remember] = Encoder(path, remember)
-    return _ENCODERS[path, remember]
+    """One for each Python worker: what it remembers serves the worker's next tasks too, until another operator runs there."""
+    return worker_cache(f"packing {path} {remember}", lambda: Encoder(path, remember))
 
 
 def default_tokenizer() -> str:
@@ -230,10 +240,10 @@ def tokenized(docs: DataFrame, tokenizer: str | None, length: int, filler_every:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, part int, row_id long, doc_tokens long, whole array<long>, whole_rank long, filler int, rest int, rest_rank long, rest_crc long, ids binary")
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, filler_every: int = 8, remember: int = 600_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, filler_every: int = 8, remember: int = 400_000) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, row_id (string) of each piece.
 
-    ``remember``: chunks whose ids a worker keeps, about 200 bytes each; results are the same for any number.
+    ``remember``: chunks in each of the two generations that a worker keeps, about 170 bytes each; results are the same for any number.
     """
     rows = written(tokenized(docs, tokenizer, length, filler_every, remember), "tokens")
     counts = written(rows.groupBy("part", "filler", "rest").agg(F.count(F.lit(1)).alias("n")), "lengths")
@@ -287,4 +297,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, fi
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), remember=1_200_000)
+    return pack(table(spark, sf_dir, "documents"))

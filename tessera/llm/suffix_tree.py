@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, worker_cache, written
 
 BITS, EDGE, END, SYMBOLS = 9, 257, 258, 258  # a byte b is the symbol b + 1; 258 symbols can follow
 SCALE = math.log10(math.e)
@@ -126,6 +126,7 @@ def vocabulary(docs: DataFrame, flush: int = 400_000) -> DataFrame:
     """word (binary; empty: the end), c: its count in training documents; words of held-out documents alone have 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("suffix tree")
         seen: Counter = Counter()
 
         def out() -> Iterator[pa.RecordBatch]:
