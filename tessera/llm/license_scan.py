@@ -1,25 +1,28 @@
 """License scans by ordered signature rules, with DataFrame functions only.
 
-Signatures are regular expressions over the normalised text: words (letters, digits, non-ASCII; A-Z lower-cased)
-with one space around each. They are generated from licence families x versions x phrasings, a few hundred rules in
-all, each with the keyword that gates it, a priority and a confidence. A text that holds no keyword is passed over
-after plain substring tests; for the others the rules whose keyword occurs are matched, the places are put in order
-of (start, longest first, priority), and a place contained in one before it is suppressed. The base phrases are
-counted apart from that and always stay.
-
-All work is inside the row: no shuffle, join, UDF or broadcast of data; the rules are constants of the plan.
+The signatures are regular expressions written by hand (``license_signatures.txt``: a few hundred lines of keyword, label,
+confidence and regex, the first line having the highest priority) over the normalised text: words (letters, digits, non-ASCII;
+A-Z lower-cased). A text that holds no keyword is passed over after plain substring tests; for the others the rules whose
+keyword occurs are tried, the places of those that match are put in order of (start, longest first, priority), and a place
+contained in one before it is suppressed. The base phrases are counted apart from that and always stay.
+
+All work is inside the row: no shuffle, join, UDF or broadcast of data; the rules are constants of the plan, so their
+regexes are compiled once for each task. Time is linear in a text but for the sort of its places.
 Edge cases: null text is an empty one (0 words, no label, score 0, null positions); repeated rows are scanned each on
-their own; other columns stay where ``scan_licenses`` is called and are dropped by the query.
+their own; other columns stay where ``scan_licenses`` is called (own columns named like a result give way to it) and are
+dropped by the query.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, table
+from .quality_rules import let
 
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -37,135 +40,75 @@ class Rule:
     confidence: float
 
 
-def signature_rules() -> list[Rule]:
-    """Families x versions x phrasings, in order of priority (0 first)."""
-    out: list[tuple[str, str, str, float]] = []
-    lic = "licen[cs]ed?"
-
-    def family(label: str, keyword: str, name: str, versions: dict[str, str], short: str = "") -> None:
-        """``versions``: suffix of the label -> regex of the words that state the version."""
-        for suffix, stated in versions.items():
-            full = f"{label}-{suffix}" if suffix else label
-            said = f" {stated}" if stated else ""
-            # a gate is in every match of its rule; "bsd 3 clause" does without "licen"
-            gate = "licen" if "licen" in name and keyword != "bsd" else keyword
-            out.append((gate, f"{lic} under (?:the )?(?:terms of )?(?:the )?{name}{said}", full, 1.0))
-            out.append((gate, f"(?:released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?{name}{said}", full, 0.95))
-            out.append((gate, f"{name}{said}", full, 0.8))
-            if short:
-                out.append(("spdx", f"spdx license identifier {short}{said.replace('version ', '')}", full, 1.0))
-                if suffix:
-                    # three letters are part of too many words, so they gate as a word of their own
-                    out.append((short if len(short) > 3 or short == "gpl" else f" {short} ", f"{short}{said}", full, 0.7))
-
-    def numbers(*values: str) -> dict[str, str]:
-        return {v: f"(?:version |v)?{v.replace('.', ' ')}(?: 0)?(?: or later| or any later version| only)?" for v in values} | {"": ""}
-
-    family("lgpl", "general", "(?:gnu )?(?:lesser|library) general public license", numbers("2", "2.1", "3"), "lgpl")
-    family("agpl", "general", "(?:gnu )?affero general public license", numbers("1", "3"), "agpl")
-    family("gpl", "general", "(?:gnu )?general public license", numbers("1", "2", "3"), "gpl")
-    family("gfdl", "documentation", "(?:gnu )?free documentation license", numbers("1.1", "1.2", "1.3"), "gfdl")
-    family("apache", "apache", "apache (?:software )?license", numbers("1.0", "1.1", "2.0"), "apache")
-    family("mit", "mit", "mit license", {"": ""}, "mit")
-    family("isc", "isc", "isc license", {"": ""}, "isc")
-    family("bsd", "bsd", "bsd(?: style)? license", {"": ""})
-    for count, word in (("2", "simplified|freebsd|two clause|2 clause"), ("3", "new|modified|revised|three clause|3 clause"), ("4", "original|four clause|4 clause")):
-        family(f"bsd-{count}-clause", "bsd", f"(?:{word}) bsd license|bsd {count} clause(?: license)?", {"": ""})
-    family("mpl", "mozilla", "mozilla public license", numbers("1.0", "1.1", "2.0"), "mpl")
-    family("epl", "eclipse", "eclipse public license", numbers("1.0", "2.0"), "epl")
-    family("cddl", "common", "common development and distribution license", numbers("1.0", "1.1"), "cddl")
-    family("eupl", "european", "european union public licence", numbers("1.0", "1.1", "1.2"), "eupl")
-    family("artistic", "artistic", "artistic license", numbers("1.0", "2.0"), "artistic")
-    family("boost", "boost", "boost software license", numbers("1.0"), "bsl")
-    family("zlib", "zlib", "zlib(?: libpng)? license", {"": ""}, "zlib")
-    family("unlicense", "unlicense", "(?:the )?unlicense", {"": ""})
-    family("odbl", "database", "open database license", numbers("1.0"), "odbl")
-    family("ofl", "font", "(?:sil )?open font license", numbers("1.0", "1.1"), "ofl")
-    family("osl", "software", "open software license", numbers("2.0", "2.1", "3.0"), "osl")
-    family("ms-pl", "microsoft", "microsoft public license", {"": ""})
-    family("python", "python", "python software foundation license", numbers("2"), "psf")
-    family("php", "php", "php license", numbers("3.0", "3.01"))
-    family("wtfpl", "wtfpl", "wtfpl", numbers("2"))
-    kinds = {"by": "attribution", "by-sa": "attribution (?:share ?alike)", "by-nd": "attribution no ?deriv(?:ative)?s?(?: works)?", "by-nc": "attribution non ?commercial",
-             "by-nc-sa": "attribution non ?commercial share ?alike", "by-nc-nd": "attribution non ?commercial no ?deriv(?:ative)?s?(?: works)?"}
-    for kind, words in kinds.items():
-        for v in ("4.0", "3.0", "2.5", "2.0", "1.0", ""):
-            said, full = (f" {v.replace('.', ' ')}", f"cc-{kind}-{v}") if v else ("", f"cc-{kind}")
-            out.append(("cc", f"cc {kind.replace('-', ' ')}{said}", full, 0.95))
-            out.append(("commons", f"creative commons {words}{said}", full, 1.0))
-            out.append(("creativecommons", f"creativecommons org licenses {kind.replace('-', ' ')}{said}", full, 1.0))
-    out += [("cc0", "cc0(?: 1 0)?(?: universal)?", "cc0", 0.95), ("publicdomain", "creativecommons org publicdomain zero 1 0", "cc0", 1.0), ("domain", "(?:in|into|to) the public domain", "public-domain", 0.7),
-            ("reserved", "all rights (?:are )?reserved", "reserved", 0.9), ("reserved", "no rights reserved", "public-domain", 0.7), ("copyright", "copyright (?:c )?(?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})?", "copyright", 0.6),
-            ("proprietary", "proprietary and confidential", "proprietary", 0.9), ("permission", "permission is hereby granted free of charge to any person obtaining a copy", "mit", 1.0),
-            ("redistribution", "redistribution and use in source and binary forms with or without modification are permitted", "bsd", 0.9)]
-    return [Rule(k, r, label, i, c) for i, (k, r, label, c) in enumerate(out)]
+def signature_rules(path: str | Path | None = None) -> list[Rule]:
+    """The rules of a file of lines ``keyword | label | confidence | regex``; a keyword between spaces is a word of its own."""
+    lines = [x for x in Path(path or Path(__file__).with_name("license_signatures.txt")).read_text().split("\n") if x and not x.startswith("#")]
+    split = [x.split(" | ", 3) for x in lines]
+    return [Rule(keyword, regex, label, i, float(confidence)) for i, (keyword, label, confidence, regex) in enumerate(split)]
+
+
+def spaced(regex: str) -> str:
+    """Between words of the normalised text stand two spaces, one for each, so that places side by side do not share one."""
+    return f" (?:{regex.replace(' ?', chr(0)).replace(' ', '  ').replace(chr(0), '(?:  )?')}) "
 
 
 def _places(norm: Column, regex: Column) -> Column:
-    """Word positions [from, to) of all places of ``regex`` between spaces of ``norm`` (words doubled spaced)."""
-    found = F.regexp_extract_all(norm, regex, F.lit(0))
-    gaps = F.split(norm, regex)
-    words = lambda c: F.size(F.filter(F.split(c, " "), lambda w: w != ""))
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<from:int,to:int>>").alias("out"))
-    ordered = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("hit"))
-    return F.aggregate(
-        ordered, state,
-        lambda s, x: F.struct(
-            (s["at"] + words(x["gap"]) + words(x["hit"])).alias("at"),
-            F.concat(s["out"], F.array(F.struct((s["at"] + words(x["gap"])).alias("from"), (s["at"] + words(x["gap"]) + words(x["hit"])).alias("to")))).alias("out")),
-        lambda s: s["out"])
+    """Word positions [from, to) of all places of ``regex``, by a mark in front of each: no count of words starts anew."""
+    words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+    marked = words(F.regexp_replace(norm, F.concat(F.lit("("), regex, F.lit(")")), F.lit(" \x01 $1")))
+    at = F.filter(F.transform(marked, lambda w, i: F.when(w == "\x01", i)), lambda i: i.isNotNull())
+    sizes = F.transform(F.regexp_extract_all(norm, regex, F.lit(0)), lambda hit: F.size(words(hit)))
+    return F.zip_with(F.transform(at, lambda i, k: i - k), sizes, lambda i, n: F.struct(i.alias("from"), (i + n).alias("to")))
+
+
+def _kept(found: Column, chunk: int = 256) -> Column:
+    """Of places in order those that reach further than all before them; in chunks, so that no long array is copied for each place."""
+    kind = "array<struct<label:string,from:int,to:int,confidence:double>>"
+    one = lambda s, x: F.struct(
+        F.greatest(s["reach"], -x["minus_to"]).alias("reach"),
+        F.when(-x["minus_to"] <= s["reach"], s["out"]).otherwise(F.concat(s["out"], F.array(F.struct(x["label"].alias("label"), x["from"].alias("from"), (-x["minus_to"]).alias("to"), x["confidence"].alias("confidence"))))).alias("out"))
+    some = lambda reach, part: F.aggregate(part, F.struct(reach.alias("reach"), F.array().cast(kind).alias("out")), one)
+    starts = F.sequence(F.lit(0), F.greatest(F.size(found) - 1, F.lit(0)), F.lit(chunk))
+    return F.aggregate(starts, F.struct(F.lit(-1).alias("reach"), F.array().cast(f"array<{kind}>").alias("out")),
+                       lambda s, i: let(some(s["reach"], F.slice(found, i + 1, F.lit(chunk))), lambda x: F.struct(x["reach"].alias("reach"), F.concat(s["out"], F.array(x["out"])).alias("out"))),
+                       lambda s: F.flatten(s["out"]))
 
 
 def scan_licenses(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """Adds n_words, base places (array of label, from, to), detections (kept after suppression) and score to ``docs``."""
+    """Adds license_n_words, license_base (array of label, from, to) and license_detections (those kept after suppression) to ``docs``."""
     rules = signature_rules() if rules is None else rules
-    keywords = sorted({r.keyword for r in rules} | {p.split()[-1] for p, _ in BASE})
+    own = [c for c in docs.columns if not c.startswith("license_")]
+    keywords = {r.keyword for r in rules} | {p.split()[-1] for p, _ in BASE} - {"by"} | {" cc "}
+    plain, alone = {k for k in keywords if k == k.strip()}, sorted(k.strip() for k in keywords if k != k.strip())
     text = F.coalesce(F.col("text"), F.lit(""))
-    lowered = docs.withColumn("_low", F.lower(text))
-    gate = F.lit(False)
-    for k in sorted({k for k in keywords if k == k.strip() and not any(o != k and o in k for o in keywords)} - {"by"}):
-        gate = gate | F.contains("_low", F.lit(k))
-    alone = [k.strip() for k in keywords if k != k.strip()]
-    if alone:
-        gate = gate | F.rlike("_low", F.lit(f"(?:^|{GAP[:-1]})(?:{'|'.join(alone)})(?:{GAP[:-1]}|$)"))
-    gate = gate | (F.contains("_low", F.lit("cc")) & F.contains("_low", F.lit("by")))
-    # each word stands between two spaces of its own, so that places side by side do not share one
+
+    def gate(low: Column) -> Column:
+        some = F.rlike(low, F.lit(f"(?:^|{GAP[:-1]})(?:{'|'.join(alone)})(?:{GAP[:-1]}|$)"))
+        for k in sorted(k for k in plain if not any(o != k and o in k for o in plain)):
+            some = some | F.contains(low, F.lit(k))
+        return some
+
     normal = F.concat(F.lit(" "), F.regexp_replace(ascii_lower(text), GAP, "  "), F.lit(" "))
-    gated = (lowered.withColumn("_gate", gate)
-             .withColumn("_norm", F.when(F.col("_gate"), normal))
-             .withColumn("_n", F.regexp_count(text, F.lit(WORD)).cast("long")))
-
-    def spaced(regex: str) -> str:
-        # a space inside a rule crosses from one word to the next
-        return f" (?:{regex.replace(' ', '  ')}) "
-
-    def labelled(phrase: str, label: str) -> Column:
-        return F.transform(_places(F.col("_norm"), F.lit(spaced(phrase))), lambda x: F.struct(F.lit(label).alias("label"), x["from"].alias("from"), x["to"].alias("to")))
-
-    base = F.concat(*[labelled(p, label) for p, label in BASE])
-    known = F.array(*[F.struct(F.lit(r.keyword).alias("keyword"), F.lit(spaced(r.regex)).alias("regex"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.confidence).alias("confidence")) for r in rules])
-    chosen = F.filter(known, lambda r: F.contains(F.col("_norm"), r["keyword"]) & F.rlike(F.col("_norm"), r["regex"]))
-    places = F.flatten(F.transform(chosen, lambda r: F.transform(_places(F.col("_norm"), r["regex"]), lambda x: F.struct(
-        x["from"].alias("from"), (-x["to"]).alias("minus_to"), r["priority"].alias("priority"), r["label"].alias("label"), r["confidence"].alias("confidence")))))
-    some = F.lit(None).cast("array<struct<label:string,from:int,to:int>>")
-    found = gated.withColumns({
-        "_base": F.when(F.col("_gate"), base).otherwise(some),
-        "_found": F.when(F.col("_gate"), F.array_sort(places)),
-    })
-    zero = F.struct(F.lit(-1).alias("reach"), F.array().cast("array<struct<label:string,from:int,to:int,confidence:double>>").alias("out"))
-    kept = F.aggregate(
-        "_found", zero,
-        lambda s, x: F.struct(
-            F.greatest(s["reach"], -x["minus_to"]).alias("reach"),
-            F.when(-x["minus_to"] <= s["reach"], s["out"]).otherwise(F.concat(s["out"], F.array(F.struct(x["label"].alias("label"), x["from"].alias("from"), (-x["minus_to"]).alias("to"), x["confidence"].alias("confidence"))))).alias("out")),
-        lambda s: s["out"])
-    none = F.array().cast("array<struct<label:string,from:int,to:int,confidence:double>>")
-    out = found.withColumns({
-        "license_base": F.coalesce("_base", F.array().cast("array<struct<label:string,from:int,to:int>>")),
-        "license_detections": F.coalesce(kept, none),
-        "license_n_words": F.col("_n"),
-    })
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "license_n_words", "license_base", "license_detections")
+    norm = let(F.lower(text), lambda low: F.when(gate(low), normal))
+
+    def base(norm: Column) -> Column:
+        named = lambda places, label: F.transform(places, lambda x: F.struct(F.lit(label).alias("label"), x["from"].alias("from"), x["to"].alias("to")))
+        return F.concat(*[named(_places(norm, F.lit(spaced(p))), label) for p, label in BASE])
+
+    known = F.array(*[F.struct(F.lit(spaced(r.regex)).alias("regex"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.confidence).alias("confidence")) for r in rules])
+
+    def found(norm: Column) -> Column:
+        fired = F.array_compact(F.array(*[F.when(F.contains(norm, F.lit(r.keyword)) & F.rlike(norm, F.lit(spaced(r.regex))), F.lit(i)) for i, r in enumerate(rules)]))
+        places = lambda r: F.transform(_places(norm, r["regex"]), lambda x: F.struct(
+            x["from"].alias("from"), (-x["to"]).alias("minus_to"), r["priority"].alias("priority"), r["label"].alias("label"), r["confidence"].alias("confidence")))
+        return let(F.array_sort(F.flatten(F.transform(fired, lambda i: let(F.get(known, i), places)))), lambda x: F.when(F.size(x) == 0, F.lit(None)).otherwise(_kept(x)))
+
+    name = "_" * (1 + max(map(len, own), default=0))
+    scanned = let(norm, lambda n: F.when(n.isNotNull(), F.struct(base(n).alias("base"), found(n).alias("kept"))))
+    out = docs.select(*[F.col(f"`{c}`") for c in own], F.regexp_count(text, F.lit(WORD)).cast("long").alias("license_n_words"), scanned.alias(name))
+    return out.select(*[F.col(f"`{c}`") for c in own], "license_n_words",
+                      F.coalesce(F.col(f"{name}.base"), F.array().cast("array<struct<label:string,from:int,to:int>>")).alias("license_base"),
+                      F.coalesce(F.col(f"{name}.kept"), F.array().cast("array<struct<label:string,from:int,to:int,confidence:double>>")).alias("license_detections"))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,9 +124,8 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     text = lambda x: "'" + x.replace("'", "''") + "'"
-    spaced = lambda r: text(f" (?:{r.replace(' ', '  ')}) ")
-    rules = ", ".join(f"({text(r.keyword)}, {spaced(r.regex)}, {text(r.label)}, {r.priority}, {r.confidence}, false)" for r in signature_rules())
-    base = ", ".join(f"({text(p.split()[-1])}, {spaced(p)}, {text(label)}, -1, 0.5, true)" for p, label in BASE)
+    rules = ", ".join(f"({text(r.keyword)}, {text(spaced(r.regex))}, {text(r.label)}, {r.priority}, {r.confidence}, false)" for r in signature_rules())
+    base = ", ".join(f"({text(p.split()[-1])}, {text(spaced(p))}, {text(label)}, -1, 0.5, true)" for p, label in BASE)
     return rf"""
 WITH rules(keyword, regex, label, priority, confidence, base) AS (VALUES {rules}, {base}),
 d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), '{"ABCDEFGHIJKLMNOPQRSTUVWXYZ"}', '{"abcdefghijklmnopqrstuvwxyz"}') AS t FROM documents),
