@@ -1,17 +1,19 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
-Texts are normalised to lower-case (A-Z) words of letters, digits and non-ASCII characters, joined by one space.
-The patterns are the windows of ``window`` consecutive words of each benchmark item (an item of fewer words is one
-window), bounded by spaces. Each document is normalised and scanned once; end offsets in the normalised text are
-turned into word positions, and on request into character offsets of the original text, for documents with hits only.
-
-The automaton is bounded: benchmark items are dealt into blocks of at most ``block_words`` words (ordered by item),
-and documents pass one block's automaton after the other, each time from a checkpoint, with no shuffle and no join;
-a benchmark of up to ``block_words`` words takes one pass. Only one block is on the driver or in a worker at a time.
-
-Edge cases: a null text (document or item) has no words; an empty benchmark marks nothing; windows that several items
-share count for each; repeated rows are judged on their own; other columns of the documents stay with
-``keep_columns=True`` and are dropped otherwise; item ids are compared as strings.
+Texts are normalised to lower-case (A-Z) words of letters, digits and non-ASCII characters. The patterns are the windows of
+``window`` consecutive words of each benchmark item (an item of fewer words is one window), as sequences of word numbers
+of three characters each, so that the automaton's size doesn't depend on the words' length. Each document is normalised and scanned once; ends of
+occurrences give word spans, and these are mapped to character offsets of the original text.
+
+The automaton is bounded: a benchmark of up to ``block_words`` words is one automaton (about 1.6 kB a word: 80 MB at the
+default) and the documents take one pass. A larger one is dealt into blocks of that size by hash, long items in
+overlapping stretches, and its windows also set bits in a bitmap of 2^27 bits (16 MB whatever the benchmark). A first
+pass tells the documents that hold a window whose bit is set; only these are written and go through one block's
+automaton after the other. Only one block is on the driver or in a worker at a time; there is no join.
+
+Edge cases: a null text (document or item) has no words; a null item_id is the empty string; rows of one item_id are one
+item; an empty benchmark marks nothing; windows that several items share count for each; repeated documents are judged on
+their own. With ``keep_columns=True`` the other columns stay, but own columns named like a result's give way to it.
 """
 
 from __future__ import annotations
@@ -22,56 +24,77 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, table, written
+from .common import ascii_lower, checkpointed, table, worker_cache, written
 
 _WORD_BYTES = {*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)}
 #: Word bytes as they are, A-Z lower-cased, all others a space; UTF-8 keeps every non-ASCII character's bytes at 0x80 or above.
 NORMAL = bytes((b + 32 if 0x41 <= b <= 0x5A else b) if b in _WORD_BYTES else 0x20 for b in range(256))
-RESULT = T.StructType([T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("items", T.ArrayType(T.StringType()))])
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_SPANS = T.ArrayType(T.ArrayType(T.LongType()))
+FOUND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", _SPANS), T.StructField("offsets", _SPANS)])
+_ARROW = pa.struct([("n_words", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.list_(pa.int64()))), ("offsets", pa.list_(pa.list_(pa.int64())))])
+RESULTS = ("n_words", "n_hit", "items", "spans", "offsets", "contaminated")
+BITMAP = 27
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(NORMAL).split()
 
 
-def _automaton(items: list[tuple[str, list[bytes]]], window: int):
-    owners: dict[bytes, tuple[int, set[str]]] = {}
-    for item, words in items:
-        for i in range(max(1, len(words) - window + 1)):
-            part = words[i:i + window]
-            owners.setdefault(b" " + b" ".join(part) + b" ", (len(part), set()))[1].add(item)
-    trie = ahocorasick.Automaton()
-    for pattern, (length, who) in owners.items():
-        trie.add_word(pattern.decode("latin-1"), (length, frozenset(who)))
-    trie.make_automaton()
-    return trie
-
-
-def scan(words: list[bytes], trie) -> tuple[list[list[int]], set[str]]:
-    """Merged word spans [from, to) that windows cover, and the items they belong to."""
-    text = b" %b " % b" ".join(words)
-    spans: list[list[int]] = []
-    items: set[str] = set()
-    starts = None
-    for end, (length, who) in trie.iter(text.decode("latin-1")):
-        if starts is None:
-            starts = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
-        items |= who
-        to = int(np.searchsorted(starts, end))
-        if spans and to - length <= spans[-1][1]:
-            while spans and spans[-1][0] > to - length:
+class Automaton:
+    """The windows of (item, words), each word written as three characters of its number.
+
+    The three places have alphabets of their own, so that no occurrence starts inside a word; unknown words are number 0, which is in no window.
+    """
+
+    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+        words = sorted({w for _, own in items for w in own})
+        radix = 2
+        while radix ** 3 <= len(words):
+            radix += 1
+        self.spelt = {w: chr(i // radix ** 2) + chr(radix + i // radix % radix) + chr(2 * radix + i % radix) for i, w in enumerate(words, 1)}
+        self.unknown = chr(0) + chr(radix) + chr(2 * radix)
+        self.owners: list[set[str]] = []
+        self.lengths: list[int] = []
+        known: dict[str, int] = {}
+        self.trie = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for item, own in items:
+            text = "".join(map(self.spelt.__getitem__, own))
+            for i in range(max(1, len(own) - window + 1)):
+                part = text[3 * i:3 * (i + window)]
+                k = known.get(part)
+                if k is None:
+                    k = known[part] = len(self.owners)
+                    self.owners.append(set())
+                    self.lengths.append(len(part) // 3)
+                    self.trie.add_word(part, k)
+                self.owners[k].add(item)
+        if self.owners:
+            self.trie.make_automaton()
+
+    def scan(self, words: list[bytes]) -> tuple[list[list[int]], set[str]]:
+        """Merged word spans [from, to) that windows cover, and the items they belong to."""
+        spans: list[list[int]] = []
+        items: set[str] = set()
+        if not words or not self.owners:
+            return spans, items
+        spelt, unknown = self.spelt.get, self.unknown
+        for last, k in self.trie.iter("".join([spelt(w, unknown) for w in words])):
+            items |= self.owners[k]
+            end = last // 3 + 1
+            begin = end - self.lengths[k]
+            while spans and spans[-1][0] >= begin:
                 spans.pop()
-            if spans and to - length <= spans[-1][1]:
-                spans[-1][1] = max(spans[-1][1], to)
+            if spans and begin <= spans[-1][1]:
+                spans[-1][1] = end
             else:
-                spans.append([to - length, to])
-        else:
-            spans.append([to - length, to])
-    return spans, items
+                spans.append([begin, end])
+        return spans, items
 
 
 def merge(spans: list[list[int]]) -> list[list[int]]:
@@ -94,54 +117,112 @@ def original_spans(text: str, spans: list[list[int]]) -> list[tuple[int, int]]:
     return [(chars(int(begins[a])), chars(int(ends[b - 1]))) for a, b in spans]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 2_000_000, keep_columns: bool = False) -> DataFrame:
-    """Documents with n_words, n_hit, items (sorted ids), spans (word positions) and contaminated."""
+def _bits(words: list[bytes], sizes: list[int], seen: dict[bytes, int]) -> np.ndarray:
+    """Places in the bitmap of the windows of these sizes."""
+    if len(seen) > 200_000:
+        seen.clear()
+    for w in set(words).difference(seen):
+        seen[w] = xxhash.xxh3_64_intdigest(w)
+    h = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
+    out = [np.zeros(0, np.uint64)]
+    for k in sizes:
+        if len(h) >= k:
+            total = np.full(len(h) - k + 1, k, np.uint64)
+            for j in range(k):
+                total = (total ^ (total >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + h[j:j + len(total)]
+            out.append((total ^ (total >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BITMAP))
+    return np.concatenate(out).astype(np.int64)
+
+
+def _stretches(benchmark: DataFrame, window: int, most: int) -> DataFrame:
+    """item, text, n of items with words; long ones in stretches of about ``most`` words that share window - 1 words."""
+    words = F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(WORD), F.lit(0))
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words.alias("w")).where(F.size("w") > 0)
+    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)), F.lit(most))
+    cut = rows.select("item", "w", F.explode(starts).alias("at")).select("item", F.slice("w", F.col("at") + 1, F.lit(most + window - 1)).alias("w"))
+    return cut.select("item", F.array_join("w", " ").alias("text"), F.size("w").alias("n"))
+
+
+def _bitmap(pieces: DataFrame, window: int) -> tuple[np.ndarray, list[int]]:
+    """The bits of all windows, and the sizes of windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, int] = {}
+        for batch in batches:
+            for t in batch.column("text"):
+                words = words_of(t.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(_bits(words, [min(window, len(words))], seen)))], names=["bit"])
+
+    bits = pieces.select("text").mapInArrow(run, "bit long")
+    place = F.col("bit") + 1  # Spark's buckets start at 1, and so do the values in them
+    rows = bits.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()  # 4096 rows of 4 kB at most
+    out = np.zeros(1 << BITMAP, bool)
+    for r in rows:
+        part = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little")
+        out[(r["bucket"] - 1) * len(part):r["bucket"] * len(part)] = part
+    sizes = [r[0] for r in pieces.select(F.least("n", F.lit(window)).alias("k")).distinct().collect()]  # window rows at most
+    return np.packbits(out), sorted(sizes)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 50_000, keep_columns: bool = False) -> DataFrame:
+    """Documents with n_words, n_hit, items (sorted ids), spans (word positions), offsets (of the spans, in characters of the text) and contaminated."""
     spark = docs.sparkSession
-    n_words = F.size(F.split(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ")), " "))
-    sized = benchmark.select(F.col("item_id").cast("string").alias("item"), "text", n_words.alias("n")).where("text IS NOT NULL")
-    total = sized.agg(F.sum("n")).first()[0] or 0
+    pieces = _stretches(benchmark, window, max(window, block_words // 4))
+    total = pieces.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-total // block_words))
-    if blocks > 1:
-        sized = written(sized.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks))), "benchmark")
-    own = docs.columns if keep_columns else ["doc_id"]
-    fields = [f for f in docs.schema if f.name in own and f.name != "text"]
-    state = docs.select(*[f.name for f in fields], "text").withColumn("_hits", F.lit(None).cast(RESULT))
-    for block in range(blocks):
-        chosen = sized.where(F.col("block") == block) if blocks > 1 else sized
-        items = [(r.item, w) for r in chosen.select("item", "text").collect() if (w := words_of(r.text))]
-        last = block == blocks - 1
-        made = [T.StructField(k, t) for k, t in (("n_words", T.LongType()), ("n_hit", T.LongType()), ("items", T.ArrayType(T.StringType())), ("spans", T.ArrayType(T.ArrayType(T.LongType()))))]
-        keep_text = not last or keep_columns
-        schema = T.StructType([*fields, *[T.StructField("text", T.StringType())] * keep_text, *(made if last else [T.StructField("_hits", RESULT)])])
-
-        def run(batches: Iterator[pa.RecordBatch], items=items, last=last, keep_text=keep_text) -> Iterator[pa.RecordBatch]:
-            trie = _automaton(items, window)
+    own = [c for c in docs.columns if c not in RESULTS] if keep_columns else ["doc_id"]
+    row = T.StructType([docs.schema[c] for c in own])
+    state = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), "text", F.lit(None).cast(FOUND).alias("_found"))
+    schema = T.StructType([T.StructField("_row", row), T.StructField("text", T.StringType()), T.StructField("_found", FOUND)])
+
+    def passed(state: DataFrame, chosen: DataFrame, keep_text: bool) -> DataFrame:
+        """With what this block's automaton finds added to _found."""
+        sent = spark.sparkContext.broadcast([(r.item, words_of(r.text)) for r in chosen.select("item", "text").collect()])  # block_words words or so
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            worker_cache("decontamination")
+            auto = Automaton(sent.value, window)
             for batch in batches:
-                n, hit, found, where = [], [], [], []
-                for text, before in zip(batch.column("text"), batch.column("_hits").to_pylist(), strict=True):
-                    words = words_of(text.as_py())
-                    spans, ids = scan(words, trie) if items and words else ([], set())
+                rows, texts = [], batch.column("text")
+                for text, before in zip(texts, batch.column("_found").to_pylist(), strict=True):
+                    text = text.as_py()
+                    words = words_of(text)
+                    spans, ids = auto.scan(words)
                     if before:
                         spans, ids = merge(before["spans"] + spans), ids | set(before["items"])
-                    n.append(len(words))
-                    hit.append(sum(b - a for a, b in spans))
-                    found.append(sorted(ids))
-                    where.append(spans)
-                columns = [batch.column(f.name) for f in fields] + [batch.column("text")] * keep_text
-                names = [f.name for f in fields] + ["text"] * keep_text
-                strings, pairs = pa.array(found, pa.list_(pa.string())), pa.array(where, pa.list_(pa.list_(pa.int64())))
-                if last:
-                    columns += [pa.array(n, pa.int64()), pa.array(hit, pa.int64()), strings, pairs]
-                    names += [f.name for f in made]
-                else:
-                    columns.append(pa.StructArray.from_arrays([pairs, strings], ["spans", "items"]))
-                    names.append("_hits")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-        state = state.mapInArrow(run, schema)
-        if not last:
-            state = checkpointed(state)
-    return state.withColumn("contaminated", F.col("n_hit") > 0)
+                    rows.append({"n_words": len(words), "items": sorted(ids), "spans": spans, "offsets": original_spans(text, spans) if spans else []})
+                yield pa.RecordBatch.from_arrays([batch.column("_row"), texts if keep_text else pa.nulls(len(texts), pa.string()), pa.array(rows, _ARROW)], names=["_row", "text", "_found"])
+
+        return state.mapInArrow(run, schema)
+
+    if blocks == 1:
+        done = passed(state, pieces, False)
+    else:
+        pieces = written(pieces.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks))), "benchmark")
+        packed, sizes = _bitmap(pieces, window)
+        sent_bits = spark.sparkContext.broadcast(packed)  # 16 MB
+
+        def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits, seen = sent_bits.value, {}
+            for batch in batches:
+                rows, texts = [], []
+                for text in batch.column("text"):
+                    words = words_of(text.as_py())
+                    at = _bits(words, sizes, seen)
+                    maybe = bool((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).any()) if len(at) else False
+                    texts.append(text.as_py() if maybe else None)
+                    rows.append({"n_words": len(words), "items": [], "spans": [], "offsets": []})
+                yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(texts, pa.string()), pa.array(rows, _ARROW)], names=["_row", "text", "_found"])
+
+        looked = state.mapInArrow(marked, schema)
+        some = written(looked.where("text IS NOT NULL"), "candidates")
+        for block in range(blocks):
+            some = passed(some, pieces.where(F.col("block") == block), block < blocks - 1)
+            if block < blocks - 1:
+                some = checkpointed(some)
+        done = looked.where("text IS NULL").unionByName(some)
+    n_hit: Column = F.aggregate("_found.spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
+    return done.select("_row.*", "_found.n_words", n_hit.alias("n_hit"), "_found.items", "_found.spans", "_found.offsets", (F.size("_found.spans") > 0).alias("contaminated"))
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +232,7 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents in which no benchmark window occurs, with their own columns."""
-    clear = docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select("_row", "text")
+    clear = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
     return decontaminate(clear, benchmark, keep_columns=True).where(~F.col("contaminated")).select("_row.*")
 
 
@@ -159,7 +240,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def brute_force(doc: str | None, items: list[tuple[str, str | None]], window: int = 10) -> tuple[int, int, int, str, bool]:
     words, hit, found = words_of(doc), set(), set()
     for item, text in items:
-        own = words_of(text)
+        own, item = words_of(text), "" if item is None else item
         for i in range(max(1, len(own) - window + 1) if own else 0):
             part = own[i:i + window]
             for j in range(len(words) - len(part) + 1):
@@ -173,7 +254,7 @@ SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (
-  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
 p AS (
   SELECT item, list_slice(w, i, i + 9) AS part FROM (SELECT item, w, unnest(generate_series(1, greatest(1, len(w) - 9))) AS i FROM b WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT len(part) AS k FROM p),
