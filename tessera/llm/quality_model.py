@@ -9,7 +9,7 @@ Features of a text: which words and which word beginnings of 4 and 5 letters it
 bins of whole-text figures: share of symbols, upper case and digits, words repeated in a row, distinct words, length.
 
 ``fit`` uses at most ``max_labelled`` labelled rows (those with the least hash of their id: a bounded, repeatable
-sample) and sends their features to the driver; weights are 2^``bits`` floats whatever the corpus. Scoring is one
+sample, cut at as many rows) and sends their features to the driver; weights are 2^``bits`` floats whatever the corpus. Scoring is one
 pass without a shuffle.
 Edge cases: labels with null grade or without a document are left out; several labels of one document: the lowest
 counts; with fewer than two grades every document is kept (tail probability 1); null text is an empty one; repeated
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import table, worker_cache
 
 BITS, DENSE = 18, 64
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -144,16 +144,17 @@ def fit(docs: DataFrame, graded: DataFrame, max_labelled: int = 15_000, bits: in
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(bits)
+        hasher = worker_cache(f"features {bits}", lambda: Hasher(bits))
         for batch in batches:
             rows = [hasher(t).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), pa.array(rows, pa.binary())], names=["doc_id", "grade", "ids"])
 
-    # the ids are at most max_labelled: few enough to go to every task
+    # the ids are at most max_labelled: few enough to go to every task; rows that repeat an id don't make it more
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = texts.select("doc_id", "text", "grade").mapInArrow(run, f"doc_id {kind}, grade int, ids binary").toArrow()
+    found = texts.select("doc_id", "text", "grade").mapInArrow(run, f"doc_id {kind}, grade int, ids binary")
+    rows = found.orderBy(F.xxhash64("doc_id"), "doc_id", "ids").limit(max_labelled).toArrow()
     grades, ids = rows.column("grade").to_numpy(), [np.frombuffer(x.as_py(), np.int32) for x in rows.column("ids")]
-    order = sorted(range(len(ids)), key=lambda i: (rows.column("doc_id")[i].as_py(), ids[i].tobytes()))[:2 * max_labelled]
+    order = sorted(range(len(ids)), key=lambda i: (rows.column("doc_id")[i].as_py(), ids[i].tobytes()))
     grades, ids = grades[order], [ids[i] for i in order]
     if len(set(grades.tolist())) < 2:
         return None
@@ -162,12 +163,13 @@ def fit(docs: DataFrame, graded: DataFrame, max_labelled: int = 15_000, bits: in
 
 
 def score(docs: DataFrame, model: OrdinalModel | None, least: float = 0.5, bits: int = BITS) -> DataFrame:
-    """Adds expected_grade, tail_probability (of the best grade) and keep to ``docs``."""
-    spark, names = docs.sparkSession, docs.columns
+    """Adds expected_grade, tail_probability (of the best grade) and keep to ``docs``; own columns of these names give way."""
+    spark, docs = docs.sparkSession, docs.drop("expected_grade", "tail_probability", "keep")
+    names = docs.columns
     sent = spark.sparkContext.broadcast(model)  # 2^bits floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, m = Hasher(bits), sent.value
+        hasher, m = worker_cache(f"features {bits}", lambda: Hasher(bits)), sent.value
         for batch in batches:
             texts = batch.column("text").to_pylist()
             if m is None:
@@ -177,8 +179,6 @@ def score(docs: DataFrame, model: OrdinalModel | None, least: float = 0.5, bits:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tails.sum(axis=1)), pa.array(tails[:, -1]), pa.array(tails[:, -1] >= least)], names=[*names, "expected_grade", "tail_probability", "keep"])
 
     made = "expected_grade double, tail_probability double, keep boolean"
-
-
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *T.StructType.fromDDL(made).fields]))
 
 
