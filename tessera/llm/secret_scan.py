@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 import string
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import table, worker_cache
 
 #: In a private key: white space, plain or escaped; header lines; lines of base64, of which the last may be short.
 _BLANK = r"(?:\s|\\+[nrt])"
@@ -40,6 +41,7 @@ PATTERNS = (
     ("private_key", re.compile(rf"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----(?:{_HEADERS}(?:[A-Za-z0-9+/=\s\\\"',>#|]*+-----END (?:[A-Z]+ )?PRIVATE KEY-----|{_BODY}))?")),
     ("aws_key_id", re.compile(r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b")),
     ("github_token", re.compile(r"\bgh[pousr]_[A-Za-z0-9]{36,}+\b")),
+    ("github_token", re.compile(r"\bgithub_pat_[A-Za-z0-9_]{20,}+")),
     ("slack_token", re.compile(r"\bxox[abprs]-[A-Za-z0-9-]{10,}+")),
     ("api_key", re.compile(r"\b(?:sk|pk|rk)[-_](?:live[-_]|test[-_]|proj[-_])?[A-Za-z0-9]{16,}+\b")),
     ("google_key", re.compile(r"\bAIza[0-9A-Za-z_-]{35,}+")),
@@ -47,6 +49,7 @@ PATTERNS = (
     ("assigned", re.compile(r"(?i)\b(?:[a-z0-9_]{0,24}?)(?:password|passwd|pwd|secret|token|api_?-?key|access_?-?key|auth|credential)s?[\"']?\s{0,3}(?:=|:|:=|=>)\s{0,3}[\"']?([^\s\"',;<>]{6,}+)")),
     ("random_run", re.compile(r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{24,}+={0,2}(?![A-Za-z0-9+/_=-])")),
 )
+KINDS = tuple(dict.fromkeys(k for k, _ in PATTERNS))
 #: One cheap look tells whether a text can hold a candidate at all.
 GATE = re.compile(r"(?i)AKIA|ASIA|gh[pousr]_|xox[abprs]-|[sr]k[-_]|pk[-_]|AIza|eyJ|PRIVATE KEY|passw|pwd|secret|token|api_?-?key|access_?-?key|auth|credential|[a-z0-9+/_=-]{24}")
 HINTS = ("password", "passwd", "pwd", "secret", "token", "key", "auth", "credential", "aws", "api")
@@ -73,14 +76,12 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
                 continue
             a, b = m.span(1) if m.re.groups and m[1] else m.span()
             taken.append((a, b, kind))
-    rank = {k: i for i, (k, _) in enumerate(PATTERNS)}
+    rank = {k: i for i, k in enumerate(KINDS)}
     free: list[tuple[int, int, str]] = []
-    for a, b, kind in sorted(taken, key=lambda x: (x[0], rank[x[2]])):
-        if free and a < free[-1][1]:
-            if rank[kind] < rank[free[-1][2]] and (kind != "random_run"):
-                free[-1] = (a, b, kind)
-            continue
-        free.append((a, b, kind))
+    for found in sorted(taken, key=lambda x: (rank[x[2]], x[0])):
+        at = bisect_left(free, found)
+        if (at == 0 or free[at - 1][1] <= found[0]) and (at == len(free) or found[1] <= free[at][0]):
+            free.insert(at, found)
     return free
 
 
@@ -98,7 +99,7 @@ def features(value: str, before: str, after: str, kind: str) -> list[float]:
         sum(p in _COMMON_PAIRS for p in pairs) / max(1, n - 1), covered / n, sum(c in "aeiou" for c in letters) / max(1, len(letters)),
         float(value.count("/") >= 2 or "\\" in value or "." in value), float(bool(_UUID.match(value))), float(all(c in string.hexdigits for c in value)),
         float(bool(re.search(r"(?i)x{4}|\*{3}|\.{3}|<|>|\$\{|\{\{|example|changeme|your|placeholder|dummy|redacted|12345|abcdef", value))), max(count.values()) / n,
-        float(bool(_HINT.search(before[-NEAR:].lower()))), float(bool(_HARMLESS.search(before[-24:].lower()))), float(before[-1:] in "\"'" and before[-1:] != "" and after[:1] == before[-1:]), float(assigned), float([k for k, _ in PATTERNS].index(kind)),
+        float(bool(_HINT.search(before[-NEAR:].lower()))), float(bool(_HARMLESS.search(before[-24:].lower()))), float(before[-1:] in "\"'" and before[-1:] != "" and after[:1] == before[-1:]), float(assigned), float(KINDS.index(kind)),
     ]
 
 
@@ -115,8 +116,12 @@ def labelled_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, str, str,
     for i in range(n):
         a, b = filler() + " ", " " + filler()
         if i % 2:
-            k = int(r.integers(12))
-            if k == 0:
+            k = int(r.integers(15))
+            if k >= 12:
+                # a key of its own: nothing near says what it is
+                key = draw(pick([alnum, alnum, alnum + "+/", alnum + "_-"]), int(r.integers(24, 129)) if k < 14 else int(r.integers(24, 60)))
+                out.append((key[:4] + "7" + key[4:] + "aQ" + pick(["", "", "=", "=="]), a + pick(["", "", "key ", "use "]), b, "random_run", 1))
+            elif k == 0:
                 out.append((pick(["AKIA", "ASIA"]) + draw(string.ascii_uppercase + "234567", 16), a, b, "aws_key_id", 1))
             elif k == 1:
                 out.append((pick(["ghp_", "gho_"]) + draw(alnum, 36), a, b, "github_token", 1))
@@ -133,8 +138,15 @@ def labelled_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, str, str,
                 value = pick([draw(hexa, int(r.integers(10, 25))), draw(hexa, int(r.integers(16, 65))), draw(alnum, int(r.integers(10, 41))), draw(alnum + "!@%^*+-", int(r.integers(10, 25)))])
                 out.append((value, a + name + pick(["=", " = ", ": "]) + q, q + b, "assigned", 1))
         else:
-            k = int(r.integers(9))
-            if k == 0:
+            k = int(r.integers(13))
+            if k >= 9:
+                # names and paths of mixed case, dates and dotted or long lower-case ids
+                many = [word() for _ in range(int(r.integers(5, 9)))]
+                camel = many[0] + "".join(w.title() for w in many[1:]) + str(r.integers(1, 100))
+                dated = f"/{r.integers(1990, 2030)}/{r.integers(10, 13)}/" + "-".join(many)
+                plain = "".join(r.choice(list("etaoinshrdlu"), int(r.integers(24, 60)))) + str(r.integers(10, 10_000))
+                out.append((pick([camel, camel, dated, plain, "/".join(w.title() for w in many) + "2", "-".join(w.title() for w in many) + "-v2"]), a, b, "random_run", 0))
+            elif k == 0:
                 out.append((pick(["AKIA", "ASIA"]) + pick(["EXAMPLE" * 3, "X" * 16, "0" * 16, "IOSFODNN7EXAMPLE", "1234567890ABCDEF"])[:16], a, b, "aws_key_id", 0))
             elif k == 1:
                 out.append((draw(hexa, pick([32, 40, 64])), a + pick(["commit ", "sha256 ", "md5: ", "checksum ", "digest ", "etag "]), b, "random_run", 0))
@@ -243,6 +255,7 @@ def scan_secrets(docs: DataFrame, findings=None, threshold: float = 0.5) -> Data
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("secrets")
         for batch in batches:
             found = find_secrets(batch.column("text").to_pylist(), forest, threshold)
             spans = pa.array([x[1] for x in found], pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64()), ("kind", pa.string()), ("score", pa.float64())])))
@@ -257,6 +270,7 @@ def redact(docs: DataFrame, findings=None, threshold: float = 0.5, mark: str = "
     names, schema = docs.columns, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("secrets")
         for batch in batches:
             texts = batch.column("text").to_pylist()
             changed: dict[int, str] = {}
