@@ -42,7 +42,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secrets", secrets), ("packing", packing)]
-#: The classifier, the forest and the tokenizer have no SQL form; tests/llm holds each stage against a plain version.
+#: The classifier, the forest and the tokenizer have no SQL form; tests/llm/test_pipeline.py holds each stage against a plain version.
 ORACLE_SQL = None
 
 
