@@ -3,6 +3,8 @@
 Pairs are made by an equi-join on the normalised values of all required text components (``keyed``), since a pair can only
 qualify if they agree; a rule without one, or ``pairs="all"``, compares all pairs under a budget that is checked first.
 A hot key is joined by a splittable sort-merge join; statuses are plain expressions inside whole-stage codegen.
+Decimal columns are compared as they are; texts behind a gate as DECIMAL(38,18), so that nothing is rounded: what has more
+digits goes to review. Relative tolerances take 8 fraction digits and 16 before them on each side.
 """
 
 from __future__ import annotations
@@ -11,9 +13,10 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 from pyspark.sql.window import Window
 
-from ..functions.fields import date_or_null, decimal_or_null, normalized, stable_id
+from ..functions.fields import date_or_null, decimal_or_null, fraction_digits, normalized, scaled_text, stable_id
 
 TEXT = ("IDENTIFIER_EXACT", "EXACT_TEXT", "NORMALIZED_TEXT")
 #: Worst first.
@@ -41,6 +44,9 @@ class Rule:
     missing: str = "HUMAN_REVIEW_REQUIRED"
     partial: str | None = None  # RIGHT_LESS_THAN_LEFT, LEFT_LESS_THAN_RIGHT or AGGREGATED_RIGHT_NOT_ABOVE_LEFT
     partial_approved: bool = False
+    partial_review: bool = False  # decimals that differ go to review instead of conflicting
+    left_role: str = ""
+    right_role: str = ""
     aggregate: str | None = None  # right column with the group's total
     max_pairs: int = 1_000_000
     keys: tuple[Component, ...] = field(init=False, default=())
@@ -53,8 +59,16 @@ class Rule:
         object.__setattr__(self, "keys", tuple(c for c in self.components if c.required and c.comparator in TEXT))
 
 
-def compared(c: Component, rule: Rule, left: Column, right: Column, aggregate: Column | None = None) -> Column:
-    """struct(status, reason, difference) of one component; the first case that holds decides."""
+def approved(policy: dict | None, run_approved: bool = True) -> bool:
+    """Whether a tolerance or partial policy is provided, approved in the run and itself, and says on whose word and what ground."""
+    policy = policy or {}
+    return bool(run_approved and policy.get("status", "PROVIDED") == "PROVIDED" and policy.get("approval_status") == "APPROVED" and all(str(policy.get(k) or "").strip() for k in ("basis", "owner", "approval_reference")))
+
+
+def compared(c: Component, rule: Rule, left: Column, right: Column, aggregate: Column | None = None, numbers: tuple[Column, ...] | None = None, scales: tuple[int | None, ...] = (None, None)) -> Column:
+    """struct(status, reason, difference) of one component; the first case that holds decides.
+
+    ``numbers``: decimals and fraction digits of left, right and aggregate where they are at hand; ``scales``: of sides that are decimal columns."""
     out = lambda status, reason, d=None: F.struct(F.lit(status).alias("status"), F.lit(reason).alias("reason"), (F.lit(None).cast("string") if d is None else d.cast("string")).alias("difference"))
     review = "HUMAN_REVIEW_REQUIRED"
     if not c.required:
@@ -80,22 +94,36 @@ def compared(c: Component, rule: Rule, left: Column, right: Column, aggregate: C
         return case.otherwise(out("CONFLICTING_MATCH", "DATE_DIFFERENCE", days))
     if c.comparator not in ("DECIMAL_ABSOLUTE", "DECIMAL_RELATIVE"):
         raise ValueError(f"unknown comparator {c.comparator}")
-    l, r = (x if x is None else decimal_or_null(x.cast("string"), 4) for x in (left, right))
+    if numbers is None:
+        read = [(decimal_or_null(x.cast("string")), fraction_digits(x.cast("string"))) if x is not None else (None, None) for x in (left, right, aggregate)]
+        numbers = tuple(y for x in read for y in x)
+    l, l_digits, r, r_digits, total, _ = numbers
     d = F.abs(r - l)
+    if None in scales:
+        shown = scaled_text(F.abs(r.cast("decimal(38,18)") - l.cast("decimal(38,18)")).cast("decimal(38,18)"), F.greatest(l_digits, r_digits))
+    else:
+        shown = d.cast("string")
+    out = lambda status, reason, d=None, out=out: out(status, reason, None if d is None else shown)
     case = case.when(l.isNull() | r.isNull(), out(review, "DECIMAL_NOT_CANONICAL")).when(l == r, out("EXACT_MATCH", "DECIMAL_EQUAL", d))
     if c.tolerance is not None:
-        bound = F.lit(str(c.tolerance)).cast("decimal(18,6)")
-        near = d <= (bound if c.comparator == "DECIMAL_ABSOLUTE" else bound * F.greatest(F.abs(l), F.abs(r)))
+        if c.comparator == "DECIMAL_ABSOLUTE":
+            near = d <= F.lit(str(c.tolerance)).cast("decimal(38,18)")
+        else:
+            narrow = [x if t is not None and t <= 8 else x.try_cast("decimal(24,8)") for x, t in zip((l, r), scales, strict=True)]
+            case = case.when(narrow[0].isNull() | narrow[1].isNull() | (narrow[0] != l) | (narrow[1] != r), out(review, "DECIMAL_TOO_WIDE", d))
+            near = F.abs(narrow[1] - narrow[0]) <= F.lit(str(c.tolerance)).cast("decimal(9,6)") * F.greatest(F.abs(narrow[0]), F.abs(narrow[1]))
         case = case.when(near, out("WITHIN_TOLERANCE", "DECIMAL_WITHIN_TOLERANCE", d) if c.tolerance_approved else out(review, "TOLERANCE_NOT_APPROVED", d))
     if rule.partial:
         both = (l >= 0) & (r >= 0)
         if rule.partial == "AGGREGATED_RIGHT_NOT_ABOVE_LEFT":
-            total = decimal_or_null(aggregate.cast("string"), 4)
             case = case.when(total.isNull(), out(review, "AGGREGATE_MISSING", d))
             fits = both & (total <= l)
         else:
             fits = both & (r < l if rule.partial == "RIGHT_LESS_THAN_LEFT" else l < r)
         case = case.when(fits, out("PARTIAL_MATCH", rule.partial, d) if rule.partial_approved else out(review, "PARTIAL_POLICY_NOT_APPROVED", d))
+    if rule.partial_review:
+        case = case.otherwise(out(review, "PARTIAL_POLICY_REQUIRES_HUMAN_REVIEW", d))
+        return case
     return case.otherwise(out("CONFLICTING_MATCH", "DECIMAL_DIFFERENCE", d))
 
 
@@ -107,8 +135,18 @@ def folded(statuses: list[Column]) -> Column:
 
 def pairs_of(left: DataFrame, right: DataFrame, rule: Rule, pairs: str = "keyed") -> DataFrame:
     """left_id, right_id, status, comparisons (array of component, status, reason, difference), left and right decimals."""
-    l = left.select([F.col(f"`{c}`").alias(f"l_{c}") for c in left.columns])
-    r = right.select([F.col(f"`{c}`").alias(f"r_{c}") for c in right.columns])
+    decimals = [c for c in rule.components if c.comparator.startswith("DECIMAL")]
+    scale = lambda df, name: kind.scale if isinstance(kind := df.schema[name].dataType, DecimalType) else None
+
+    def side(df: DataFrame, mark: str, names: set[str]) -> DataFrame:
+        # texts are read as decimals once for each record, not for each pair
+        made = df.select([F.col(f"`{c}`").alias(f"{mark}_{c}") for c in df.columns])
+        for n in sorted(names):
+            text, k = F.col(f"{mark}_{n}").cast("string"), scale(df, n)
+            made = made.withColumns({f"{mark}__number_{n}": decimal_or_null(text) if k is None else F.col(f"{mark}_{n}"), f"{mark}__digits_{n}": fraction_digits(text) if k is None else F.lit(k)})
+        return made
+
+    l, r = side(left, "l", {c.left for c in decimals}), side(right, "r", {c.right for c in decimals} | ({rule.aggregate} if rule.aggregate else set()))
     if pairs == "keyed" and rule.keys:
         on = [normalized(F.col(f"l_{c.left}"), c.normalizers) == normalized(F.col(f"r_{c.right}"), c.normalizers) for c in rule.keys]
         joined = l.join(r, on)
@@ -117,18 +155,19 @@ def pairs_of(left: DataFrame, right: DataFrame, rule: Rule, pairs: str = "keyed"
             raise ValueError(f"{rule.name}: more than {rule.max_pairs} pairs")
         joined = l.crossJoin(r)
     aggregate = F.col(f"r_{rule.aggregate}") if rule.aggregate else None
-    made = joined.withColumns({f"_c{i}": compared(c, rule, F.col(f"l_{c.left}"), F.col(f"r_{c.right}"), aggregate) for i, c in enumerate(rule.components)})
+    read = lambda mark, name: (F.col(f"{mark}__number_{name}"), F.col(f"{mark}__digits_{name}")) if name else (None, None)
+    made = joined.withColumns({f"_c{i}": compared(c, rule, F.col(f"l_{c.left}"), F.col(f"r_{c.right}"), aggregate, *(((*read("l", c.left), *read("r", c.right), *read("r", rule.aggregate)), (scale(left, c.left), scale(right, c.right))) if c in decimals else ())) for i, c in enumerate(rule.components)})
     rows = F.array(*[F.struct(F.lit(c.name).alias("component"), F.col(f"_c{i}.status").alias("status"), F.col(f"_c{i}.reason").alias("reason"), F.col(f"_c{i}.difference").alias("difference"),
                               F.col(f"l_{c.left}").cast("string").alias("left_value"), F.col(f"r_{c.right}").cast("string").alias("right_value")) for i, c in enumerate(rule.components)])
     return made.select(F.lit(rule.name).alias("rule"), F.col("l_record_id").alias("left_id"), F.col("r_record_id").alias("right_id"), folded([F.col(f"_c{i}.status") for i in range(len(rule.components))]).alias("status"), rows.alias("comparisons"))
 
 
 def resolved(pairs: DataFrame, rule: Rule) -> DataFrame:
-    """Qualifying pairs with ``selected`` by cardinality; the others of them are ambiguous."""
+    """Qualifying pairs with ``selected`` by cardinality, in one pass: records are counted only on the sides that the cardinality bounds."""
     q = pairs.where(F.col("status").isin(*QUALIFYING))
-    lefts, rights = q.groupBy("left_id").agg(F.count(F.lit(1)).alias("n_left")), q.groupBy("right_id").agg(F.count(F.lit(1)).alias("n_right"))
-    keep = {"ONE_TO_ONE": (F.col("n_left") == 1) & (F.col("n_right") == 1), "ONE_TO_MANY": F.col("n_right") == 1, "MANY_TO_ONE": F.col("n_left") == 1, "MANY_TO_MANY": F.lit(False)}[rule.cardinality]
-    return q.join(lefts, "left_id").join(rights, "right_id").withColumn("selected", keep)
+    alone = lambda side: F.count(F.lit(1)).over(Window.partitionBy(f"{side}_id")) == 1
+    keep = {"ONE_TO_ONE": lambda: alone("left") & alone("right"), "ONE_TO_MANY": lambda: alone("right"), "MANY_TO_ONE": lambda: alone("left"), "MANY_TO_MANY": lambda: F.lit(False)}[rule.cardinality]
+    return q.withColumn("selected", keep())
 
 
 def links_of(resolved_: DataFrame) -> DataFrame:
@@ -147,12 +186,76 @@ def unmatched(records: DataFrame, resolved_: DataFrame, side: str) -> DataFrame:
 def allocations(links: DataFrame) -> DataFrame:
     """Partial comparisons of links as allocated part and capacity; over-allocated groups are sent to review."""
     parts = links.select("rule", "left_id", "right_id", F.explode("comparisons").alias("c")).where("c.status = 'PARTIAL_MATCH' AND NOT startswith(c.reason, 'AGGREGATED')")
-    l, r = F.col("c.left_value").cast("decimal(38,4)"), F.col("c.right_value").cast("decimal(38,4)")
+    l, r = decimal_or_null(F.col("c.left_value")), decimal_or_null(F.col("c.right_value"))
     rows = parts.select("rule", "left_id", "right_id", "c.component", F.least(l, r).alias("allocated"), F.greatest(l, r).alias("capacity"), F.when(r < l, F.col("left_id")).otherwise(F.col("right_id")).alias("holder"))
-    sums = rows.groupBy("rule", "component", "holder").agg(F.sum("allocated").alias("total"))
     over = F.col("total") > F.col("capacity")
-    return rows.join(sums, ["rule", "component", "holder"]).select("rule", "component", "left_id", "right_id", "allocated", "capacity", "total",
-                                                                  F.when(over, "HUMAN_REVIEW_REQUIRED").otherwise("PARTIAL_MATCH").alias("status"), F.when(over, "PARTIAL_OVER_ALLOCATION").alias("reason"))
+    return rows.withColumn("total", F.sum("allocated").over(Window.partitionBy("rule", "component", "holder"))).select(
+        "rule", "component", "holder", "left_id", "right_id", "allocated", "capacity", "total", F.when(over, "HUMAN_REVIEW_REQUIRED").otherwise("PARTIAL_MATCH").alias("status"), F.when(over, "PARTIAL_OVER_ALLOCATION").alias("reason"))
+
+
+def demoted(links: DataFrame, allocated: DataFrame) -> DataFrame:
+    """Links with the status of their allocations: one that takes part in an over-allocation goes to review (with reason_code)."""
+    over = allocated.where("reason IS NOT NULL").select("rule", "left_id", "right_id", "reason").distinct()
+    return links.join(over, ["rule", "left_id", "right_id"], "left").withColumns({
+        "status": F.when(F.col("reason").isNotNull(), "HUMAN_REVIEW_REQUIRED").otherwise(F.col("status")), "reason_code": F.col("reason")}).drop("reason")
+
+
+def over_allocation_discrepancies(allocated: DataFrame) -> DataFrame:
+    """One row for each over-allocated record and component."""
+    some = allocated.where("reason IS NOT NULL").select("rule", "component", "holder", "capacity", "total").distinct()
+    return some.select(stable_id("disc", F.lit("PARTIAL_OVER_ALLOCATION"), F.col("rule"), F.col("component"), F.col("holder")).alias("discrepancy_id"), "rule", "component", "holder", F.lit("PARTIAL_OVER_ALLOCATION").alias("type"), F.lit("MEDIUM").alias("severity"), "capacity", "total")
+
+
+def overridden(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs with the status and reason of their link where they are linked."""
+    own = links.select("rule", "left_id", "right_id", F.col("status").alias("_status"), (F.col("reason_code") if "reason_code" in links.columns else F.lit(None).cast("string")).alias("_reason"))
+    made = pairs.join(own, ["rule", "left_id", "right_id"], "left")
+    status = F.coalesce("_status", "status")
+    return made.withColumn("reason", F.coalesce("_reason", F.concat(F.lit("DETERMINISTIC_PAIR_STATUS_"), status))).withColumn("status", status).drop("_status", "_reason")
+
+
+def quality_status(status: Column) -> Column:
+    """What a match status means for the quality of the run."""
+    return (F.when(status == "EXACT_MATCH", "PASS").when(status.isin("WITHIN_TOLERANCE", "PARTIAL_MATCH"), "PASS_WITH_WARNINGS").when(status.isin("STRONG_CANDIDATE", "AMBIGUOUS_MATCH", "HUMAN_REVIEW_REQUIRED"), "CONDITIONAL")
+            .when(status.isin("CONFLICTING_MATCH", "UNMATCHED"), "FAIL").otherwise("NOT_TESTED"))
+
+
+def result_rows(pairs: DataFrame, records: DataFrame, rule: Rule, run: dict[str, str]) -> DataFrame:
+    """One canonical row for each evaluated pair: participants with their sources, component results, quality and review.
+
+    ``pairs``: of overridden(); ``records``: record_id, source_reference; ``run``: run_id, config_id, config_version, mode, grain and kinds of the two roles.
+    """
+    known = records.select("record_id", "source_reference")
+    both = (pairs.join(known.select(F.col("record_id").alias("left_id"), F.col("source_reference").alias("_l")), "left_id", "left")
+            .join(known.select(F.col("record_id").alias("right_id"), F.col("source_reference").alias("_r")), "right_id", "left"))
+    kind = lambda side: run["grain"] if run.get("grain") in ("LINE_ITEM", "PAYMENT_ALLOCATION") else run.get(f"{side}_kind", "DOCUMENT")
+    part = lambda side, role, ref: F.struct(F.lit(role).alias("role_id"), F.lit(kind(side)).alias("object_kind"), F.array(f"{side}_id").alias("record_ids"),
+                                            F.when(F.trim(F.coalesce(F.col(ref), F.lit(""))) != "", F.array(ref)).otherwise(F.array().cast("array<string>")).alias("source_references"))
+    review = ~F.col("status").isin(*QUALIFYING)
+    fixed = [F.lit(run.get(k)).alias(k) for k in ("run_id", "config_id", "config_version", "mode", "grain")]
+    return both.select(stable_id("recon", F.lit(run.get("run_id")), F.col("rule"), F.col("left_id"), F.col("right_id")).alias("reconciliation_id"), *fixed, "rule", "left_id", "right_id",
+                       F.array(part("left", rule.left_role, "_l"), part("right", rule.right_role, "_r")).alias("participants"), F.col("comparisons").alias("rule_results"), "status", quality_status(F.col("status")).alias("quality_status"), "reason",
+                       F.array().cast("array<string>").alias("supporting_evidence_ids"), review.alias("review_required"), F.when(review, "REQUIRED").otherwise("NOT_REQUIRED").alias("review_status"))
+
+
+def output_view(results: DataFrame, view: str) -> DataFrame:
+    """full: all rows; package: without those that need review; discrepancies: a row for each conflicting component."""
+    if view == "full":
+        return results
+    if view == "package":
+        return results.where(~F.col("review_required"))
+    if view != "discrepancies":
+        raise ValueError(f"unknown view {view}")
+    return results.select("reconciliation_id", "rule", "left_id", "right_id", F.explode("rule_results").alias("c")).where("c.status = 'CONFLICTING_MATCH'").select("reconciliation_id", "rule", "left_id", "right_id", "c.component", "c.reason", "c.difference")
+
+
+def document_links(links: DataFrame, documents: DataFrame) -> DataFrame:
+    """Links with the sources of both documents (UNKNOWN where there is none), their keys and review status; documents: document_id, source_reference."""
+    named = lambda side: documents.select(F.col("document_id").alias(f"{side}_id"), F.col("source_reference").alias(f"_{side}"))
+    made = links.join(named("left"), "left_id", "left").join(named("right"), "right_id", "left")
+    source = lambda side: F.coalesce(F.col(f"_{side}"), F.lit("UNKNOWN"))
+    return made.select("link_id", F.col("left_id").alias("left_document_id"), F.col("right_id").alias("right_document_id"), F.col("status").alias("match_status"), F.array_sort("comparisons.component").alias("match_keys"),
+                       F.array_sort(F.array_distinct(F.array(source("left"), source("right")))).alias("source_references"), F.when(F.col("status").isin("PARTIAL_MATCH", "HUMAN_REVIEW_REQUIRED"), "PENDING").otherwise("NOT_REQUIRED").alias("human_review_status"))
 
 
 def discrepancy_type(c: Component) -> str:
@@ -168,20 +271,39 @@ def discrepancy_type(c: Component) -> str:
     return "REFERENCE_MISMATCH" if c.comparator == "IDENTIFIER_EXACT" else "SYSTEM_DOCUMENT_MISMATCH"
 
 
+def last_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """Of rows that share a key the last by ``order``, with all its columns."""
+    return rows.groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for c in rows.columns if c != key]), F.col(order)).alias("_row")).select(key, "_row.*").select(*rows.columns)
+
+
 def discrepancies(pairs: DataFrame, rule: Rule) -> DataFrame:
+    """A row for each conflicting component; a pair is evaluated once for a rule, so ids don't repeat."""
     kinds = F.create_map(*[x for c in rule.components for x in (F.lit(c.name), F.lit(discrepancy_type(c)))])
     rows = pairs.select("rule", "left_id", "right_id", F.explode("comparisons").alias("c")).where("c.status = 'CONFLICTING_MATCH'").withColumn("type", kinds[F.col("c.component")])
     return rows.select(stable_id("disc", F.col("rule"), F.col("left_id"), F.col("right_id"), F.col("c.component")).alias("discrepancy_id"), "rule", "left_id", "right_id", "c.component", "type",
-                       F.when(F.col("type") == "BANK_ACCOUNT_MISMATCH", "HIGH").otherwise("MEDIUM").alias("severity"), "c.difference").dropDuplicates(["discrepancy_id"])
+                       F.when(F.col("type") == "BANK_ACCOUNT_MISMATCH", "HIGH").otherwise("MEDIUM").alias("severity"), "c.difference")
+
+
+def _group_missing(keys: list[str]) -> Column:
+    return F.greatest(*[F.col(k).isNull().cast("int") for k in keys], F.lit(0)) == 1
 
 
 def aggregated(records: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, DataFrame]:
-    """Sum, count, least and greatest decimal of each group with its members; and the rejected records with a reason."""
-    d = decimal_or_null(F.col(value).cast("string"), 4)
-    reason = F.when(F.greatest(*[F.col(k).isNull().cast("int") for k in keys], F.lit(0)) == 1, "GROUP_FIELD_MISSING").when(d.isNull(), "DECIMAL_VALUE_MISSING_OR_INVALID")
-    marked = records.withColumns({"_d": d, "reason": reason})
-    good = marked.where("reason IS NULL").groupBy(*keys).agg(F.sum("_d").alias("sum_value"), F.count(F.lit(1)).alias("n_records"), F.min("_d").alias("min_value"), F.max("_d").alias("max_value"))
-    return good, marked.where("reason IS NOT NULL").select("record_id", "reason")
+    """Of each group: sum, least and greatest of its decimals (with their own digits), number of all its records, id; and the rejected records with a reason.
+
+    Records without a decimal count among n_records and are rejected for the others; those without a key are rejected for all.
+    """
+    kind = records.schema[value].dataType
+    text = F.col(value).cast("string")
+    d = F.col(value) if isinstance(kind, DecimalType) else decimal_or_null(text)
+    marked = records.withColumns({"_d": d, "_t": F.when(d.isNotNull(), text), "reason": F.when(_group_missing(keys), "GROUP_FIELD_MISSING").when(d.isNull(), "DECIMAL_VALUE_MISSING_OR_INVALID")})
+    good = marked.where(~_group_missing(keys)).groupBy(*keys).agg(F.sum("_d").alias("sum_value"), F.count(F.lit(1)).alias("n_records"), F.min_by("_t", "_d").alias("min_value"), F.max_by("_t", "_d").alias("max_value"))
+    return good.withColumn("aggregation_result_id", stable_id("agg", *[F.to_json(F.struct(k)) for k in keys])), marked.where("reason IS NOT NULL").select("record_id", "reason")
+
+
+def aggregation_members(records: DataFrame, keys: list[str]) -> DataFrame:
+    """Members of the groups: a row for each record of a group, with the group's id."""
+    return records.where(~_group_missing(keys)).select(stable_id("agg", *[F.to_json(F.struct(k)) for k in keys]).alias("aggregation_result_id"), *keys, "record_id")
 
 
 def run_status(statuses: DataFrame, n_discrepancies: Column | int) -> DataFrame:
@@ -201,7 +323,15 @@ def missing_roles(required: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def with_group_total(records: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    return records.withColumn(out, F.sum(value).over(Window.partitionBy(*keys)))
+    """The group's sum at each record, by a join that can be split where a group is hot; a record without a key has none."""
+    return records.join(records.groupBy(*keys).agg(F.sum(value).alias(out)), keys, "left").select(*records.columns, out)
+
+
+def readiness(run: DataFrame, issues: DataFrame) -> DataFrame:
+    """BLOCKED where the run's status (run_status) isn't one of a finished run or a required role is missing, else READY_FOR_HUMAN_REVIEW; issues: issue_code."""
+    missing = issues.agg(F.coalesce(F.bool_or(F.col("issue_code") == "MISSING_REQUIRED_ROLE"), F.lit(False)).alias("missing"))
+    known = run.agg(F.coalesce(F.bool_and(F.col("run_status").isin("PASS", "PASS_WITH_WARNINGS", "CONDITIONAL")), F.lit(False)).alias("known"))
+    return known.join(F.broadcast(missing)).select(F.when(~F.col("known") | F.col("missing"), "BLOCKED").otherwise("READY_FOR_HUMAN_REVIEW").alias("readiness"))  # a row each
 
 
 def bridged(left: DataFrame, right: DataFrame, bridge: DataFrame, left_key: str, right_key: str) -> DataFrame:

@@ -24,7 +24,7 @@ def amount(**k):
 def test_tolerance_needs_approval(spark):
     rows = [("L", "1", "100.00")], [("R", "1", "100.04")]
     ok = one(spark, R.Rule("r", (PO, amount(tolerance="0.05", tolerance_approved=True))), *rows)[0]
-    assert ok.status == "WITHIN_TOLERANCE" and ok.comparisons[1].difference == "0.0400"
+    assert ok.status == "WITHIN_TOLERANCE" and ok.comparisons[1].difference == "0.04"
     pending = one(spark, R.Rule("r", (PO, amount(tolerance="0.05"))), *rows)[0]
     assert (pending.status, pending.comparisons[1].reason) == ("HUMAN_REVIEW_REQUIRED", "TOLERANCE_NOT_APPROVED")
 
