@@ -143,6 +143,14 @@ def stable_id(prefix: str, *parts: Column, length: int = 24) -> Column:
     return F.concat(F.lit(f"{prefix}-"), F.substring(F.sha2(F.to_json(F.array(*[p.cast("string") for p in parts])), 256), 1, length))
 
 
+def strict_json(c: Column) -> Column:
+    """A JSON text as a variant; null if it is broken, names a member twice or goes on behind its value.
+
+    The parser stops at a value's end, so the text is read inside an object and inside an array: what follows can't close both."""
+    inside = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
+    return F.when(inside.isNotNull() & F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))).isNotNull(), F.try_variant_get(inside, "$.v", "variant"))
+
+
 def canonical_json(c: Column) -> Column:
     """JSON text with sorted members, compact, not escaped beyond need; null stays null."""
     return _canonical(c)

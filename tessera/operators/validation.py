@@ -232,12 +232,28 @@ def block_errors(blocks: DataFrame, slack: float = 0.0) -> DataFrame:
     return rows.unionByName(parent_cycles(blocks).select("document_id", "block_id", F.lit("PARENT_CYCLE").alias("error")))
 
 
-def parent_cycles(blocks: DataFrame, steps: int = 17) -> DataFrame:
-    """Blocks whose chain of parents doesn't end: after doubling ``steps`` times (2^17 parents, more than a document may have) it still goes on."""
-    jump = blocks.where("parent_block_id IS NOT NULL").join(blocks.select("document_id", F.col("block_id").alias("parent_block_id")).distinct(), ["document_id", "parent_block_id"], "left_semi").select("document_id", "block_id", F.col("parent_block_id").alias("to"))
-    for _ in range(steps):
-        if jump.isEmpty():
-            return jump.select("document_id", "block_id")
-        nxt = jump.select("document_id", F.col("block_id").alias("to"), F.col("to").alias("_next"))
-        jump = jump.join(nxt, ["document_id", "to"]).select("document_id", "block_id", F.col("_next").alias("to")).persist()
-    return jump.select("document_id", "block_id").distinct()
+def parent_cycles(blocks: DataFrame) -> DataFrame:
+    """document_id, block_id of blocks whose chain of parents doesn't end. Of blocks that share an id the last one's parent counts.
+
+    The parents of one document, which bounds them, are walked together; each block is met once, so it takes linear time."""
+    parents = blocks.groupBy("document_id", "block_id").agg(F.max_by("parent_block_id", "position").alias("to"))
+    maps = parents.groupBy("document_id").agg(F.collect_list("block_id").alias("ids"), F.collect_list(F.coalesce("to", F.lit(""))).alias("to"))
+    kind = blocks.schema["document_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for document, ids, to in zip(batch.column("document_id"), batch.column("ids").to_pylist(), batch.column("to").to_pylist()):
+                above, ends = dict(zip(ids, to)), {}
+                for start in ids:
+                    path, at = [], start
+                    while at in above and at not in ends:
+                        ends[at] = False  # until it is known, a chain that comes back here doesn't end
+                        path.append(at)
+                        at = above[at]
+                    good = ends.get(at, True)
+                    for x in path:
+                        ends[x] = good
+                bad = [x for x in ids if not ends[x]]
+                yield pa.RecordBatch.from_arrays([pa.array([document.as_py()] * len(bad), batch.column("document_id").type), pa.array(bad, pa.string())], names=["document_id", "block_id"])
+
+    return maps.mapInArrow(run, f"document_id {kind}, block_id string")

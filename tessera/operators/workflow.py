@@ -1,6 +1,6 @@
 """From JSON sources to records: shapes of payloads, field wrappers, unique document ids, issues and the field dictionary.
 
-A payload is parsed strictly (try_parse_json) and may be an extraction package, a collection ``{documents: [...]}``, an
+A payload is parsed strictly (strict_json) and may be an extraction package, a collection ``{documents: [...]}``, an
 array or a single document. A source that can't be read gives a row in the index, never a failed job. All is relational:
 documents and fields are exploded rows, groups are pre-aggregated, and nothing is collected by source or document.
 """
@@ -19,6 +19,11 @@ IDENTIFIER = r"^[A-Za-z0-9][A-Za-z0-9._:-]*$"
 TYPE = r"^[A-Z][A-Z0-9_]*$"
 
 
+def held(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds columns that are computed once for each row: a generator between projections keeps them from being repeated in each use."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
 def kind_of(v: Column) -> Column:
     """STRING, BOOLEAN, ARRAY, OBJECT, VOID or a number's type of a variant."""
     return F.regexp_extract(F.schema_of_variant(v), r"^[A-Z]+", 0)
@@ -43,8 +48,9 @@ def extracted_records(payloads: DataFrame, key: str, value: str = "value") -> Da
 
 def documents_of(payloads: DataFrame) -> DataFrame:
     """source, ordinal, document_id, document_type, role_hint, fields (map of variants), issue of payloads (source, value), of any shape but a package."""
-    v = F.col("value")
-    shape = payload_shape(v)
+    v = F.col("_value")
+    payloads = held(held(payloads, {"_value": F.col("value")}), {"_shape": payload_shape(v)})
+    shape = F.col("_shape")
     several = F.when(shape == "COLLECTION", F.try_variant_get(v, "$.documents", "array<variant>")).when(shape == "ARRAY", F.try_variant_get(v, "$", "array<variant>")).otherwise(F.array(v))
     rows = payloads.where(v.isNotNull() & (shape != "PACKAGE")).select("source", F.posexplode(several).alias("ordinal", "d"))
     get = lambda k, kind="string": F.try_variant_get("d", f"$.{k}", kind)
@@ -78,10 +84,10 @@ def field_rows(documents: DataFrame) -> DataFrame:
     keys = F.map_keys(F.try_variant_get("v", "$", "map<string,variant>"))
     wrapped = F.coalesce((kind_of(F.col("v")) == "OBJECT") & F.arrays_overlap(keys, F.array(*map(F.lit, WRAPPER))), F.lit(False))
     get = lambda k: F.try_variant_get("v", f"$.{k}", "variant")
-    own = rows.withColumn("wrapped", wrapped)
+    own = held(rows, {"wrapped": wrapped})
     raw = F.when(F.col("wrapped"), get("raw_value")).otherwise(F.col("v"))
     normalized = F.when(F.col("wrapped"), F.when(F.array_contains(keys, F.lit("normalized_value")), get("normalized_value")).otherwise(get("raw_value"))).otherwise(F.col("v"))
-    made = own.withColumns({"_raw": raw, "_norm": normalized}).withColumns({
+    made = held(held(own, {"_raw": raw, "_norm": normalized}), {
         "_display": F.when(F.col("wrapped") & F.array_contains(keys, F.lit("display_value")), get("display_value")).otherwise(F.col("_norm")),
         "unsupported": F.when(F.col("wrapped"), F.array_except(keys, F.array(*map(F.lit, WRAPPER)))).otherwise(F.array().cast("array<string>"))})
     formula = F.lit(False)

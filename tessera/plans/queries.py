@@ -186,9 +186,9 @@ def occurrence_ids(spark, sf):
     return I.occurrences(I.with_hash(table(spark, sf, "documents").select("doc_id", "text"), "text").drop("text"), "doc_id").select("doc_id", "occurrence_id")
 
 
-@query("SELECT CASE WHEN regexp_matches(trim(html), '^[<](!DOCTYPE|html)') THEN 'HTML' ELSE 'TEXT' END AS kind, count(*) AS n FROM pages GROUP BY 1")
+@query("SELECT 'XML_TEXT' AS kind, count(*) AS n FROM pages WHERE html IS NOT NULL")
 def signatures(spark, sf):
-    return table(spark, sf, "pages").select(I.signature(F.col("html").cast("binary")).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, sf, "pages").where("html IS NOT NULL").select(I.signature(F.col("html").cast("binary"), F.lit(".xml")).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 _BLOCKS = "b AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents)"
@@ -219,7 +219,11 @@ def block_coverage(spark, sf):
     return C.coverage(C.split_lines(table(spark, sf, "documents"))).select("document_id", "n_blocks", "first_block", "last_block")
 
 
-@query()
+_HEADS = "SELECT conv_id, turn, text, CASE WHEN role = 'user' THEN turn % 3 + 1 END AS l FROM conversations"
+_LAST = ", ".join(f"last_value(CASE WHEN l = {k} THEN turn END IGNORE NULLS) OVER w AS a{k}, last_value(CASE WHEN l = {k} THEN text END IGNORE NULLS) OVER w AS t{k}" for k in (1, 2, 3))
+
+
+@query(f"SELECT conv_id AS document_id, turn AS reading_order, coalesce(array_to_string([t1, CASE WHEN a2 > coalesce(a1, -1) THEN t2 ELSE 'UNKNOWN' END, t3][1:d].list_transform(lambda x: coalesce(x, 'UNKNOWN')), ' > '), '') AS path FROM (SELECT conv_id, turn, {_LAST}, coalesce(last_value(l IGNORE NULLS) OVER w, 0) AS d FROM ({_HEADS}) WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))")
 def heading_path(spark, sf):
     turns = table(spark, sf, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("reading_order"), F.when(F.col("role") == "user", "HEADING").otherwise("PARAGRAPH").alias("block_type"), ((F.col("turn") % 3) + 1).cast("int").alias("level"), "text")
     return C.heading_paths(turns).select("document_id", "reading_order", F.array_join("path", " > ").alias("path"))

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.fields import strict_json
+
 
 def json_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     """source, text, value (variant), status of each line that arrives in ``path``; blank lines are left out, broken ones FAILED."""
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path).where(F.trim("value") != "")
-    v = F.try_parse_json("value")
+    v = strict_json(F.col("value"))
     return lines.select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("text"), v.alias("value"), F.when(v.isNull(), "FAILED").otherwise("PROCESSED").alias("status"))
 
 
