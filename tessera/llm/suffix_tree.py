@@ -4,9 +4,9 @@ Tokens are words and one end for each document. The tree has two levels, both wi
 are retained by frequency and by a divergence test against their parent:
 
 * Words. Symbols are the frequent words (``p_word`` of all tokens or more, at most 1 / p_word), the end, and classes of the
-  other words by their first three spelt symbols (``p_class``). The next symbol is predicted behind the symbol before it, if
-  that context holds ``p_context`` of all symbols and diverges from the empty one by ``divergence`` nats; else behind the empty
-  one. Katz back-off to the shorter context.
+  other words by their first three spelt symbols (``p_class``). The next symbol is predicted behind the longest retained suffix
+  of the two symbols before it: a context is retained if it holds ``p_context`` of all symbols and its distribution diverges
+  from that of its longest shorter suffix by ``divergence`` nats. Katz back-off to the shorter context.
 * Spelling. A word that is no symbol of its own has P(word | class) = (c + f * P(spelling | class)) / (n + f), f the words of
   the class that occur once. The spelling is the word's UTF-8 bytes behind a boundary and closed by one; each byte is predicted from
   the longest retained suffix of up to ``depth`` symbols before it, and distributions are interpolated with the parent's
@@ -16,7 +16,7 @@ So P(text) is a (sub-)distribution over token sequences. Counts come from the tr
 
 1. Words are counted in each partition and summed by word: the vocabulary, a table in the shared folder.
 2. Byte counts behind full contexts are taken from the vocabulary's rare words (each once: what is spelt later is rare too)
-   and summed to all suffixes; pairs of word symbols are counted over all training texts. What is below p_min or p_next is dropped,
+   and summed to all suffixes; pairs of word symbols, and what follows frequent pairs, are counted over all training texts. What is below p_min or p_next is dropped,
    so the trees have at most (depth + 1) * 4 / p_min and 1 / p_next next symbols, whatever the corpus; they go to the tasks.
 3. Each rare word of the vocabulary is spelt once; documents meet them in a shuffle join, summed by document.
 
@@ -258,16 +258,21 @@ def alphabet_of(vocab: DataFrame, n: int, p_word: float, p_class: float) -> tupl
 
 @dataclass
 class WordTree:
-    """Next-symbol distributions behind the empty context and behind retained symbols (Katz back-off to the empty one)."""
+    """Next-symbol distributions behind the empty context and behind retained contexts of one and two symbols; Katz back-off
+    from each context to its longest shorter suffix."""
 
     root: np.ndarray
     state: np.ndarray  # of each symbol: its context's number, or 0 (the empty one)
     entries: np.ndarray  # sorted context * size + symbol
     log: np.ndarray
     back: np.ndarray  # log10 of each context's back-off weight
+    pairs: np.ndarray  # sorted symbol * size + symbol: contexts of two, whose last symbol is a context of one
+    entries2: np.ndarray
+    log2: np.ndarray
+    back2: np.ndarray
 
-    def log10(self, before: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """Of each symbol behind the symbol before it, from the longest retained suffix."""
+    def one(self, before: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """log10 of each symbol behind the symbol before it, from the context of one or the empty one."""
         size = len(self.root)
         keys, back = np.unique(self.state[before] * size + symbol, return_inverse=True)
         context, s = keys // size, keys % size
@@ -277,20 +282,33 @@ class WordTree:
             out = np.where(self.entries[at] == keys, self.log[at], out)
         return out[back]
 
-
-def grow_words(docs: DataFrame, alphabet: Alphabet, p_context: float, p_min: float, divergence: float, chunk: int = 1_000_000) -> WordTree:
-    """Counts pairs of symbols in training documents; contexts of p_context of all symbols or more, next symbols of p_min."""
-    totals, size = alphabet.totals(), alphabet.size
-    n = totals.sum()
-    root = (totals + 0.5) / (n + 0.5 * size)
-    may = totals >= max(1.0, p_context * n)
-    sent = docs.sparkSession.sparkContext.broadcast((alphabet, may))
+    def log10(self, first: np.ndarray, before: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """log10 of each symbol behind the two symbols before it, from the longest retained suffix."""
+        out, size = self.one(before, symbol), len(self.root)
+        if len(self.pairs):
+            keys = first * size + before
+            at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+            hit = np.flatnonzero(self.pairs[at] == keys)
+            context = at[hit]
+            wanted = context * size + symbol[hit]
+            longer = self.back2[context] + out[hit]
+            if len(self.entries2):
+                e = np.minimum(np.searchsorted(self.entries2, wanted), len(self.entries2) - 1)
+                longer = np.where(self.entries2[e] == wanted, self.log2[e], longer)
+            out[hit] = longer
+        return out
+
+
+def counted(docs: DataFrame, sent, keys_of, chunk: int = 1_000_000) -> DataFrame:
+    """key, n over the symbols of the training documents: ``keys_of(symbols, sent.value)`` of stretches that overlap by two symbols."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alphabet, may = sent.value
+        worker_cache("suffix tree")
+        known = sent.value
+        alphabet = known[0]
         ids, end = alphabet.ids(), alphabet.words.index(b"")
         keys, sums = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        waiting, line = 0, [end]
+        waiting, line = 0, [end, end]
 
         def fold() -> None:
             k = np.concatenate(keys)
@@ -302,13 +320,11 @@ def grow_words(docs: DataFrame, alphabet: Alphabet, p_context: float, p_min: flo
 
         def take() -> None:
             nonlocal waiting
-            x = np.array(line, np.int64)
-            pairs = x[:-1] * alphabet.size + x[1:]
-            k, c = np.unique(pairs[may[x[:-1]]], return_counts=True)
+            k, c = np.unique(keys_of(np.array(line, np.int64), known), return_counts=True)
             keys.append(k)
             sums.append(c)
             waiting += len(k)
-            del line[:-1]
+            del line[:-2]
             if waiting > 4 * chunk:
                 fold()
                 waiting = len(keys[0]) // 2
@@ -325,21 +341,65 @@ def grow_words(docs: DataFrame, alphabet: Alphabet, p_context: float, p_min: flo
         for i in range(0, len(keys[0]), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(keys[0][i:i + 100_000]), pa.array(sums[0][i:i + 100_000])], names=["key", "n"])
 
-    found = docs.select("text", "held_out").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2.0, p_min * n)).toArrow()
-    key, k = found.column("key").to_numpy(), found.column("n").to_numpy()
-    order = np.argsort(key)
-    key, k = key[order], k[order].astype(float)
+    return docs.select("text", "held_out").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def _pair_keys(x: np.ndarray, known) -> np.ndarray:
+    alphabet, may = known
+    return (x[1:-1] * alphabet.size + x[2:])[may[x[1:-1]]]
+
+
+def _triple_keys(x: np.ndarray, known) -> np.ndarray:
+    alphabet, pairs = known
+    keys = x[:-2] * alphabet.size + x[1:-1]
+    at = np.minimum(np.searchsorted(pairs, keys), len(pairs) - 1)
+    hit = pairs[at] == keys
+    return at[hit] * alphabet.size + x[2:][hit]
+
+
+def grow_words(docs: DataFrame, alphabet: Alphabet, p_context: float, p_min: float, divergence: float, longest: int = 2) -> WordTree:
+    """Counts next symbols behind contexts of one symbol and, for frequent pairs of them, of two; contexts of p_context of all symbols or more, next symbols of p_min."""
+    totals, size = alphabet.totals(), alphabet.size
+    n = totals.sum()
+    root = (totals + 0.5) / (n + 0.5 * size)
+    may = totals >= max(1.0, p_context * n)
+    spark, none = docs.sparkSession, np.zeros(0, np.int64)
+
+    def gathered(sent, keys_of) -> tuple[np.ndarray, np.ndarray]:
+        found = counted(docs, sent, keys_of).where(F.col("n") >= max(2.0, p_min * n)).toArrow()  # 1 / p_min rows at most
+        key, k = found.column("key").to_numpy(), found.column("n").to_numpy()
+        order = np.argsort(key)
+        return key[order], k[order].astype(float)
+
+    key, k = gathered(spark.sparkContext.broadcast((alphabet, may)), _pair_keys)
     context, symbol = key // size, key % size
     p = (k - 0.5) / totals[context]
     gain = np.bincount(context, p * np.log(p / root[symbol]), size)
     stay = may & (gain >= divergence)
     state = np.where(stay, np.cumsum(stay), 0)
     e = stay[context]
+    # contexts of two: frequent pairs whose last symbol is a context itself; none ends a document
+    deep = (k >= max(2.0, p_context * n)) & stay[symbol] & (symbol != alphabet.words.index(b""))
+    pairs, pair_totals = key[deep], k[deep]
     context, symbol, p = state[context[e]], symbol[e], p[e]
     contexts = int(stay.sum()) + 1
-    left = 1 - np.bincount(context, p, contexts)
-    free = 1 - np.bincount(context, root[symbol], contexts)
-    return WordTree(root, state.astype(np.int64), context * size + symbol, np.log10(p), np.log10(np.maximum(left, 1e-12) / np.maximum(free, 1e-12)))
+
+    def weights(context: np.ndarray, taken: np.ndarray, shorter: np.ndarray, contexts: int) -> np.ndarray:
+        """log10 of what a context's own symbols leave over what the shorter one leaves for the same others."""
+        left, free = 1 - np.bincount(context, taken, contexts), 1 - np.bincount(context, shorter, contexts)
+        return np.log10(np.maximum(left, 1e-12) / np.maximum(free, 1e-12))
+
+    tree = WordTree(root, state.astype(np.int64), context * size + symbol, np.log10(p), weights(context, p, root[symbol], contexts), none, none, np.zeros(0), np.zeros(0))
+    if longest < 2 or not len(pairs):
+        return tree
+    key, k = gathered(spark.sparkContext.broadcast((alphabet, pairs)), _triple_keys)
+    context, symbol = key // size, key % size
+    p, shorter = (k - 0.5) / pair_totals[context], 10.0 ** tree.one(pairs[context] % size, symbol)
+    stay = np.bincount(context, p * np.log(p / shorter), len(pairs)) >= divergence
+    number, e = np.cumsum(stay) - 1, stay[context]
+    context, symbol, p, shorter = number[context[e]], symbol[e], p[e], shorter[e]
+    tree.pairs, tree.entries2, tree.log2, tree.back2 = pairs[stay], context * size + symbol, np.log10(p), weights(context, p, shorter, int(stay.sum()))
+    return tree
 
 
 def score_documents(docs: DataFrame, depth: int = 6, p_min: float = 5e-6, divergence: float = 0.01, p_word: float = 1e-5, p_class: float = 1e-5, p_context: float = 5e-5, p_next: float = 5e-7) -> DataFrame:
@@ -386,7 +446,7 @@ def score_documents(docs: DataFrame, depth: int = 6, p_min: float = 5e-6, diverg
                     line.append(end)
                     lens.append(len(x) + 1)
                 x, owner = np.array(line, np.int64), np.repeat(np.arange(len(lens)), lens)
-                lp = np.bincount(owner, tree.log10(x[:-1], x[1:]), len(lens))
+                lp = np.bincount(owner, tree.log10(np.concatenate(([end], x[:-2])), x[:-1], x[1:]), len(lens))
                 common = x[1:] < first
                 known = np.bincount(owner[common], seen[x[1:][common]], len(lens)).astype(np.int64)
                 b = np.bincount(owner[common], plain[x[1:][common]], len(lens))

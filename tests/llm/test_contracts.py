@@ -288,3 +288,29 @@ def test_worker_cache_holds_one_owner():
     first = worker_cache("a", list)
     first.append(1)
     assert worker_cache("a", list) == [1] and worker_cache("b") == {} and worker_cache("a", list) == []
+
+
+def test_word_tree_sums_to_one(spark):
+    r = random.Random(8)
+    words = ["a", "b", "c", "d", "e"]
+    texts = []
+    for _ in range(300):
+        w = ["a", "b"]
+        while len(w) < 40:  # the next word depends on the two before it
+            w.append(words[(words.index(w[-1]) + 2 * words.index(w[-2])) % 5] if r.random() < 0.8 else r.choice(words))
+        texts.append(" ".join(w))
+    docs = T.with_held_out(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).cache()
+    vocab = T.vocabulary(docs)
+    n = vocab.agg(F.sum("c")).first()[0]
+    alphabet, _ = T.alphabet_of(vocab, n, 1e-5, 1e-5)
+    tree = T.grow_words(docs, alphabet, 5e-5, 5e-7, 0.01)
+    assert len(tree.pairs) >= 20
+    every = np.arange(alphabet.size)
+    for key in tree.pairs[:10].tolist():
+        first, before = divmod(key, alphabet.size)
+        full = lambda x: np.full(alphabet.size, x)
+        assert abs((10.0 ** tree.log10(full(first), full(before), every)).sum() - 1) < 0.02
+        assert abs((10.0 ** tree.one(full(before), every)).sum() - 1) < 0.02
+    shallow = T.grow_words(docs, alphabet, 5e-5, 5e-7, 0.01, longest=1)
+    x = np.array([alphabet.words.index(w.encode()) for w in texts[0].split()])
+    assert tree.log10(x[:-2], x[1:-1], x[2:]).sum() > shallow.log10(x[:-2], x[1:-1], x[2:]).sum() + 3
