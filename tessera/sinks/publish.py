@@ -7,6 +7,7 @@ publishes all. Paths are Hadoop paths, so the target may be in any store with re
 from __future__ import annotations
 
 import io
+import json
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -15,7 +16,9 @@ from xml.sax.saxutils import escape
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from ..functions.fields import directory_id
 from ..operators import content as C
 
 CELL, ROWS = 32_767, 1_048_575  # limits of a sheet: characters of a cell, rows under the header
@@ -54,7 +57,7 @@ def publish(datasets: dict[str, DataFrame], path: str, kind: str = "parquet", om
             if not n and omit_empty:
                 fs.delete(_fs(spark, f"{staged}/{name}")[1], True)
                 continue
-            rows.append((name, n, mark, df.schema.simpleString()))
+            rows.append((name, n, mark, df.schema.json()))
         spark.createDataFrame(rows, "name string, n_rows long, content_mark string, schema string").coalesce(1).write.json(f"{staged}/manifest")
         if not fs.rename(_fs(spark, staged)[1], target):
             raise OSError(f"{path} can't be published")
@@ -67,7 +70,7 @@ def published_differences(spark: SparkSession, path: str, kind: str = "parquet")
     """Names of datasets of a package whose rows are not those of its manifest."""
     out = []
     for m in spark.read.json(f"{path}/manifest").collect():  # a row for each dataset
-        df = spark.read.schema(m["schema"].removeprefix("struct<").removesuffix(">") if m["schema"].startswith("struct<") else m["schema"]).options(header="true", escape='"').format(kind).load(f"{path}/{m['name']}")
+        df = spark.read.schema(StructType.fromJson(json.loads(m["schema"]))).options(header="true", escape='"').format(kind).load(f"{path}/{m['name']}")
         n, mark = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")), F.lit(0)).cast("string")).first()
         if (n, mark) != (m["n_rows"], m["content_mark"]):
             out.append(m["name"])
@@ -84,16 +87,10 @@ def rag_files(blocks: DataFrame, width: int, overlap: int, target: str, checksum
     markdown = C.documents_in_markdown(blocks, C.markdown_block(F.col("block_type"), F.col("text"), F.coalesce(F.col("level"), F.lit(1))))
     titles, chunks = C.document_titles(blocks), C.rag_chunks(blocks, width, overlap, target, checksum)
     metadata = blocks.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_blocks"), F.min("page").alias("first_page"), F.max("page").alias("last_page")).join(titles, "document_id")
-    named = markdown.select("document_id", _directory("document_id").alias("directory"), "markdown", F.sha2("markdown", 256).alias("sha256"))
+    named = markdown.select("document_id", directory_id(F.col("document_id")).alias("directory"), "markdown", F.sha2("markdown", 256).alias("sha256"))
     return {"documents": named, "metadata": metadata, "chunks": chunks, "collection": named.select("document_id", "directory", "sha256")}
 
 
-def _directory(name: str):
-    from ..functions.fields import directory_id
-
-    return directory_id(F.col(name))
-
-
 _TYPES = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>'
 _RELS = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/{kind}" Target="{target}"/></Relationships>'
 _BOOK = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="{name}" sheetId="1" r:id="rId1"/></sheets></workbook>'
