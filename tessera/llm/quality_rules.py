@@ -55,7 +55,9 @@ def _covered(hashes: Column, width: int) -> Column:
 
 
 def repeated_words(words: Column, width: int = WINDOW) -> Column:
-    hashes = F.when(F.size(words) > width, F.transform(F.sequence(F.lit(0), F.size(words) - width), lambda i: F.xxhash64(F.slice(words, i + 1, F.lit(width)))))
+    # each word is hashed once, a window from its words' hashes
+    own = F.transform(words, lambda w: F.xxhash64(w))
+    hashes = F.when(F.size(words) > width, let(own, lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - width), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(width)]))))
     # most texts repeat no window: only the others are sorted
     again = lambda h: let(F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), lambda x: _covered(x, width))
     return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), again(h)).otherwise(F.lit(0).cast("long")))
@@ -78,7 +80,7 @@ def with_counts(docs: DataFrame) -> DataFrame:
 def default_rules() -> list[Rule]:
     """Rules over the column ``text`` alone."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    n = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))
+    n = F.size(words_of(text))
     chars = F.length(F.regexp_replace(text, SPACE, ""))
     letters = F.length(F.regexp_replace(text, r"[\x00-\x40\x5B-\x60\x7B-\x7F]+", ""))
     upper = F.length(F.regexp_replace(text, "[^A-Z]+", ""))
