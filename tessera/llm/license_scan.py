@@ -15,6 +15,7 @@ dropped by the query.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -24,7 +25,6 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, table
 from .quality_rules import let
 
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
@@ -47,6 +47,14 @@ def signature_rules(path: str | Path | None = None) -> list[Rule]:
     return [Rule(keyword, regex, label, i, float(confidence)) for i, (keyword, label, confidence, regex) in enumerate(split)]
 
 
+def must_hold(regex: str, word: str) -> bool:
+    """Whether every match of a signature holds this word, as far as can be told without its groups."""
+    before = ""
+    while before != regex:
+        before, regex = regex, re.sub(r"\(\?:[^()]*\)\?|\(\?:[^()|]*\|[^()]*\)", "", regex)
+    return all(word in part for part in regex.split("|"))
+
+
 def spaced(regex: str) -> str:
     """Between words of the normalised text stand two spaces, one for each, so that places side by side do not share one."""
     return f" (?:{regex.replace(' ?', chr(0)).replace(' ', '  ').replace(chr(0), '(?:  )?')}) "
@@ -78,7 +86,8 @@ def scan_licenses(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame
     """Adds license_n_words, license_base (array of label, from, to) and license_detections (those kept after suppression) to ``docs``."""
     rules = signature_rules() if rules is None else rules
     own = [c for c in docs.columns if not c.startswith("license_")]
-    keywords = {r.keyword for r in rules} | {p.split()[-1] for p, _ in BASE} - {"by"} | {" cc "}
+    # a text that can match a rule holds its keyword; most signatures hold "licen", so that few words tell
+    keywords = {"licen" if must_hold(r.regex, "licen") else r.keyword for r in rules} | {p.split()[-1] for p, _ in BASE} - {"by"} | {" cc "}
     plain, alone = {k for k in keywords if k == k.strip()}, sorted(k.strip() for k in keywords if k != k.strip())
     text = F.coalesce(F.col("text"), F.lit(""))
 
@@ -98,14 +107,18 @@ def scan_licenses(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame
     known = F.array(*[F.struct(F.lit(spaced(r.regex)).alias("regex"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.confidence).alias("confidence")) for r in rules])
 
     def found(norm: Column) -> Column:
-        fired = F.array_compact(F.array(*[F.when(F.contains(norm, F.lit(r.keyword)) & F.rlike(norm, F.lit(spaced(r.regex))), F.lit(i)) for i, r in enumerate(rules)]))
+        by_word: dict[str, list[int]] = {}
+        for i, r in enumerate(rules):
+            by_word.setdefault(r.keyword, []).append(i)
+        tried = lambda some: F.array_compact(F.array(*[F.when(F.rlike(norm, F.lit(spaced(rules[i].regex))), F.lit(i)) for i in some]))
+        fired = F.flatten(F.array_compact(F.array(*[F.when(F.contains(norm, F.lit(k)), tried(some)) for k, some in by_word.items()])))
         places = lambda r: F.transform(_places(norm, r["regex"]), lambda x: F.struct(
             x["from"].alias("from"), (-x["to"]).alias("minus_to"), r["priority"].alias("priority"), r["label"].alias("label"), r["confidence"].alias("confidence")))
         return let(F.array_sort(F.flatten(F.transform(fired, lambda i: let(F.get(known, i), places)))), lambda x: F.when(F.size(x) == 0, F.lit(None)).otherwise(_kept(x)))
 
     name = "_" * (1 + max(map(len, own), default=0))
     scanned = let(norm, lambda n: F.when(n.isNotNull(), F.struct(base(n).alias("base"), found(n).alias("kept"))))
-    out = docs.select(*[F.col(f"`{c}`") for c in own], F.regexp_count(text, F.lit(WORD)).cast("long").alias("license_n_words"), scanned.alias(name))
+    out = docs.select(*[F.col(f"`{c}`") for c in own], F.size(F.filter(F.split(text, GAP), lambda w: w != "")).cast("long").alias("license_n_words"), scanned.alias(name))
     return out.select(*[F.col(f"`{c}`") for c in own], "license_n_words",
                       F.coalesce(F.col(f"{name}.base"), F.array().cast("array<struct<label:string,from:int,to:int>>")).alias("license_base"),
                       F.coalesce(F.col(f"{name}.kept"), F.array().cast("array<struct<label:string,from:int,to:int,confidence:double>>")).alias("license_detections"))
