@@ -4,14 +4,13 @@ import zlib
 
 import pytest
 
-pipeline = pytest.importorskip("corpus_pipeline")
-
-from tessera.llm import decontaminate as D  # noqa: E402
-from tessera.llm import near_dedup as N  # noqa: E402
-from tessera.llm import packing as P  # noqa: E402
-from tessera.llm import quality_model as Q  # noqa: E402
-from tessera.llm import secret_scan as S  # noqa: E402
-from tessera.llm.common import table  # noqa: E402
+import corpus_pipeline as pipeline
+from tessera.llm import decontaminate as D
+from tessera.llm import near_dedup as N
+from tessera.llm import packing as P
+from tessera.llm import quality_model as Q
+from tessera.llm import secret_scan as S
+from tessera.llm.common import table
 
 SF = "/root/testdata/sf0.001"
 KINDS = "doc_id long, text string, lang string, source string, n_chars long"
