@@ -9,9 +9,11 @@ from ..operators import checks as K
 from ..operators import content as C
 from ..operators import inventory as I
 from ..operators import profiles as P
+from ..operators import projections as J
 from ..operators import reconcile as R
 from ..operators import validation as V
 from ..operators import workflow as W
+from ..sinks import office as O
 from . import profile_queries as PQ
 from .queries import MONEY, PARTIAL, _LINES, _ONE_MANY, lines, orders, pairs
 
@@ -490,3 +492,29 @@ def item_lines(spark, sf):
     t = F.col("turn")
     rows = table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("line_id"), F.when(t % 4 == 0, "ITEM").when(t % 4 == 1, "CONTINUATION").otherwise("SUBTOTAL").alias("row_type"), F.when(t % 4 == 1, F.concat_ws("-", "conv_id", t - 1)).alias("continues"), t.alias("position"), "text")
     return K.item_lines(rows).select("line_id", "text")
+
+
+@query("""SELECT 'l-' || l_orderkey || '-' || l_linenumber AS line_item_id, l_linenumber || ' | x' AS source_pages, '{"a":' || l_linenumber || ',"b":"' || l_returnflag || '"}' AS raw_cells,
+ CASE l_linenumber % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN l_linestatus ELSE 'UNKNOWN' END AS row_confidence, CAST(NULL AS VARCHAR) AS notes FROM lineitem""")
+def line_item_sheet(spark, sf):
+    confidence = F.expr("""CASE l_linenumber % 3 WHEN 0 THEN '{"band":"HIGH"}' WHEN 1 THEN concat('"', l_linestatus, '"') ELSE '{}' END""")
+    text = F.format_string('{"line_item_id":"l-%d-%d","source_pages":[%d,"x"],"raw_cells":{"b":"%s","a":%d},"row_confidence":%s}', F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_linenumber"), F.col("l_returnflag"), F.col("l_linenumber"), confidence)
+    return J.projected(table(spark, sf, "lineitem").select(F.parse_json(text).alias("record")), "line_items", ["line_item_id", "source_pages", "raw_cells", "row_confidence", "notes"])
+
+
+_RENDERED = "SELECT CAST(conv_id AS VARCHAR) AS document_id, count(*) AS n_blocks, true AS sound FROM conversations GROUP BY conv_id"
+
+
+def _turns(spark, sf):
+    return table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("document_id"), F.col("turn").cast("long").alias("reading_order"), F.concat(F.lit("t"), "turn").alias("block_id"),
+                                                    F.when(F.col("role") == "user", "HEADING").otherwise("PARAGRAPH").alias("block_type"), F.lit(2).alias("level"), "text")
+
+
+@query(_RENDERED)
+def docx_documents(spark, sf):
+    return O.rendered(_turns(spark, sf), "DOCX").select("document_id", "n_blocks", (F.size("findings") == 0).alias("sound"))
+
+
+@query(_RENDERED)
+def pptx_documents(spark, sf):
+    return O.rendered(_turns(spark, sf), "PPTX").select("document_id", "n_blocks", (F.size("findings") == 0).alias("sound"))

@@ -104,24 +104,31 @@ def letters(n: int) -> str:
     return out
 
 
-def workbook(name: str, header: list[str], rows: list[list[str | None]]) -> bytes:
-    """An XLSX file of one sheet: inline strings, a frozen header and a filter. Longer cells are an error, nothing is cut."""
+def xml_text(c: str) -> str:
+    """Escaped text; characters that XML can't hold are replaced."""
+    return escape("".join(x if x in "\t\n\r" or " " <= x < "￾" or x > "￿" else "�" for x in c))
+
+
+def sheet_xml(header: list[str], rows: list[list[str | None]]) -> str:
+    """A worksheet of inline strings with a frozen header and a filter. Longer cells are an error, nothing is cut."""
     if len(rows) > ROWS:
         raise ValueError(f"{len(rows)} rows don't fit a sheet")
 
     def line(i: int, cells: list[str | None]) -> str:
         if any(c is not None and len(c) > CELL for c in cells):
             raise ValueError(f"row {i} has a cell of more than {CELL} characters")
-        # characters that XML can't hold are replaced
-        clean = lambda c: escape("".join(x if x in "\t\n\r" or " " <= x < "￾" or x > "￿" else "�" for x in c))
-        return f'<row r="{i}">' + "".join(f'<c r="{letters(k)}{i}" t="inlineStr"><is><t xml:space="preserve">{clean(c)}</t></is></c>' for k, c in enumerate(cells, 1) if c is not None) + "</row>"
+        return f'<row r="{i}">' + "".join(f'<c r="{letters(k)}{i}" t="inlineStr"><is><t xml:space="preserve">{xml_text(c)}</t></is></c>' for k, c in enumerate(cells, 1) if c is not None) + "</row>"
 
     body = "".join(line(i, r) for i, r in enumerate([list(header), *rows], 1))
-    sheet = ('<?xml version="1.0" encoding="UTF-8" standalone="yes"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews>'
-             f'<sheetData>{body}</sheetData><autoFilter ref="A1:{letters(len(header))}{len(rows) + 1}"/></worksheet>')
+    return ('<?xml version="1.0" encoding="UTF-8" standalone="yes"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews>'
+            f'<sheetData>{body}</sheetData><autoFilter ref="A1:{letters(len(header))}{len(rows) + 1}"/></worksheet>')
+
+
+def workbook(name: str, header: list[str], rows: list[list[str | None]]) -> bytes:
+    """An XLSX file of one sheet."""
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for part, text in (("[Content_Types].xml", _TYPES), ("_rels/.rels", _RELS.format(kind="officeDocument", target="xl/workbook.xml")), ("xl/workbook.xml", _BOOK.format(name=escape(name[:31], {'"': "&quot;"}))), ("xl/_rels/workbook.xml.rels", _RELS.format(kind="worksheet", target="worksheets/sheet1.xml")), ("xl/worksheets/sheet1.xml", sheet)):
+        for part, text in (("[Content_Types].xml", _TYPES), ("_rels/.rels", _RELS.format(kind="officeDocument", target="xl/workbook.xml")), ("xl/workbook.xml", _BOOK.format(name=escape(name[:31], {'"': "&quot;"}))), ("xl/_rels/workbook.xml.rels", _RELS.format(kind="worksheet", target="worksheets/sheet1.xml")), ("xl/worksheets/sheet1.xml", sheet_xml(header, rows))):
             z.writestr(zipfile.ZipInfo(part, (1980, 1, 1, 0, 0, 0)), text, zipfile.ZIP_DEFLATED)
     return out.getvalue()
 
