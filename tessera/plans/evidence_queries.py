@@ -11,6 +11,7 @@ from ..operators import inventory as I
 from ..operators import profiles as P
 from ..operators import projections as J
 from ..operators import reconcile as R
+from ..operators import registers as G
 from ..operators import validation as V
 from ..operators import workflow as W
 from ..sinks import office as O
@@ -518,3 +519,29 @@ def docx_documents(spark, sf):
 @query(_RENDERED)
 def pptx_documents(spark, sf):
     return O.rendered(_turns(spark, sf), "PPTX").select("document_id", "n_blocks", (F.size("findings") == 0).alias("sound"))
+
+
+def _redactions(spark, sf):
+    text = F.expr("""concat('{"redaction_event_id":"', CASE WHEN o_orderkey % 50 = 0 THEN 'same' ELSE concat('r', o_orderkey) END, '","evidence_id":"e","source_document_id":"d","derivative_document_id":null,',
+        CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE concat('"status":"', o_orderstatus, '",') END, '"method":', CASE WHEN o_orderkey % 7 = 0 THEN '5' ELSE '"m"' END,
+        ',"regions":[],"performed_at":null,"performed_by":null,"approval_status":null,"approval_reference":null,"verification_status":null,"notes":["n"]}')""")
+    return table(spark, sf, "orders").select(F.parse_json(text).alias("record"))
+
+
+@query("SELECT CASE WHEN o_orderkey % 50 = 0 THEN 'same' ELSE 'r' || o_orderkey END AS redaction_event_id, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END AS status, CASE WHEN o_orderkey % 7 <> 0 THEN 'm' END AS method, 'n' AS notes FROM orders")
+def redaction_register(spark, sf):
+    return G.register_rows(_redactions(spark, sf), "redaction_events").select("redaction_event_id", "status", "method", F.array_join("notes", "|").alias("notes"))
+
+
+@query("""WITH r AS (SELECT *, CASE WHEN o_orderkey % 50 = 0 THEN 'same' ELSE 'r' || o_orderkey END AS id FROM orders)
+ SELECT id, 'MISSING status' AS error FROM r WHERE o_orderkey % 3 = 0 UNION ALL SELECT id, 'WRONG_TYPE method' FROM r WHERE o_orderkey % 7 = 0 UNION ALL SELECT id, 'REPEATED_ID' FROM r GROUP BY id HAVING count(*) > 1""")
+def register_errors(spark, sf):
+    return G.register_errors(_redactions(spark, sf), "redaction_events")
+
+
+@query("""SELECT 'd' || l_orderkey AS document_id, l_linenumber AS page, k.kind, k.text, CASE WHEN k.kind = 'WORD' THEN CAST(l_quantity AS DOUBLE) END AS x, CASE WHEN k.kind = 'WORD' THEN 'LOW' ELSE 'UNKNOWN' END AS confidence
+ FROM lineitem, LATERAL (VALUES ('WORD', l_returnflag), ('CELL', l_linestatus)) k(kind, text)""")
+def adapter_rows(spark, sf):
+    text = F.format_string('{"input_document_id":"d%d","pages":[{"page_number":%d,"words":[{"text":"%s","bounding_box":{"x":%s},"confidence":{"band":"LOW"}}],"tables":[{"table_id":"t","cells":[{"row":1,"column":1,"text":"%s"}]}]}]}',
+                           F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_returnflag"), F.col("l_quantity").cast("double").cast("string"), F.col("l_linestatus"))
+    return G.adapter_rows(table(spark, sf, "lineitem").select(F.parse_json(text).alias("output"))).select("document_id", "page", "kind", "text", "x", "confidence")
