@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fields import date_or_null, excel_serial
-from .workflow import kind_of, text_of
+from .workflow import held, kind_of, text_of
 
 # fixed values: sheet, key and the columns whose value isn't the member of their name. column=path, then :list (joined by " | "),
 # :json, :digest of a checksum, :shown confidence, :levels of a confidence, :value of a field, or ~pattern for each member of a list
@@ -113,15 +113,16 @@ def _field_value(record: Column, v: Column) -> Column:
 def projected(records: DataFrame, key: str, columns: list[str], record: str = "record") -> DataFrame:
     """``columns`` of a sheet, in this order, of records (a variant each): those that the sheet maps by their paths, others as members of their names."""
     _, spec = sheet_specs()[key]
-    r = F.col(f"`{record}`")
+    specs = [spec.get(c, (c, None, None)) for c in columns]
+    # records and members are computed once, not in each use
+    rows = held(records.select(F.col(f"`{record}`").alias("_record")), {"_r": F.col("_record")}).drop("_record")
+    rows = held(rows, {f"_m{i}": member(F.col("_r"), path) for i, (path, _, _) in enumerate(specs)})
 
-    def column(name: str) -> Column:
-        path, kind, pattern = spec.get(name, (name, None, None))
-        v = member(r, path)
+    def column(v: Column, kind: str | None, pattern: str | None) -> Column:
         if pattern:
             return _patterned(v, pattern)
         made = {"list": lambda: joined_list(v), "json": lambda: F.to_json(v), "digest": lambda: F.when(kind_of(v) == "OBJECT", text_of(member(v, "digest"))).otherwise(text_of(v)),
-                "shown": lambda: shown_confidence(v), "levels": lambda: _levels(v), "value": lambda: _field_value(r, v)}
+                "shown": lambda: shown_confidence(v), "levels": lambda: _levels(v), "value": lambda: _field_value(F.col("_r"), v)}
         return made.get(kind, lambda: text_of(v))()
 
-    return records.select(*[column(c).alias(c) for c in columns])
+    return rows.select(*[column(F.col(f"_m{i}"), kind, pattern).alias(c) for i, (c, (_, kind, pattern)) in enumerate(zip(columns, specs, strict=True))])

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workflow import kind_of, text_of
+from .workflow import held, kind_of, text_of
 
 # fixed values: members of each register in their order, the identifier first. A type stands behind a colon, text is the default
 REGISTERS = {
@@ -37,18 +37,19 @@ def _as(v: Column, member: str, kind: str) -> Column:
 
 def register_rows(records: DataFrame, register: str, record: str = "record") -> DataFrame:
     """The register's members of each record, typed."""
-    v = F.col(f"`{record}`")
-    return records.select(*[_as(v, m, t).alias(m) for m, t in members_of(register).items()])
+    v = F.col("_v")
+    return held(records.select(F.col(f"`{record}`").alias("_record")), {"_v": F.col("_record")}).select(*[_as(v, m, t).alias(m) for m, t in members_of(register).items()])
 
 
 def register_errors(records: DataFrame, register: str, record: str = "record") -> DataFrame:
     """id, error of records: no object, members that are missing, unknown or of another type, and identifiers that are empty or repeated (null ids give no repeat)."""
-    v, members = F.col(f"`{record}`"), members_of(register)
+    v, members = F.col("_v"), members_of(register)
+    records = held(records.select(F.col(f"`{record}`").alias("_record")), {"_v": F.col("_record")})
     first = next(iter(members))
     keys = F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
-    held = lambda m: F.try_variant_get(v, f"$.{m}", "variant")
+    own = lambda m: F.try_variant_get(v, f"$.{m}", "variant")
     told = lambda error, m: F.concat(F.lit(error + " "), F.lit(m))
-    wrong = [F.when(F.array_contains(keys, m) & (kind_of(held(m)) != "VOID") & _as(v, m, t).isNull(), told("WRONG_TYPE", m)) for m, t in members.items() if t != "variant"]
+    wrong = [F.when(F.array_contains(keys, m) & (kind_of(own(m)) != "VOID") & _as(v, m, t).isNull(), told("WRONG_TYPE", m)) for m, t in members.items() if t != "variant"]
     missing = F.transform(F.array_except(F.array(*map(F.lit, members)), keys), lambda m: F.concat(F.lit("MISSING "), m))
     unknown = F.transform(F.array_sort(F.array_except(keys, F.array(*map(F.lit, members)))), lambda m: F.concat(F.lit("UNKNOWN "), m))
     empty = F.array(F.when(F.trim(_as(v, first, "string")) == "", F.lit("EMPTY_ID")))
