@@ -49,9 +49,26 @@ def _nfc(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFC")
 
 
+def _members(pairs: list) -> dict:
+    if len(found := dict(pairs)) < len(pairs):
+        raise ValueError("a member stands twice")
+    return found
+
+
+def _no_number(name: str) -> None:
+    raise ValueError(f"{name} is no JSON")
+
+
+def _canonical_text(x: str | None) -> str | None:
+    try:
+        return None if x is None else json.dumps(json.loads(x, object_pairs_hook=_members, parse_constant=_no_number), ensure_ascii=False, allow_nan=False, sort_keys=True, separators=(",", ":"))
+    except (ValueError, RecursionError):
+        return None
+
+
 @F.pandas_udf(StringType())
 def _canonical(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else json.dumps(json.loads(x), ensure_ascii=False, sort_keys=True, separators=(",", ":")))
+    return s.map(_canonical_text)
 
 
 @F.pandas_udf(StringType())
@@ -151,8 +168,23 @@ def strict_json(c: Column) -> Column:
     return F.when(inside.isNotNull() & F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))).isNotNull(), F.try_variant_get(inside, "$.v", "variant"))
 
 
+def kind_of(v: Column) -> Column:
+    """STRING, BOOLEAN, ARRAY, OBJECT, VOID or a number's type of a variant."""
+    return F.regexp_extract(F.schema_of_variant(v), r"^[A-Z]+", 0)
+
+
+def text_of(v: Column) -> Column:
+    """A variant's text: of a string its characters, of others their JSON."""
+    return F.when(kind_of(v) == "STRING", F.try_variant_get(v, "$", "string")).when(kind_of(v) != "VOID", F.to_json(v))
+
+
+def canonical_items(v: Column) -> Column:
+    """The canonical JSON of each item of a variant that is an array; null for others."""
+    return F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.coalesce(F.to_json(x), F.lit("null")))
+
+
 def canonical_json(c: Column) -> Column:
-    """JSON text with sorted members, compact, not escaped beyond need; null stays null."""
+    """JSON text with sorted members, compact, not escaped beyond need; null for null and for what is not strict JSON (broken, NaN, a member twice)."""
     return _canonical(c)
 
 

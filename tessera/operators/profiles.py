@@ -2,11 +2,11 @@
 
 A profile is text: ``profile id mode grain``, ``role id source_kind types aliases sheet field[=source|source] ...``,
 ``variant role type field=source|source ...`` and ``rule id left right cardinality partial component ...``. A component is
-a field (``left>right`` where the names differ) with marks: ``#`` decimal, ``$`` exact text, ``~`` date window, none for an
-identifier; ``?`` optional. ``partial``: allow (with an approved run policy), review, or disallow.
+a field (``left>right`` where the names differ) with marks: ``#`` decimal, ``$`` exact text, ``~`` date window, ``^`` boolean, ``@`` set,
+none for an identifier; ``?`` optional. ``partial``: allow (with an approved run policy), review, or disallow.
 
-Rules are independent binary joins over the roles; their outputs are united. Records: record_id, role, document_type,
-fields (map of texts), source_reference.
+Rules are independent binary joins over the roles. A run reads its records once, makes the pairs of all rules once, and takes all
+outputs from these. Records: record_id, role, document_type, fields (a map of texts, or of variants for typed values), source_reference.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import VariantType
 
 from . import reconcile as R
 
@@ -97,6 +98,8 @@ role ROLE_A DOCUMENT CUSTOM_SOURCE_A - ROLE_A reference_id amount currency
 role ROLE_B DOCUMENT CUSTOM_SOURCE_B - ROLE_B reference_id amount currency
 rule role-a-to-role-b ROLE_A ROLE_B ONE_TO_ONE review reference_id amount#? currency$?
 """
+#: Marks of a component.
+MARKS = "?#$~^@"
 ROLES_OF_MODE = {"TWO_WAY": 2, "THREE_WAY": 3, "FOUR_WAY": 4}
 
 
@@ -171,7 +174,7 @@ def check_profile(p: Profile) -> None:
 
 
 def _sides(part: str) -> tuple[str, str]:
-    l, _, r = part.rstrip("?#$~").partition(">")
+    l, _, r = part.rstrip(MARKS).partition(">")
     return l, r or l
 
 
@@ -189,8 +192,8 @@ def materialized(p: Profile, overrides: dict | None = None) -> list[R.Rule]:
         components = []
         for part in parts:
             l, r = _sides(part)
-            marks = part[len(part.rstrip("?#$~")):]
-            kind = "DECIMAL_ABSOLUTE" if "#" in marks else "EXACT_TEXT" if "$" in marks else "DATE_WINDOW" if "~" in marks else "IDENTIFIER_EXACT"
+            marks = part[len(part.rstrip(MARKS)):]
+            kind = next((k for m, k in (("#", "DECIMAL_ABSOLUTE"), ("$", "EXACT_TEXT"), ("~", "DATE_WINDOW"), ("^", "BOOLEAN_EXACT"), ("@", "SET_CONTAINS")) if m in marks), "IDENTIFIER_EXACT")
             policy = tolerances.pop(f"{rule}.{l}", None)
             if policy is not None and kind not in ("DECIMAL_ABSOLUTE", "DATE_WINDOW"):
                 raise ValueError(f"{rule}.{l} takes no tolerance")
@@ -209,21 +212,26 @@ def materialized(p: Profile, overrides: dict | None = None) -> list[R.Rule]:
     return rules
 
 
-def mapped_value(fields: Column, path: str) -> Column:
-    """The field of exactly this name, else what a dotted path leads to inside a field that holds a JSON object."""
+def mapped_value(fields: Column, path: str, typed: bool = False) -> Column:
+    """The field of exactly this name, else what a dotted path leads to inside a field that holds a JSON object (typed: inside a variant)."""
     head, _, rest = path.partition(".")
     flat = F.try_element_at(fields, F.lit(path))
-    return F.coalesce(flat, F.get_json_object(F.try_element_at(fields, F.lit(head)), f"$.{rest}")) if rest else flat
+    if not rest:
+        return flat
+    inside = F.try_element_at(fields, F.lit(head))
+    return F.coalesce(flat, F.try_variant_get(inside, f"$.{rest}", "variant") if typed else F.get_json_object(inside, f"$.{rest}"))
 
 
 def canonical_records(records: DataFrame, p: Profile, role: Role) -> DataFrame:
     """Records of a role with a column for each canonical field: the first declared source that is there, by document type."""
+    typed = isinstance(records.schema["fields"].dataType.valueType, VariantType)
+
     def value(name: str) -> Column:
-        usual = F.coalesce(*[mapped_value(F.col("fields"), s) for s in role.fields[name]])
+        usual = F.coalesce(*[mapped_value(F.col("fields"), s, typed) for s in role.fields[name]])
         case = None
         for kind, own in role.variants.items():
             if name in own:
-                here = F.coalesce(*[mapped_value(F.col("fields"), s) for s in own[name]])
+                here = F.coalesce(*[mapped_value(F.col("fields"), s, typed) for s in own[name]])
                 case = F.when(F.col("document_type") == kind, here) if case is None else case.when(F.col("document_type") == kind, here)
         return usual if case is None else case.otherwise(usual)
 
@@ -249,27 +257,30 @@ def classified_records(documents: DataFrame, p: Profile) -> tuple[DataFrame, Dat
 
 
 def run_profile(records: DataFrame, p: Profile, overrides: dict | None = None, pairs: str = "keyed", max_pairs: int = 1_000_000) -> dict[str, DataFrame]:
-    """pairs, links, allocations, ambiguities, discrepancies and unmatched records of all rules, each united over the rules.
+    """pairs, links, allocations, ambiguities, discrepancies and unmatched records of all rules.
 
-    With ``pairs="all"`` the pairs of all rules together must keep within ``max_pairs``."""
+    The records, and the pairs of all rules with their statuses, are persisted (on memory and disk, recomputed where an executor is lost), so each is made once
+    whatever is asked for; ``released`` frees them. With ``pairs="all"`` the pairs of all rules together must keep within ``max_pairs``."""
     rules = materialized(p, overrides)
-    sides = {r.role_id: canonical_records(records, p, r) for r in p.roles.values()}
+    used = sorted({x for r in rules for x in (r.left_role, r.right_role)})
+    # only what rules compare is kept, so the records of all roles stand in one narrow table
+    own = records.where(F.col("role").isin(*used)).select("record_id", "role", "document_type", "source_reference", "fields").persist()
+    sides = {k: canonical_records(own, p, p.roles[k]).select("record_id", *sorted({c.left if r.left_role == k else c.right for r in rules if k in (r.left_role, r.right_role) for c in r.components})) for k in used}
     if pairs == "all":
-        counts = {r["role"]: r["count"] for r in records.groupBy("role").count().collect()}  # a row for each role
+        counts = {r["role"]: r["count"] for r in own.groupBy("role").count().collect()}  # a row for each role
         if (needed := sum(counts.get(r.left_role, 0) * counts.get(r.right_role, 0) for r in rules)) > max_pairs:
             raise ValueError(f"{p.profile_id}: {needed} pairs, {max_pairs} are allowed")
-    out: dict[str, list[DataFrame]] = {k: [] for k in ("pairs", "links", "allocations", "ambiguities", "discrepancies", "unmatched")}
-    for rule in rules:
-        left, right = sides[rule.left_role], sides[rule.right_role]
-        made = R.pairs_of(left, right, rule, pairs)
-        got = R.resolved(made, rule)
-        links = R.links_of(got)
-        allocated = R.allocations(links)
-        out["pairs"].append(made)
-        out["links"].append(R.demoted(links, allocated))
-        out["allocations"].append(allocated)
-        out["ambiguities"].append(R.ambiguities(got))
-        out["discrepancies"].append(R.discrepancies(made, rule))
-        for side, df in (("left", left), ("right", right)):
-            out["unmatched"].append(R.unmatched(df, got, side).select(F.lit(rule.name).alias("rule"), F.lit(side).alias("side"), "record_id"))
-    return {k: reduce(DataFrame.unionByName, v) for k, v in out.items()}
+    made = reduce(DataFrame.unionByName, [R.pairs_of(sides[r.left_role], sides[r.right_role], r, pairs) for r in rules]).persist()
+    got = R.resolved(made, *rules)
+    links = R.links_of(got)
+    allocated = R.allocations(links)
+    roles = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(side).alias("side"), F.lit(role).alias("role")) for r in rules for side, role in (("left", r.left_role), ("right", r.right_role))])
+    parts = own.select("record_id", "role", F.explode(F.filter(roles, lambda x: x["role"] == F.col("role"))).alias("_r")).select("_r.rule", "_r.side", "record_id")
+    met = got.select("rule", F.explode(F.array(F.struct(F.lit("left").alias("side"), F.col("left_id").alias("record_id")), F.struct(F.lit("right").alias("side"), F.col("right_id").alias("record_id")))).alias("_m")).select("rule", "_m.side", "_m.record_id")
+    return {"pairs": made, "links": R.demoted(links, allocated), "allocations": allocated, "ambiguities": R.ambiguities(got), "discrepancies": R.discrepancies(made, *rules), "unmatched": parts.join(met, ["rule", "side", "record_id"], "left_anti"), "records": own}
+
+
+def released(run: dict[str, DataFrame]) -> None:
+    """Frees what a run keeps."""
+    for k in ("pairs", "records"):
+        run[k].unpersist()

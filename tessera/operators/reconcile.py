@@ -1,22 +1,27 @@
 """Deterministic reconciliation of two roles: typed comparators, keyed pairs, cardinality, links and what is left over.
 
 Pairs are made by an equi-join on the normalised values of all required text components (``keyed``), since a pair can only
-qualify if they agree; a rule without one, or ``pairs="all"``, compares all pairs under a budget that is checked first.
+qualify if they agree. A rule without one makes its pairs by a band of its dates or decimals; one without these, or ``pairs="all"``,
+compares all pairs under a budget that is checked first.
 A hot key is joined by a splittable sort-merge join; statuses are plain expressions inside whole-stage codegen.
-Decimal columns are compared as they are; texts behind a gate as DECIMAL(38,18), so that nothing is rounded: what has more
-digits goes to review. Relative tolerances take 8 fraction digits and 16 before them on each side.
+Decimal columns are compared as they are; texts behind a gate as DECIMAL(38,18) where they fit it, else as exact decimals of any width.
+Values may be typed (variants, as JSON gives them): a text is never taken for a number nor a number for a text; pairs are made
+by the canonical text, so that 5 and "5" meet and go to review.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType
+from pyspark.sql.types import ArrayType, BooleanType, DecimalType, StringType, VariantType
 from pyspark.sql.window import Window
 
-from ..functions.fields import date_or_null, decimal_or_null, fraction_digits, normalized, scaled_text, stable_id
+from ..functions import decimals as D
+from ..functions.fields import canonical_items, canonical_json, date_or_null, decimal_or_null, fraction_digits, kind_of, normalized, scaled_text, stable_id, text_of
 
 TEXT = ("IDENTIFIER_EXACT", "EXACT_TEXT", "NORMALIZED_TEXT")
 #: Worst first.
@@ -65,10 +70,11 @@ def approved(policy: dict | None, run_approved: bool = True) -> bool:
     return bool(run_approved and policy.get("status", "PROVIDED") == "PROVIDED" and policy.get("approval_status") == "APPROVED" and all(str(policy.get(k) or "").strip() for k in ("basis", "owner", "approval_reference")))
 
 
-def compared(c: Component, rule: Rule, left: Column, right: Column, aggregate: Column | None = None, numbers: tuple[Column, ...] | None = None, scales: tuple[int | None, ...] = (None, None)) -> Column:
+def compared(c: Component, rule: Rule, left: Column, right: Column, aggregate: Column | None = None, numbers: tuple[Column, ...] | None = None, scales: tuple[int | None, ...] = (None, None), kinds: tuple[Column, Column] | None = None) -> Column:
     """struct(status, reason, difference) of one component; the first case that holds decides.
 
-    ``numbers``: decimals and fraction digits of left, right and aggregate where they are at hand; ``scales``: of sides that are decimal columns."""
+    ``numbers``: decimals and fraction digits of left, right and aggregate where they are at hand; ``scales``: of sides that are decimal columns;
+    ``kinds``: JSON kinds of both sides' values where these are typed (left and right are their texts then, of sets arrays of canonical JSON)."""
     out = lambda status, reason, d=None: F.struct(F.lit(status).alias("status"), F.lit(reason).alias("reason"), (F.lit(None).cast("string") if d is None else d.cast("string")).alias("difference"))
     review = "HUMAN_REVIEW_REQUIRED"
     if not c.required:
@@ -78,6 +84,12 @@ def compared(c: Component, rule: Rule, left: Column, right: Column, aggregate: C
     else:
         missing = out(review, "REQUIRED_FIELD_MISSING_BLOCKED" if rule.missing == "BLOCK_RULE" else "REQUIRED_FIELD_MISSING")
     case = F.when(left.isNull() | right.isNull(), missing)
+    if kinds is not None:
+        wrong = lambda kind: (kinds[0] != kind) | (kinds[1] != kind)
+        case = F.when(kinds[0].isNull() | kinds[1].isNull() | (kinds[0] == "VOID") | (kinds[1] == "VOID"), missing)
+        for kind, own, reason in (("STRING", TEXT, "NON_STRING_VALUE"), ("BOOLEAN", ("BOOLEAN_EXACT",), "NON_BOOLEAN_VALUE"), ("ARRAY", ("SET_CONTAINS",), "NON_ARRAY_SET_VALUE"), ("STRING", ("DATE_WINDOW",), "DATE_NOT_CANONICAL")):
+            if c.comparator in own:
+                case = case.when(wrong(kind), out(review, reason))
     if c.comparator in TEXT:
         same = normalized(left, c.normalizers) == normalized(right, c.normalizers)
         return case.when(same, out("EXACT_MATCH", "TEXT_EQUAL")).otherwise(out("CONFLICTING_MATCH", "TEXT_DIFFERENCE"))
@@ -94,37 +106,65 @@ def compared(c: Component, rule: Rule, left: Column, right: Column, aggregate: C
         return case.otherwise(out("CONFLICTING_MATCH", "DATE_DIFFERENCE", days))
     if c.comparator not in ("DECIMAL_ABSOLUTE", "DECIMAL_RELATIVE"):
         raise ValueError(f"unknown comparator {c.comparator}")
+    texts = [x if x is None else x.cast("string") for x in (left, right, aggregate)]
     if numbers is None:
-        read = [(decimal_or_null(x.cast("string")), fraction_digits(x.cast("string"))) if x is not None else (None, None) for x in (left, right, aggregate)]
-        numbers = tuple(y for x in read for y in x)
+        numbers = tuple(y for x in texts for y in ((decimal_or_null(x), fraction_digits(x)) if x is not None else (None, None)))
+    if kinds is not None:
+        case = case.when((kinds[0] != "STRING") | (kinds[1] != "STRING"), out(review, "DECIMAL_NOT_CANONICAL"))
+    fast = numbers[0].isNotNull() & numbers[2].isNotNull()
+    if rule.partial == "AGGREGATED_RIGHT_NOT_ABOVE_LEFT":
+        fast = fast & (numbers[4].isNotNull() | texts[2].isNull())
+    exact = D.is_decimal(texts[0]) & D.is_decimal(texts[1])
+    narrow = _decimal_case(c, rule, out, *_narrow_terms(c, numbers, scales, texts))
+    if None not in scales and numbers[4] is None:
+        return case.otherwise(narrow)
+    return case.when(fast, narrow).when(exact, _decimal_case(c, rule, out, *_wide_terms(c, texts))).otherwise(out(review, "DECIMAL_NOT_CANONICAL"))
+
+
+def _narrow_terms(c: Component, numbers: tuple, scales: tuple, texts: list) -> tuple:
+    """What a decision needs of decimals that fit a type: difference, equal, near, not negative, right < left, left < right, the total and whether it is at most left."""
     l, l_digits, r, r_digits, total, _ = numbers
-    d = F.abs(r - l)
     if None in scales:
         shown = scaled_text(F.abs(r.cast("decimal(38,18)") - l.cast("decimal(38,18)")).cast("decimal(38,18)"), F.greatest(l_digits, r_digits))
     else:
-        shown = d.cast("string")
-    out = lambda status, reason, d=None, out=out: out(status, reason, None if d is None else shown)
-    case = case.when(l.isNull() | r.isNull(), out(review, "DECIMAL_NOT_CANONICAL")).when(l == r, out("EXACT_MATCH", "DECIMAL_EQUAL", d))
-    if c.tolerance is not None:
-        if c.comparator == "DECIMAL_ABSOLUTE":
-            near = d <= F.lit(str(c.tolerance)).cast("decimal(38,18)")
-        else:
-            narrow = [x if t is not None and t <= 8 else x.try_cast("decimal(24,8)") for x, t in zip((l, r), scales, strict=True)]
-            case = case.when(narrow[0].isNull() | narrow[1].isNull() | (narrow[0] != l) | (narrow[1] != r), out(review, "DECIMAL_TOO_WIDE", d))
-            near = F.abs(narrow[1] - narrow[0]) <= F.lit(str(c.tolerance)).cast("decimal(9,6)") * F.greatest(F.abs(narrow[0]), F.abs(narrow[1]))
-        case = case.when(near, out("WITHIN_TOLERANCE", "DECIMAL_WITHIN_TOLERANCE", d) if c.tolerance_approved else out(review, "TOLERANCE_NOT_APPROVED", d))
+        shown = F.abs(r - l).cast("string")
+    near = None
+    if c.tolerance is not None and c.comparator == "DECIMAL_ABSOLUTE":
+        fits = F.lit(str(c.tolerance)).try_cast("decimal(38,18)")
+        near = F.coalesce(F.abs(r - l) <= fits, D.within(texts[0], texts[1], str(c.tolerance)))
+    elif c.tolerance is not None:
+        read = [x if t is not None and t <= 8 else x.try_cast("decimal(24,8)") for x, t in zip((l, r), scales, strict=True)]
+        fits = (read[0] == l) & (read[1] == r)
+        if len(str(c.tolerance).partition(".")[2]) > 6 or len(str(c.tolerance).partition(".")[0]) > 3:
+            fits = F.lit(False)
+        near = F.when(fits, F.abs(read[1] - read[0]) <= F.lit(str(c.tolerance)).try_cast("decimal(9,6)") * F.greatest(F.abs(read[0]), F.abs(read[1]))).otherwise(D.within(texts[0], texts[1], str(c.tolerance), True))
+    return shown, l == r, near, (l >= 0) & (r >= 0), r < l, l < r, total, None if total is None else total <= l
+
+
+def _wide_terms(c: Component, texts: list) -> tuple:
+    """The same from texts of any width."""
+    l, r, total = texts
+    lk, rk = D.order_key(l), D.order_key(r)
+    near = None if c.tolerance is None else D.within(l, r, str(c.tolerance), c.comparator == "DECIMAL_RELATIVE")
+    return D.magnitude(D.difference(l, r)), lk == rk, near, (lk >= "1") & (rk >= "1"), rk < lk, lk < rk, None if total is None else D.order_key(total), None if total is None else D.order_key(total) <= lk
+
+
+def _decimal_case(c: Component, rule: Rule, out: Callable, shown: Column, equal: Column, near: Column | None, positive: Column, right_less: Column, left_less: Column, total: Column | None, fits: Column | None) -> Column:
+    """The decision on two decimals; the first case that holds decides."""
+    review = "HUMAN_REVIEW_REQUIRED"
+    case = F.when(equal, out("EXACT_MATCH", "DECIMAL_EQUAL", shown))
+    if near is not None:
+        case = case.when(near, out("WITHIN_TOLERANCE", "DECIMAL_WITHIN_TOLERANCE", shown) if c.tolerance_approved else out(review, "TOLERANCE_NOT_APPROVED", shown))
     if rule.partial:
-        both = (l >= 0) & (r >= 0)
         if rule.partial == "AGGREGATED_RIGHT_NOT_ABOVE_LEFT":
-            case = case.when(total.isNull(), out(review, "AGGREGATE_MISSING", d))
-            fits = both & (total <= l)
+            case = case.when(total.isNull(), out(review, "AGGREGATE_MISSING", shown))
+            fits = positive & fits
         else:
-            fits = both & (r < l if rule.partial == "RIGHT_LESS_THAN_LEFT" else l < r)
-        case = case.when(fits, out("PARTIAL_MATCH", rule.partial, d) if rule.partial_approved else out(review, "PARTIAL_POLICY_NOT_APPROVED", d))
+            fits = positive & (right_less if rule.partial == "RIGHT_LESS_THAN_LEFT" else left_less)
+        case = case.when(fits, out("PARTIAL_MATCH", rule.partial, shown) if rule.partial_approved else out(review, "PARTIAL_POLICY_NOT_APPROVED", shown))
     if rule.partial_review:
-        case = case.otherwise(out(review, "PARTIAL_POLICY_REQUIRES_HUMAN_REVIEW", d))
-        return case
-    return case.otherwise(out("CONFLICTING_MATCH", "DECIMAL_DIFFERENCE", d))
+        return case.otherwise(out(review, "PARTIAL_POLICY_REQUIRES_HUMAN_REVIEW", shown))
+    return case.otherwise(out("CONFLICTING_MATCH", "DECIMAL_DIFFERENCE", shown))
 
 
 def folded(statuses: list[Column]) -> Column:
@@ -137,37 +177,108 @@ def pairs_of(left: DataFrame, right: DataFrame, rule: Rule, pairs: str = "keyed"
     """left_id, right_id, status, comparisons (array of component, status, reason, difference), left and right decimals."""
     decimals = [c for c in rule.components if c.comparator.startswith("DECIMAL")]
     scale = lambda df, name: kind.scale if isinstance(kind := df.schema[name].dataType, DecimalType) else None
+    typed = lambda df, name: isinstance(df.schema[name].dataType, VariantType)
+    sets = {c.left for c in rule.components if c.comparator == "SET_CONTAINS"}, {c.right for c in rule.components if c.comparator == "SET_CONTAINS"}
 
-    def side(df: DataFrame, mark: str, names: set[str]) -> DataFrame:
-        # texts are read as decimals once for each record, not for each pair
+    def side(df: DataFrame, mark: str, names: set[str], used: set[str], arrays: set[str]) -> DataFrame:
+        # texts are read as decimals, and typed values as texts, once for each record, not for each pair
         made = df.select([F.col(f"`{c}`").alias(f"{mark}_{c}") for c in df.columns])
+        made = made.withColumns({f"{mark}__kind_{n}": kind_of(F.col(f"{mark}_{n}")) for n in used if typed(df, n)})
+        made = made.withColumns({f"{mark}_{n}": canonical_items(F.col(f"{mark}_{n}")) if n in arrays else text_of(F.col(f"{mark}_{n}")) for n in used if typed(df, n)})
         for n in sorted(names):
             text, k = F.col(f"{mark}_{n}").cast("string"), scale(df, n)
             made = made.withColumns({f"{mark}__number_{n}": decimal_or_null(text) if k is None else F.col(f"{mark}_{n}"), f"{mark}__digits_{n}": fraction_digits(text) if k is None else F.lit(k)})
         return made
 
-    l, r = side(left, "l", {c.left for c in decimals}), side(right, "r", {c.right for c in decimals} | ({rule.aggregate} if rule.aggregate else set()))
-    if pairs == "keyed" and rule.keys:
-        on = [normalized(F.col(f"l_{c.left}"), c.normalizers) == normalized(F.col(f"r_{c.right}"), c.normalizers) for c in rule.keys]
-        joined = l.join(r, on)
-    else:
-        if left.count() * right.count() > rule.max_pairs:
-            raise ValueError(f"{rule.name}: more than {rule.max_pairs} pairs")
-        joined = l.crossJoin(r)
+    def kinds(c: Component) -> tuple[Column, Column] | None:
+        """Kinds of both values where one of them is typed, or a column's type isn't the comparator's."""
+        found = []
+        for df, mark, n in ((left, "l", c.left), (right, "r", c.right)):
+            kind = df.schema[n].dataType
+            fixed = "STRING" if isinstance(kind, StringType) or c.comparator.startswith(("DECIMAL", "DATE")) else "BOOLEAN" if isinstance(kind, BooleanType) else "ARRAY" if isinstance(kind, ArrayType) else "NUMBER"
+            found.append(F.col(f"{mark}__kind_{n}") if typed(df, n) else F.when(F.col(f"{mark}_{n}").isNotNull(), fixed))
+        wanted = "STRING" if c.comparator in TEXT else "BOOLEAN" if c.comparator == "BOOLEAN_EXACT" else "ARRAY" if c.comparator == "SET_CONTAINS" else None
+        plain = {"STRING": StringType, "BOOLEAN": BooleanType, "ARRAY": ArrayType}.get(wanted, object)
+        return None if all(isinstance(df.schema[n].dataType, plain) and not typed(df, n) for df, n in ((left, c.left), (right, c.right))) else tuple(found)
+
+    l = side(left, "l", {c.left for c in decimals}, {c.left for c in rule.components}, sets[0])
+    r = side(right, "r", {c.right for c in decimals} | ({rule.aggregate} if rule.aggregate else set()), {c.right for c in rule.components}, sets[1])
+    joined = _joined(l, r, rule, pairs)
     aggregate = F.col(f"r_{rule.aggregate}") if rule.aggregate else None
     read = lambda mark, name: (F.col(f"{mark}__number_{name}"), F.col(f"{mark}__digits_{name}")) if name else (None, None)
-    made = joined.withColumns({f"_c{i}": compared(c, rule, F.col(f"l_{c.left}"), F.col(f"r_{c.right}"), aggregate, *(((*read("l", c.left), *read("r", c.right), *read("r", rule.aggregate)), (scale(left, c.left), scale(right, c.right))) if c in decimals else ())) for i, c in enumerate(rule.components)})
+    booleans = lambda c, x: x.cast("string") if c.comparator == "BOOLEAN_EXACT" else x
+    made = joined.withColumns({f"_c{i}": compared(c, rule, booleans(c, F.col(f"l_{c.left}")), booleans(c, F.col(f"r_{c.right}")), aggregate, *(((*read("l", c.left), *read("r", c.right), *read("r", rule.aggregate)), (scale(left, c.left), scale(right, c.right))) if c in decimals else ()), kinds=kinds(c)) for i, c in enumerate(rule.components)})
     rows = F.array(*[F.struct(F.lit(c.name).alias("component"), F.col(f"_c{i}.status").alias("status"), F.col(f"_c{i}.reason").alias("reason"), F.col(f"_c{i}.difference").alias("difference"),
                               F.col(f"l_{c.left}").cast("string").alias("left_value"), F.col(f"r_{c.right}").cast("string").alias("right_value")) for i, c in enumerate(rule.components)])
     return made.select(F.lit(rule.name).alias("rule"), F.col("l_record_id").alias("left_id"), F.col("r_record_id").alias("right_id"), folded([F.col(f"_c{i}.status") for i in range(len(rule.components))]).alias("status"), rows.alias("comparisons"))
 
 
-def resolved(pairs: DataFrame, rule: Rule) -> DataFrame:
-    """Qualifying pairs with ``selected`` by cardinality, in one pass: records are counted only on the sides that the cardinality bounds."""
+def band_of(rule: Rule) -> Component | None:
+    """The component by which pairs of a rule without text keys can be made: none qualifies that lies outside of its tolerance."""
+    fits = lambda c: c.required and (c.comparator == "DATE_WINDOW" or c.comparator == "DECIMAL_ABSOLUTE" and not rule.partial)
+    return next((c for c in rule.components if fits(c)), None)
+
+
+def decimal_bin(c: Column, digits: int) -> Column:
+    """A decimal text cut towards zero at its digit of 10^digits, as a text: exact at any width. Values at most 10^digits apart have the same bin or neighbours."""
+    whole, behind = F.regexp_extract(c, "^[+-]?([0-9]+)", 1), F.regexp_extract(c, r"\.([0-9]+)$", 1)
+    cut = F.substring(whole, F.lit(1), F.length(whole) - digits) if digits >= 0 else F.concat(whole, F.rpad(F.substring(behind, 1, -digits), -digits, "0"))
+    plain = F.regexp_replace(F.concat(F.lit("0"), cut), "^0+(?=[0-9])", "")
+    return F.when(D.is_decimal(c), F.when(F.startswith(c, F.lit("-")) & (plain != "0"), F.concat(F.lit("-"), plain)).otherwise(plain))
+
+
+def band_joined(l: DataFrame, r: DataFrame, c: Component, block: int = 10_000) -> DataFrame:
+    """Pairs whose dates or decimals lie within the tolerance of a component, by bins as wide as it: each left record has one, each right one also both neighbours.
+
+    The left records of a bin that has more than ``block`` are dealt into parts, each of which meets the bin's right records, so a hot bin is spread over tasks."""
+    left, right = F.col(f"l_{c.left}"), F.col(f"r_{c.right}")
+    if c.comparator == "DATE_WINDOW":
+        width = int(c.tolerance or 0)
+        day = lambda x: F.datediff(date_or_null(x), F.lit("1970-01-01").cast("date"))
+        bin_of = lambda x: F.floor(day(x) / max(width, 1))
+        beside = lambda b: (b - 1, b, b + 1)
+        near = F.abs(F.col("_rv") - F.col("_lv")) <= width
+        value = day
+    else:
+        tolerance = format(Decimal(str(c.tolerance or 0)), "f")
+        width = Decimal(tolerance)
+        bin_of = (lambda x: decimal_bin(x.cast("string"), (width.next_minus().adjusted() + 1) if width else 0)) if width else (lambda x: D.order_key(x.cast("string")))
+        beside = lambda b: (b, D.difference(F.lit("1"), b), D.difference(F.lit("-1"), b))
+        value = lambda x: x.cast("string")
+        fast = decimal_or_null(F.col("_rv")) - decimal_or_null(F.col("_lv"))
+        near = F.coalesce(F.abs(fast) <= F.lit(tolerance).try_cast("decimal(38,18)"), D.within(F.col("_lv"), F.col("_rv"), tolerance))
+    l = l.withColumns({"_lv": value(left), "_bin": bin_of(left)}).where("_bin IS NOT NULL")
+    r = r.withColumns({"_rv": value(right), "_own": bin_of(right)}).where("_own IS NOT NULL")
+    r = r.withColumn("_bin", F.explode(F.array(*beside(F.col("_own")))) if width else F.col("_own"))
+    hot = l.groupBy("_bin").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block).select("_bin", F.ceil(F.col("_n") / block).alias("_parts"))
+    l = l.join(hot, "_bin", "left").withColumn("_part", F.pmod(F.xxhash64("l_record_id"), F.coalesce("_parts", F.lit(1)))).drop("_parts")
+    r = r.join(hot, "_bin", "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts", "_own")
+    return l.join(r, ["_bin", "_part"]).where(near)
+
+
+def _joined(l: DataFrame, r: DataFrame, rule: Rule, pairs: str) -> DataFrame:
+    """Pairs by the rule's text components, else by a band of its dates or decimals, else all of them under the budget."""
+    if pairs == "keyed" and rule.keys:
+        return l.join(r, [normalized(F.col(f"l_{c.left}"), c.normalizers) == normalized(F.col(f"r_{c.right}"), c.normalizers) for c in rule.keys])
+    if pairs == "keyed" and (band := band_of(rule)):
+        return band_joined(l, r, band)
+    if l.count() * r.count() > rule.max_pairs:
+        raise ValueError(f"{rule.name}: more than {rule.max_pairs} pairs")
+    return l.crossJoin(r)
+
+
+def resolved(pairs: DataFrame, *rules: Rule) -> DataFrame:
+    """Qualifying pairs with ``selected`` by the cardinality of their rule, in one pass over all rules: records are counted only on the sides that a cardinality bounds."""
     q = pairs.where(F.col("status").isin(*QUALIFYING))
-    alone = lambda side: F.count(F.lit(1)).over(Window.partitionBy(f"{side}_id")) == 1
-    keep = {"ONE_TO_ONE": lambda: alone("left") & alone("right"), "ONE_TO_MANY": lambda: alone("right"), "MANY_TO_ONE": lambda: alone("left"), "MANY_TO_MANY": lambda: F.lit(False)}[rule.cardinality]
-    return q.withColumn("selected", keep())
+    alone = lambda side: F.count(F.lit(1)).over(Window.partitionBy("rule", f"{side}_id")) == 1
+    bounds = {"ONE_TO_ONE": ("left", "right"), "ONE_TO_MANY": ("right",), "MANY_TO_ONE": ("left",), "MANY_TO_MANY": None}
+    by_side = {side: [r.name for r in rules if side in (bounds[r.cardinality] or ())] for side in ("left", "right")}
+    never = [r.name for r in rules if bounds[r.cardinality] is None]
+    keep = ~F.col("rule").isin(*never) if never else F.lit(True)
+    for side, names in by_side.items():
+        if names:
+            keep = keep & (alone(side) if len(names) == len(rules) else (~F.col("rule").isin(*names) | alone(side)))
+    return q.withColumn("selected", keep)
 
 
 def links_of(resolved_: DataFrame) -> DataFrame:
@@ -184,13 +295,16 @@ def unmatched(records: DataFrame, resolved_: DataFrame, side: str) -> DataFrame:
 
 
 def allocations(links: DataFrame) -> DataFrame:
-    """Partial comparisons of links as allocated part and capacity; over-allocated groups are sent to review."""
+    """Partial comparisons of links as allocated part and capacity (exact texts); over-allocated groups are sent to review.
+
+    The totals are joined back, so that the rows of a hot record can be split."""
     parts = links.select("rule", "left_id", "right_id", F.explode("comparisons").alias("c")).where("c.status = 'PARTIAL_MATCH' AND NOT startswith(c.reason, 'AGGREGATED')")
-    l, r = decimal_or_null(F.col("c.left_value")), decimal_or_null(F.col("c.right_value"))
-    rows = parts.select("rule", "left_id", "right_id", "c.component", F.least(l, r).alias("allocated"), F.greatest(l, r).alias("capacity"), F.when(r < l, F.col("left_id")).otherwise(F.col("right_id")).alias("holder"))
-    over = F.col("total") > F.col("capacity")
-    return rows.withColumn("total", F.sum("allocated").over(Window.partitionBy("rule", "component", "holder"))).select(
-        "rule", "component", "holder", "left_id", "right_id", "allocated", "capacity", "total", F.when(over, "HUMAN_REVIEW_REQUIRED").otherwise("PARTIAL_MATCH").alias("status"), F.when(over, "PARTIAL_OVER_ALLOCATION").alias("reason"))
+    l, r = F.col("c.left_value"), F.col("c.right_value")
+    keyed = parts.select("rule", "left_id", "right_id", "c", (D.order_key(r) < D.order_key(l)).alias("less"))
+    rows = keyed.select("rule", "left_id", "right_id", "c.component", F.when(F.col("less"), r).otherwise(l).alias("allocated"), F.when(F.col("less"), l).otherwise(r).alias("capacity"), F.when(F.col("less"), F.col("left_id")).otherwise(F.col("right_id")).alias("holder"))
+    group = ["rule", "component", "holder"]
+    made = rows.join(D.exact_sums(rows, group, "allocated"), group).withColumn("over", D.order_key(F.col("total")) > D.order_key(F.col("capacity")))
+    return made.select(*group, "left_id", "right_id", "allocated", "capacity", "total", F.when(F.col("over"), "HUMAN_REVIEW_REQUIRED").otherwise("PARTIAL_MATCH").alias("status"), F.when(F.col("over"), "PARTIAL_OVER_ALLOCATION").alias("reason"))
 
 
 def demoted(links: DataFrame, allocated: DataFrame) -> DataFrame:
@@ -258,17 +372,27 @@ def document_links(links: DataFrame, documents: DataFrame) -> DataFrame:
                        F.array_sort(F.array_distinct(F.array(source("left"), source("right")))).alias("source_references"), F.when(F.col("status").isin("PARTIAL_MATCH", "HUMAN_REVIEW_REQUIRED"), "PENDING").otherwise("NOT_REQUIRED").alias("human_review_status"))
 
 
-def discrepancy_type(c: Component) -> str:
-    """By field name and comparator; decided when the plan is made."""
-    name = f"{c.left} {c.right}"
-    for words, kind in ((("bank_account", "account"), "BANK_ACCOUNT_MISMATCH"), (("quantity", "qty"), "QUANTITY_MISMATCH"), (("price",), "PRICE_MISMATCH"), (("tax",), "TAX_MISMATCH"), (("currency",), "CURRENCY_MISMATCH"), (("amount", "total"), "AMOUNT_MISMATCH")):
-        if any(w in name for w in words):
-            return kind
-    if c.comparator == "DATE_WINDOW" or "_date" in name:
-        return "DATE_MISMATCH"
-    if any(w in name for w in ("party", "vendor", "customer", "supplier")):
-        return "PARTY_MISMATCH"
-    return "REFERENCE_MISMATCH" if c.comparator == "IDENTIFIER_EXACT" else "SYSTEM_DOCUMENT_MISMATCH"
+#: The field names that decide a discrepancy's type, in the order in which they are tried.
+FIELDS_OF_TYPE = (
+    ("BANK_ACCOUNT_MISMATCH", ("account_number", "bank_account", "bank_account_number", "beneficiary_account", "beneficiary_account_number", "beneficiary_bank_account", "payee_account", "payee_bank_account")),
+    ("QUANTITY_MISMATCH", ("quantity", "ordered_quantity", "received_quantity", "invoiced_quantity")),
+    ("PRICE_MISMATCH", ("unit_price", "price", "unit_cost")),
+    ("TAX_MISMATCH", ("tax", "tax_amount", "tax_rate", "vat_amount", "vat_rate")),
+    ("CURRENCY_MISMATCH", ("currency", "currency_code")),
+    ("AMOUNT_MISMATCH", ("amount", "gross_amount", "net_amount", "total_amount", "payment_amount")),
+)
+PARTY_FIELDS = ("party", "party_id", "vendor", "vendor_id", "customer", "customer_id")
+
+
+def discrepancy_type_of(left: Column, right: Column, comparator: Column) -> Column:
+    """The type of a conflict by whole field names, whatever their case, and the comparator."""
+    names = F.array(F.lower(left), F.lower(right))
+    named = lambda own: F.arrays_overlap(names, F.array(*map(F.lit, own)))
+    case = F.when(named(FIELDS_OF_TYPE[0][1]), FIELDS_OF_TYPE[0][0])
+    for kind, own in FIELDS_OF_TYPE[1:]:
+        case = case.when(named(own), kind)
+    dated = F.exists(names, lambda x: F.endswith(x, F.lit("_date")) | (x == "date"))
+    return case.when((comparator == "DATE_WINDOW") | dated, "DATE_MISMATCH").when(named(PARTY_FIELDS), "PARTY_MISMATCH").when(comparator == "IDENTIFIER_EXACT", "REFERENCE_MISMATCH").otherwise("SYSTEM_DOCUMENT_MISMATCH")
 
 
 def last_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -276,33 +400,48 @@ def last_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for c in rows.columns if c != key]), F.col(order)).alias("_row")).select(key, "_row.*").select(*rows.columns)
 
 
-def discrepancies(pairs: DataFrame, rule: Rule) -> DataFrame:
+def discrepancies(pairs: DataFrame, *rules: Rule) -> DataFrame:
     """A row for each conflicting component; a pair is evaluated once for a rule, so ids don't repeat."""
-    kinds = F.create_map(*[x for c in rule.components for x in (F.lit(c.name), F.lit(discrepancy_type(c)))])
-    rows = pairs.select("rule", "left_id", "right_id", F.explode("comparisons").alias("c")).where("c.status = 'CONFLICTING_MATCH'").withColumn("type", kinds[F.col("c.component")])
+    kinds = F.create_map(*[x for r in rules for c in r.components for x in (F.lit(f"{r.name}\n{c.name}"), discrepancy_type_of(F.lit(c.left), F.lit(c.right), F.lit(c.comparator)))])
+    rows = pairs.select("rule", "left_id", "right_id", F.explode("comparisons").alias("c")).where("c.status = 'CONFLICTING_MATCH'").withColumn("type", kinds[F.concat_ws("\n", "rule", "c.component")])
     return rows.select(stable_id("disc", F.col("rule"), F.col("left_id"), F.col("right_id"), F.col("c.component")).alias("discrepancy_id"), "rule", "left_id", "right_id", "c.component", "type",
                        F.when(F.col("type") == "BANK_ACCOUNT_MISMATCH", "HIGH").otherwise("MEDIUM").alias("severity"), "c.difference")
 
 
+def group_key(records: DataFrame, name: str) -> Column:
+    """What a group is known by: a typed value's canonical JSON, so that 1 and "1" are two groups and members' order doesn't matter; other columns as they are."""
+    return F.when(kind_of(F.col(name)) != "VOID", F.to_json(F.col(name))) if isinstance(records.schema[name].dataType, VariantType) else F.col(name)
+
+
 def _group_missing(keys: list[str]) -> Column:
     return F.greatest(*[F.col(k).isNull().cast("int") for k in keys], F.lit(0)) == 1
 
 
-def aggregated(records: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, DataFrame]:
+def aggregated(records: DataFrame, keys: list[str], value: str, json_keys: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Of each group: sum, least and greatest of its decimals (with their own digits), number of all its records, id; and the rejected records with a reason.
 
-    Records without a decimal count among n_records and are rejected for the others; those without a key are rejected for all.
+    Records without a decimal count among n_records and are rejected for the others; those without a key, or with one of ``json_keys`` (texts of
+    JSON) that is not strict JSON, are rejected for all. Texts are summed exactly at any width (a text), decimal columns as such.
     """
     kind = records.schema[value].dataType
+    if isinstance(kind, VariantType):
+        records = records.withColumn(value, F.when(kind_of(F.col(value)) == "STRING", text_of(F.col(value))))
+    read = records.withColumns({f"_raw_{k}": F.col(k).isNotNull() for k in json_keys}).withColumns({k: canonical_json(F.col(k)) if k in json_keys else group_key(records, k) for k in keys})
+    broken = F.greatest(*[(F.col(f"_raw_{k}") & F.col(k).isNull()).cast("int") for k in json_keys], F.lit(0), F.lit(0)) == 1
     text = F.col(value).cast("string")
-    d = F.col(value) if isinstance(kind, DecimalType) else decimal_or_null(text)
-    marked = records.withColumns({"_d": d, "_t": F.when(d.isNotNull(), text), "reason": F.when(_group_missing(keys), "GROUP_FIELD_MISSING").when(d.isNull(), "DECIMAL_VALUE_MISSING_OR_INVALID")})
-    good = marked.where(~_group_missing(keys)).groupBy(*keys).agg(F.sum("_d").alias("sum_value"), F.count(F.lit(1)).alias("n_records"), F.min_by("_t", "_d").alias("min_value"), F.max_by("_t", "_d").alias("max_value"))
+    good_value = F.col(value).isNotNull() if isinstance(kind, DecimalType) else D.is_decimal(text)
+    marked = read.withColumns({"_t": F.when(good_value, text), "reason": F.when(broken, "GROUP_VALUE_NOT_CANONICAL_JSON").when(_group_missing(keys), "GROUP_FIELD_MISSING").when(~good_value, "DECIMAL_VALUE_MISSING_OR_INVALID")})
+    whole = marked.where(~_group_missing(keys))
+    if isinstance(kind, DecimalType) and kind.precision <= 28:
+        good = whole.groupBy(*keys).agg(F.sum(value).alias("sum_value"), F.count(F.lit(1)).alias("n_records"), F.min_by("_t", value).alias("min_value"), F.max_by("_t", value).alias("max_value"))
+    else:
+        good = D.exact_aggregates(whole, keys, "_t")
     return good.withColumn("aggregation_result_id", stable_id("agg", *[F.to_json(F.struct(k)) for k in keys])), marked.where("reason IS NOT NULL").select("record_id", "reason")
 
 
 def aggregation_members(records: DataFrame, keys: list[str]) -> DataFrame:
     """Members of the groups: a row for each record of a group, with the group's id."""
+    records = records.withColumns({k: group_key(records, k) for k in keys})
     return records.where(~_group_missing(keys)).select(stable_id("agg", *[F.to_json(F.struct(k)) for k in keys]).alias("aggregation_result_id"), *keys, "record_id")
 
 
@@ -324,7 +463,11 @@ def missing_roles(required: DataFrame, records: DataFrame) -> DataFrame:
 
 def with_group_total(records: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """The group's sum at each record, by a join that can be split where a group is hot; a record without a key has none."""
-    return records.join(records.groupBy(*keys).agg(F.sum(value).alias(out)), keys, "left").select(*records.columns, out)
+    if isinstance(records.schema[value].dataType, DecimalType):
+        totals = records.groupBy(*keys).agg(F.sum(value).alias(out))
+    else:
+        totals = D.exact_sums(records, keys, value).withColumnRenamed("total", out)
+    return records.join(totals, keys, "left").select(*records.columns, out)
 
 
 def readiness(run: DataFrame, issues: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.fields import formula_in_json, formula_like, inferred_type
+from ..functions.fields import formula_in_json, formula_like, inferred_type, kind_of, text_of
 
 WRAPPER = ("raw_value", "normalized_value", "display_value", "data_type", "provenance", "human_review_required", "notes")
 DOCUMENT_KEYS = ("document_id", "record_id", "document_type", "role", "source_reference", "fields", "evidence_ids", "data_classification", "limitations")
@@ -24,16 +24,6 @@ def held(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
 
 
-def kind_of(v: Column) -> Column:
-    """STRING, BOOLEAN, ARRAY, OBJECT, VOID or a number's type of a variant."""
-    return F.regexp_extract(F.schema_of_variant(v), r"^[A-Z]+", 0)
-
-
-def text_of(v: Column) -> Column:
-    """A variant's text: of a string its characters, of others their JSON."""
-    return F.when(kind_of(v) == "STRING", F.try_variant_get(v, "$", "string")).when(kind_of(v) != "VOID", F.to_json(v))
-
-
 def payload_shape(v: Column) -> Column:
     has = lambda k: F.try_variant_get(v, f"$.{k}", "variant").isNotNull()
     return F.when(kind_of(v) == "ARRAY", "ARRAY").when(kind_of(v) != "OBJECT", "INVALID").when(has("document_inventory") & has("extracted_fields"), "PACKAGE").when(has("documents"), "COLLECTION").otherwise("DOCUMENT")
@@ -95,7 +85,7 @@ def field_rows(documents: DataFrame) -> DataFrame:
         t = text_of(F.col(c))
         formula = formula | F.coalesce(F.when(kind_of(F.col(c)) == "STRING", formula_like(t)).when(kind_of(F.col(c)).isin("ARRAY", "OBJECT"), formula_in_json(t)), F.lit(False))
     raw_text, norm_text = text_of(F.col("_raw")), text_of(F.col("_norm"))
-    return made.select("source", "document_id", "document_type", "field_name", raw_text.alias("raw_value"), norm_text.alias("normalized_value"), text_of(F.col("_display")).alias("display_value"), F.coalesce(norm_text, raw_text).alias("effective_value"),
+    return made.select("source", "document_id", "document_type", "field_name", raw_text.alias("raw_value"), norm_text.alias("normalized_value"), text_of(F.col("_display")).alias("display_value"), F.coalesce(norm_text, raw_text).alias("effective_value"), F.when(norm_text.isNotNull(), F.col("_norm")).otherwise(F.col("_raw")).alias("typed_value"),
                        F.coalesce(F.when(F.col("wrapped"), F.try_variant_get("v", "$.data_type", "string")), inferred_type(F.col("field_name"), kind_of(F.col("_norm")))).alias("data_type"),
                        F.coalesce(F.try_variant_get("v", "$.provenance.source_page", "string"), F.lit("NOT_APPLICABLE")).alias("source_page"),
                        F.coalesce(F.try_variant_get("v", "$.provenance.source_region", "string"), F.concat(F.lit("structured-json:"), "field_name")).alias("source_region"),
@@ -147,6 +137,12 @@ def record_map(fields: DataFrame, documents: DataFrame) -> DataFrame:
     return documents.where("role IS NOT NULL").join(maps, "document_id").select(F.col("document_id").alias("record_id"), "role", "document_type", "fields", F.col("source").alias("source_reference"))
 
 
+def typed_record_map(fields: DataFrame, documents: DataFrame) -> DataFrame:
+    """The same with the fields' values as they are typed in JSON (a map of variants)."""
+    maps = fields.groupBy("document_id").agg(F.map_from_entries(F.collect_list(F.struct("field_name", "typed_value"))).alias("fields"))
+    return documents.where("role IS NOT NULL").join(maps, "document_id").select(F.col("document_id").alias("record_id"), "role", "document_type", "fields", F.col("source").alias("source_reference"))
+
+
 def routed(request: dict) -> str:
     """The one task that a request asks for: conversion, rag or reconciliation."""
     asked = [k for k in ("conversion", "rag", "reconciliation") if request.get(k) is not None]

@@ -371,11 +371,6 @@ def cell_projections(spark, sf):
     return table(spark, sf, "events").select("event_id", F.array_join(X.closed_set_violations(keys, ["a", "b"]), ",").alias("unknown"), X.confidence_shown(F.when(k % 3 == 0, k), F.when(k % 3 == 1, "HIGH")).alias("confidence"), X.identifier_column(F.col("event_type")).alias("as_text"))
 
 
-@query("SELECT * FROM (SELECT DISTINCT x AS field FROM (SELECT unnest(['account_id', 'name', 'sha256', 'total']) AS x)) WHERE regexp_matches(field, '(id|sha256)$')")
-def identifier_columns(spark, sf):
-    return spark.createDataFrame([(x,) for x in ("account_id", "name", "sha256", "total")], "field string").where(X.identifier_column(F.col("field")))
-
-
 # -- reconciliation, more ----------------------------------------------------------------------------------------------
 
 _ALLOCATED = f"{_ONE_MANY}, a AS (SELECT *, sum(CASE WHEN status = 'PARTIAL_MATCH' THEN ra END) OVER (PARTITION BY left_id) AS total FROM m WHERE status <> 'CONFLICTING_MATCH')"
@@ -433,12 +428,6 @@ def comparator_cases(spark, sf):
                                              one(R.Component("o", "l", "r", "EXACT_TEXT", required=False), F.lit("A"), F.when(k % 5 != 0, "A")).alias("optional"))
 
 
-@query("SELECT t.field, t.kind FROM (VALUES ('seller_bank_account', 'BANK_ACCOUNT_MISMATCH'), ('quantity', 'QUANTITY_MISMATCH'), ('unit_price', 'PRICE_MISMATCH'), ('tax_code', 'TAX_MISMATCH'), ('currency', 'CURRENCY_MISMATCH'), ('total_amount', 'AMOUNT_MISMATCH'), ('issue_date', 'DATE_MISMATCH'), ('vendor_name', 'PARTY_MISMATCH'), ('po_number', 'REFERENCE_MISMATCH'), ('note', 'SYSTEM_DOCUMENT_MISMATCH')) t(field, kind)")
-def discrepancy_types(spark, sf):
-    names = ("seller_bank_account", "quantity", "unit_price", "tax_code", "currency", "total_amount", "issue_date", "vendor_name", "po_number", "note")
-    return spark.createDataFrame([(n, R.discrepancy_type(R.Component(n, n, n, "IDENTIFIER_EXACT" if n == "po_number" else "EXACT_TEXT"))) for n in names], "field string, kind string")
-
-
 # -- extensions --------------------------------------------------------------------------------------------------------
 
 

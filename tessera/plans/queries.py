@@ -247,12 +247,6 @@ def field_long_view(spark, sf):
     return long.where("value IS NOT NULL").groupBy("n").agg(F.count(F.lit(1)).alias("c"))
 
 
-@query("SELECT * FROM (VALUES ('account_number', 'BANK_ACCOUNT'), ('invoice_number', 'IDENTIFIER'), ('issue_date', 'DATE'), ('qty', 'QUANTITY'), ('total_amount', 'CURRENCY_AMOUNT'), ('vendor', 'TEXT')) t(field, type)")
-def type_inference(spark, sf):
-    names = spark.createDataFrame([(x,) for x in ("account_number", "invoice_number", "issue_date", "qty", "total_amount", "vendor")], "field string")
-    return names.select("field", X.inferred_type(F.col("field")).alias("type"))
-
-
 @query("SELECT doc_id, regexp_matches(text, '^[=+@-]') AS formula FROM documents")
 def formula_flag(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.formula_like(F.col("text")).alias("formula"))

