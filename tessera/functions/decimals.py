@@ -8,132 +8,167 @@ and carries once at the end. Narrow values take DECIMAL arithmetic; the callers
 
 from __future__ import annotations
 
+import itertools
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_CHARACTERS = 10_000
-DECIMAL = r"^[+-]?(0|[1-9][0-9]*)(\.[0-9]+)?$"
+DECIMAL = "^[+-]?(0|[1-9][0-9]*)([.][0-9]+)?$"
 LIMB = 9
 _BASE = 10**LIMB
 #: What the fast way of a sum takes: 18 digits before and 10 behind the point, so that 10^10 of them fit.
 NARROW = "decimal(28,10)"
 
+# The functions that start with an underscore make SQL texts from SQL texts: one text is parsed for a whole expression, where a call for each of its
+# hundreds of nodes would take a second or more for each column.
+_names = itertools.count()
 
-def let(c: Column, f: Callable[[Column], Column]) -> Column:
-    """f of a value that is computed once, however often f names it."""
-    return F.transform(F.array(c), f)[0]
 
+def _let(value: str, body: Callable[[str], str]) -> str:
+    """``body`` of a value that is computed once, however often it is named."""
+    v = f"v{next(_names)}"
+    return f"transform(array({value}), {v} -> {body(v)})[0]"
 
-def is_decimal(c: Column) -> Column:
-    return F.coalesce(F.rlike(c, F.lit(DECIMAL)) & (F.length(c) <= MAX_CHARACTERS), F.lit(False))
 
+def applied(body: Callable[..., str], **columns: Column) -> Column:
+    """The SQL text that ``body`` makes of these columns (each computed once)."""
+    v = f"v{next(_names)}"
+    made = F.expr(f"{v} -> {body(*[f'{v}.{k}' for k in columns])}")
+    return F.call_function("transform", F.array(F.struct(*[c.alias(k) for k, c in columns.items()])), made)[0]
 
-def _digits(c: Column) -> Column:
-    """struct(negative, whole, behind): the digits before and behind the point; a zero is never negative."""
-    return F.struct((F.startswith(c, F.lit("-")) & F.rlike(c, F.lit("[1-9]"))).alias("negative"), F.regexp_extract(c, "^[+-]?([0-9]+)", 1).alias("whole"), F.regexp_extract(c, r"\.([0-9]+)$", 1).alias("behind"))
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once."""
+    return F.transform(F.array(c), f)[0]
 
-def order_key(c: Column) -> Column:
-    """A text that sorts, and is equal, as the numbers are: 1.50 and 1.5 have the same one; null for what is no decimal."""
-    def key(d: Column) -> Column:
-        size = F.concat(F.lpad(F.length(d["whole"]).cast("string"), 5, "0"), d["whole"], F.rtrim(d["behind"], F.lit("0")))
-        return F.when(d["negative"], F.concat(F.lit("0"), F.translate(size, "0123456789", "9876543210"), F.lit("~"))).otherwise(F.concat(F.lit("1"), size))
 
-    return let(c, lambda x: F.when(is_decimal(x), let(_digits(x), key)))
+def _is_decimal(x: str) -> str:
+    return f"coalesce(rlike({x}, '{DECIMAL}') AND length({x}) <= {MAX_CHARACTERS}, false)"
 
 
-def magnitude(c: Column) -> Column:
-    """The text without its sign."""
-    return F.regexp_replace(c, "^[+-]", "")
+def _digits(x: str) -> str:
+    """struct(negative, whole, behind): the digits before and behind the point; a zero is never negative."""
+    return f"named_struct('negative', startswith({x}, '-') AND rlike({x}, '[1-9]'), 'whole', regexp_extract({x}, '^[+-]?([0-9]+)', 1), 'behind', regexp_extract({x}, '[.]([0-9]+)$', 1))"
 
 
-def larger(a: Column, b: Column) -> Column:
-    """The decimal text of larger value; a where both are equal."""
-    return F.when(order_key(a) >= order_key(b), a).otherwise(b)
+def _order_key(x: str) -> str:
+    def key(d: str) -> str:
+        size = f"concat(lpad(CAST(length({d}.whole) AS STRING), 5, '0'), {d}.whole, trim(TRAILING '0' FROM {d}.behind))"
+        return f"CASE WHEN {d}.negative THEN concat('0', translate({size}, '0123456789', '9876543210'), '~') ELSE concat('1', {size}) END"
 
+    return f"CASE WHEN {_is_decimal(x)} THEN {_let(_digits(x), key)} END"
 
-def _limbs(whole: Column, behind: Column, before_point: Column, after_point: Column) -> Column:
+
+def _limbs(whole: str, behind: str, before: str, after: str) -> str:
     """Limbs of digits, padded to so many limbs before and behind the point."""
-    text = F.concat(F.lpad(whole, (before_point * LIMB).cast("int"), F.lit("0")), F.rpad(behind, (after_point * LIMB).cast("int"), F.lit("0")))
-    return F.transform(F.regexp_extract_all(text, F.lit(f"[0-9]{{{LIMB}}}"), F.lit(0)), lambda x: x.cast("long"))
+    return f"transform(regexp_extract_all(concat(lpad({whole}, CAST({before} * {LIMB} AS INT), '0'), rpad({behind}, CAST({after} * {LIMB} AS INT), '0')), '[0-9]{{{LIMB}}}', 0), x -> CAST(x AS BIGINT))"
 
 
-def _count(n: Column) -> Column:
-    return F.greatest(F.ceil(n / LIMB), F.lit(1)).cast("int")
+def _count(n: str) -> str:
+    return f"greatest(CAST(({n} + {LIMB - 1}) div {LIMB} AS INT), 1)"
 
 
-def carried(limbs: Column) -> Column:
+def _carried(limbs: str) -> str:
     """Limbs of any sign and size brought to 0..10^9-1, with one more in front that takes what is left (below zero for a negative number)."""
-    base = F.lit(_BASE).cast("long")
+    digit = f"pmod(x + s.carry, {_BASE}L)"
+    return f"aggregate(reverse({limbs}), named_struct('carry', 0L, 'done', CAST(array() AS ARRAY<BIGINT>)), (s, x) -> named_struct('carry', (x + s.carry - {digit}) div {_BASE}L, 'done', concat(array({digit}), s.done)), s -> concat(array(s.carry), s.done))"
 
-    def step(s: Column, x: Column) -> Column:
-        digit = F.pmod(x + s["carry"], base)  # and a division that leaves nothing, since floor(a / b) goes through a double
-        return F.struct(F.call_function("div", x + s["carry"] - digit, base).cast("long").alias("carry"), F.concat(F.array(digit), s["done"]).alias("done"))
 
-    return F.aggregate(F.reverse(limbs), F.struct(F.lit(0).cast("long").alias("carry"), F.array().cast("array<bigint>").alias("done")), step, lambda s: F.concat(F.array(s["carry"]), s["done"]))
+def _limbs_text(limbs: str, after: str, scale: str) -> str:
+    """A number's text with ``scale`` digits behind the point, from carried limbs of which ``after`` stand behind it; any zero is 0 with no sign."""
+    def text(v: str) -> str:
+        cut = f"length({v}.text) - {after} * {LIMB}"
+        whole = f"regexp_replace(substring({v}.text, 1, {cut}), '^0+(?=[0-9])', '')"
+        return f"CASE WHEN rlike({v}.text, '[1-9]') THEN concat(CASE WHEN {v}.negative THEN '-' ELSE '' END, {whole}, CASE WHEN {scale} > 0 THEN concat('.', substring({v}.text, {cut} + 1, {scale})) ELSE '' END) ELSE '0' END"
 
+    def shown(x: str) -> str:
+        size = f"CASE WHEN {x}[0] < 0 THEN {_carried(f'transform({x}, y -> -y)')} ELSE {x} END"
+        return _let(f"named_struct('negative', {x}[0] < 0, 'text', array_join(transform({size}, y -> lpad(CAST(y AS STRING), {LIMB}, '0')), ''))", text)
 
-def limbs_text(limbs: Column, after_point: Column, scale: Column) -> Column:
-    """A number's text with ``scale`` digits behind the point, from carried limbs of which ``after_point`` stand behind it; any zero is 0 with no sign."""
-    def shown(x: Column) -> Column:
-        # (negative, digits, how many of them stand before the point)
-        negative = F.get(x, F.lit(0)) < 0
-        size = F.when(negative, carried(F.transform(x, lambda y: -y))).otherwise(x)
-        return let(F.struct(negative.alias("negative"), F.array_join(F.transform(size, lambda y: F.lpad(y.cast("string"), LIMB, "0")), "").alias("text")), text)
+    return _let(limbs, shown)
 
-    def text(v: Column) -> Column:
-        cut = F.length(v["text"]) - after_point * LIMB
-        whole = F.regexp_replace(F.substring(v["text"], F.lit(1), cut), "^0+(?=[0-9])", "")
-        plain = F.concat(F.when(v["negative"], "-").otherwise(""), whole, F.when(scale > 0, F.concat(F.lit("."), F.substring(v["text"], cut + 1, scale))).otherwise(""))
-        return F.when(F.rlike(v["text"], F.lit("[1-9]")), plain).otherwise("0")
 
-    return let(limbs, shown)
+def _difference(l: str, r: str) -> str:
+    def of(v: str) -> str:
+        size = f"named_struct('before', {_count(f'greatest(length({v}.l.whole), length({v}.r.whole))')}, 'scale', greatest(length({v}.l.behind), length({v}.r.behind)))"
 
+        def made(n: str) -> str:
+            after = _count(f"{n}.scale")
+            signed = lambda d: _let(_limbs(f"{d}.whole", f"{d}.behind", f"{n}.before", after), lambda y: f"CASE WHEN {d}.negative THEN transform({y}, z -> -z) ELSE {y} END")
+            return _limbs_text(_carried(f"zip_with({signed(f'{v}.r')}, {signed(f'{v}.l')}, (a, b) -> a - b)"), after, f"{n}.scale")
 
-def difference(l: Column, r: Column) -> Column:
-    """The exact text of r - l, with as many digits behind the point as the finer of both."""
-    def of(v: Column) -> Column:
-        l, r = v["l"], v["r"]
-        size = F.struct(_count(F.greatest(F.length(l["whole"]), F.length(r["whole"]))).alias("before"), F.greatest(F.length(l["behind"]), F.length(r["behind"])).alias("scale"))
-        signed = lambda x, n: let(_limbs(x["whole"], x["behind"], n["before"], _count(n["scale"])), lambda y: F.when(x["negative"], F.transform(y, lambda z: -z)).otherwise(y))
-        return let(size, lambda n: limbs_text(carried(F.zip_with(signed(r, n), signed(l, n), lambda a, b: a - b)), _count(n["scale"]), n["scale"]))
+        return _let(size, made)
 
-    return let(F.struct(_digits(l).alias("l"), _digits(r).alias("r")), of)
+    return _let(f"named_struct('l', {_digits(l)}, 'r', {_digits(r)})", of)
 
 
-def scaled(c: Column, factor: str) -> Column:
-    """The exact text of a decimal's magnitude times a factor that is a decimal text known when the plan is made."""
+def _scaled(x: str, factor: str) -> str:
     whole, _, behind = factor.lstrip("+").partition(".")
     if whole.startswith("-"):
         raise ValueError(f"a factor is not negative: {factor}")
     digits = whole + behind.ljust(-(-len(behind) // LIMB) * LIMB, "0")
     digits = digits.rjust(-(-len(digits) // LIMB) * LIMB, "0")
     parts = [int(digits[i:i + LIMB]) for i in range(0, len(digits), LIMB)]
-    shift = -(-len(behind) // LIMB)
-    zeros = lambda n: F.array(*[F.lit(0).cast("long")] * n).cast("array<bigint>")
+    zeros = lambda n: f"CAST(array({', '.join(['0L'] * n)}) AS ARRAY<BIGINT>)"
 
-    def of(d: Column) -> Column:
-        after = _count(F.length(d["behind"]))
+    def of(d: str) -> str:
+        after = _count(f"length({d}.behind)")
 
-        def product(limbs: Column) -> Column:
+        def product(limbs: str) -> str:
             total = None
-            times = lambda part: F.transform(limbs, lambda x: x * F.lit(part).cast("long"))  # noqa: E731  below 10^18 each
-            for j, part in enumerate(parts):
-                row = F.concat(zeros(j), carried(times(part)), zeros(len(parts) - 1 - j))
-                total = row if total is None else F.zip_with(total, row, lambda a, b: a + b)
-            return limbs_text(carried(total), after + shift, F.length(d["behind"]) + len(behind))
+            for j, part in enumerate(parts):  # each product of limbs is below 10^18
+                row = f"concat({zeros(j)}, {_carried(f'transform({limbs}, y -> y * {part}L)')}, {zeros(len(parts) - 1 - j)})"
+                total = row if total is None else f"zip_with({total}, {row}, (a, b) -> a + b)"
+            return _limbs_text(_carried(total), f"({after} + {-(-len(behind) // LIMB)})", f"(length({d}.behind) + {len(behind)})")
+
+        return _let(_limbs(f"{d}.whole", f"{d}.behind", _count(f"length({d}.whole)"), after), product)
 
-        return let(_limbs(d["whole"], d["behind"], _count(F.length(d["whole"])), after), product)
+    return _let(_digits(x), of)
 
-    return let(_digits(c), of)
+
+def _magnitude(x: str) -> str:
+    return f"regexp_replace({x}, '^[+-]', '')"
+
+
+def _within(l: str, r: str, tolerance: str, relative: bool) -> str:
+    larger = lambda v: f"CASE WHEN {_order_key(f'{v}.l')} >= {_order_key(f'{v}.r')} THEN {v}.l ELSE {v}.r END"
+    bound = _let(f"named_struct('l', {_magnitude(l)}, 'r', {_magnitude(r)})", lambda v: _scaled(larger(v), tolerance)) if relative else f"'{tolerance}'"
+    return f"{_let(_magnitude(_difference(l, r)), _order_key)} <= {_let(bound, _order_key)}"
+
+
+def is_decimal(c: Column) -> Column:
+    """Whether a text is a canonical decimal; false for null."""
+    return applied(_is_decimal, c=c)
+
+
+def order_key(c: Column) -> Column:
+    """A text that sorts, and is equal, as the numbers are: 1.50 and 1.5 have the same one; null for what is no decimal."""
+    return applied(_order_key, c=c)
+
+
+def magnitude(c: Column) -> Column:
+    """The text without its sign."""
+    return F.regexp_replace(c, "^[+-]", "")
+
+
+def difference(l: Column, r: Column) -> Column:
+    """The exact text of r - l, with as many digits behind the point as the finer of both."""
+    return applied(_difference, l=l, r=r)
+
+
+def scaled(c: Column, factor: str) -> Column:
+    """The exact text of a decimal's magnitude times a factor that is a decimal text known when the plan is made."""
+    return applied(lambda x: _scaled(x, factor), c=c)
 
 
 def within(l: Column, r: Column, tolerance: str, relative: bool = False) -> Column:
     """|r - l| <= tolerance, or <= tolerance times the larger magnitude."""
-    bound = let(F.struct(magnitude(l).alias("l"), magnitude(r).alias("r")), lambda v: scaled(larger(v["l"], v["r"]), tolerance)) if relative else F.lit(tolerance)
-    return order_key(magnitude(difference(l, r))) <= order_key(bound)
+    if not re.fullmatch(DECIMAL, tolerance):
+        raise ValueError(f"a tolerance is a canonical decimal text: {tolerance}")
+    return applied(lambda l, r: _within(l, r, tolerance, relative), l=l, r=r)
 
 
 def narrow(c: Column) -> Column:
@@ -141,58 +176,56 @@ def narrow(c: Column) -> Column:
     return F.when(F.length(F.regexp_extract(c, r"\.([0-9]+)$", 1)) <= 10, c.try_cast(NARROW))
 
 
-def exact_aggregates(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """keys, sum_value, n_records, min_value, max_value of each group of canonical decimal texts, of any width, as texts.
+def exact_aggregates(rows: DataFrame, keys: list[str], value: str, extremes: bool = True) -> DataFrame:
+    """keys, sum_value, n_records (and min_value, max_value) of each group of canonical decimal texts, of any width, as texts.
 
     Rows without a decimal count among n_records alone. The sum has the digits behind the point of its finest value; least and greatest value stand as they were written.
     Each row gives its narrow part, or the limbs of a wide one by their place, so partial sums are made before the shuffle. Places are few (a value has
     ``MAX_CHARACTERS`` at most), so a group's limbs come together in one row.
     """
-    text = F.when(is_decimal(F.col(value)), F.col(value))
-
-    def wide(d: Column) -> Column:
+    def places(d: str) -> str:
         # place 0 stands before the point, -1 behind it; a narrow value is one row without a place
-        before = _count(F.length(d["whole"]))
-        return F.transform(_limbs(d["whole"], d["behind"], before, _count(F.length(d["behind"]))), lambda x, i: F.struct((before - 1 - i).cast("int").alias("place"), F.when(d["negative"], -x).otherwise(x).alias("limb")))
-
-    none = F.array(F.struct(F.lit(None).cast("int").alias("place"), F.lit(None).cast("long").alias("limb")))
-    read = rows.select(*keys, text.alias("_text")).select("*", narrow(F.col("_text")).alias("_fast"), F.length(F.regexp_extract("_text", r"\.([0-9]+)$", 1)).alias("_scale"), order_key(F.col("_text")).alias("_key"))
-    marked = read.select("*", F.posexplode(F.when(F.col("_text").isNotNull() & F.col("_fast").isNull(), let(_digits(F.col("_text")), wide)).otherwise(none)).alias("_i", "_l"))
-    some = F.when(F.col("_key").isNotNull(), F.struct("_key", "_text"))
+        before = _count(f"length({d}.whole)")
+        return f"transform({_limbs(f'{d}.whole', f'{d}.behind', before, _count(f'length({d}.behind)'))}, (x, i) -> named_struct('place', {before} - 1 - i, 'limb', CASE WHEN {d}.negative THEN -x ELSE x END, 'first', i = 0))"
+
+    dealt_out = F.expr(f"CASE WHEN _text IS NOT NULL AND _fast IS NULL THEN {_let(_digits('_text'), places)} ELSE array(named_struct('place', CAST(NULL AS INT), 'limb', CAST(NULL AS BIGINT), 'first', true)) END")
+    read = rows.select(*keys, F.when(is_decimal(F.col(value)), F.col(value)).alias("_text")).select("*", narrow(F.col("_text")).alias("_fast"), F.length(F.regexp_extract("_text", r"\.([0-9]+)$", 1)).alias("_scale"))
+    if extremes:
+        read = read.withColumn("_key", F.when(F.col("_text").isNotNull(), F.struct(order_key(F.col("_text")).alias("key"), F.col("_text").alias("text"))))
+    marked = read.select("*", F.explode(dealt_out).alias("_l"))
+    more = [F.min("_key").alias("_least"), F.max("_key").alias("_most")] if extremes else []
     dealt = marked.groupBy(*keys, F.col("_l.place").alias("_place")).agg(
-        F.sum(F.when(F.col("_i") == 0, F.col("_fast"))).alias("_fast"), F.sum(F.col("_l.limb").cast("decimal(18,0)")).alias("_limb"), F.max("_scale").alias("_scale"), F.count_if(F.col("_i") == 0).alias("_n"), F.min(some).alias("_least"), F.max(some).alias("_most"))
-    grouped = dealt.groupBy(*keys).agg(F.sum("_fast").alias("_fast"), F.max("_scale").alias("_scale"), F.collect_list(F.when(F.col("_place").isNotNull(), F.struct("_place", "_limb"))).alias("_limbs"), F.sum("_n").alias("n_records"), F.min("_least").alias("_least"), F.max("_most").alias("_most"))
+        F.sum(F.when(F.col("_l.first"), F.col("_fast"))).alias("_fast"), F.sum(F.col("_l.limb").cast("decimal(18,0)")).alias("_limb"), F.max("_scale").alias("_scale"), F.count_if("_l.first").alias("_n"), *more)
+    more = [F.min("_least").alias("_least"), F.max("_most").alias("_most")] if extremes else []
+    grouped = dealt.groupBy(*keys).agg(F.sum("_fast").alias("_fast"), F.max("_scale").alias("_scale"), F.collect_list(F.when(F.col("_place").isNotNull(), F.struct("_place", "_limb"))).alias("_limbs"), F.sum("_n").alias("n_records"), *more)
     narrow_text = F.col("_fast").cast("string")
     plain = F.when(F.col("_scale") == 0, F.substring_index(narrow_text, ".", 1)).otherwise(F.substring(narrow_text, F.lit(1), F.length(narrow_text) - 10 + F.col("_scale")))
     plain = F.when(F.col("_fast") == 0, "0").otherwise(plain)
-    total = F.when(F.size("_limbs") == 0, plain).otherwise(_summed(F.col("_limbs"), narrow_text, F.col("_scale")))
-    return grouped.select(*keys, total.alias("sum_value"), "n_records", F.col("_least._text").alias("min_value"), F.col("_most._text").alias("max_value"))
+    total = F.when(F.size("_limbs") == 0, plain).otherwise(F.expr(_summed()))
+    return grouped.select(*keys, total.alias("sum_value"), "n_records", *([F.col("_least.text").alias("min_value"), F.col("_most.text").alias("max_value")] if extremes else []))
 
 
 def exact_sums(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys and ``total``: the exact sum of each group."""
-    return exact_aggregates(rows, keys, value).select(*keys, F.col("sum_value").alias("total"))
+    return exact_aggregates(rows, keys, value, extremes=False).select(*keys, F.col("sum_value").alias("total"))
 
 
-def _summed(places: Column, fast: Column, scale: Column) -> Column:
-    """The text of sums of limbs by place and the narrow sum (null: none)."""
-    base, zero = F.lit(_BASE).cast("decimal(10,0)"), F.lit(0).cast("decimal(38,0)")
+def _summed() -> str:
+    """The text of a group's sums of limbs by place (_limbs) and its narrow sum (_fast, null: none)."""
+    zero = "CAST(0 AS DECIMAL(38,0))"
 
-    def settled(v: Column) -> Column:
+    def settled(v: str) -> str:
         # sums of limbs may have more digits than a long: one pass in DECIMAL brings them to limbs
-        sums = F.transform(F.sequence(v["high"], v["low"], F.lit(-1)), lambda p: F.coalesce(F.try_element_at(v["at"], p), zero))
-
-        def step(s: Column, x: Column) -> Column:
-            digit = F.pmod((x + s["carry"]).cast("decimal(38,0)"), base).cast("long")
-            return F.struct((((x + s["carry"]).cast("decimal(38,0)") - digit.cast("decimal(10,0)")) / base).cast("decimal(38,0)").alias("carry"), F.concat(F.array(digit), s["done"]).alias("done"))
-
-        front = lambda s: F.concat(F.array(F.element_at(s["done"], 1) + s["carry"].cast("long") * F.lit(_BASE).cast("long")), F.slice(s["done"], 2, 10_000))
-        return F.aggregate(F.reverse(sums), F.struct(zero.alias("carry"), F.array().cast("array<bigint>").alias("done")), step, front)
-
-    def total(v: Column) -> Column:
-        own = let(_limbs(v["fast"]["whole"], v["fast"]["behind"], v["high"] + 1, -v["low"]), lambda x: F.when(v["fast"]["negative"], F.transform(x, lambda y: -y)).otherwise(x))
-        return limbs_text(carried(F.zip_with(settled(v), own, lambda a, b: a + b)), -v["low"], scale)
-
-    at = F.map_from_entries(F.transform(places, lambda x: F.struct(x["_place"], x["_limb"].cast("decimal(38,0)"))))
-    held = F.struct(F.least(F.array_min(F.transform(places, lambda x: x["_place"])), F.lit(-2)).alias("low"), F.greatest(F.array_max(F.transform(places, lambda x: x["_place"])) + 2, F.lit(4)).alias("high"), at.alias("at"), _digits(F.coalesce(fast, F.lit("0"))).alias("fast"))
-    return let(held, total)
+        sums = f"transform(sequence({v}.high, {v}.low, -1), p -> coalesce(try_element_at({v}.at, p), {zero}))"
+        digit = f"CAST(pmod(CAST(x + s.carry AS DECIMAL(38,0)), CAST({_BASE} AS DECIMAL(10,0))) AS BIGINT)"
+        step = f"named_struct('carry', CAST((CAST(x + s.carry AS DECIMAL(38,0)) - CAST({digit} AS DECIMAL(10,0))) / CAST({_BASE} AS DECIMAL(10,0)) AS DECIMAL(38,0)), 'done', concat(array({digit}), s.done))"
+        front = f"concat(array(s.done[0] + CAST(s.carry AS BIGINT) * {_BASE}L), slice(s.done, 2, 10000))"
+        return f"aggregate(reverse({sums}), named_struct('carry', {zero}, 'done', CAST(array() AS ARRAY<BIGINT>)), (s, x) -> {step}, s -> {front})"
+
+    def total(v: str) -> str:
+        own = _let(_limbs(f"{v}.fast.whole", f"{v}.fast.behind", f"({v}.high + 1)", f"(-{v}.low)"), lambda x: f"CASE WHEN {v}.fast.negative THEN transform({x}, y -> -y) ELSE {x} END")
+        return _limbs_text(_carried(f"zip_with({settled(v)}, {own}, (a, b) -> a + b)"), f"(-{v}.low)", "_scale")
+
+    at = "map_from_entries(transform(_limbs, x -> named_struct('place', x._place, 'limb', CAST(x._limb AS DECIMAL(38,0)))))"
+    place = "transform(_limbs, x -> x._place)"
+    return _let(f"named_struct('low', least(array_min({place}), -2), 'high', greatest(array_max({place}) + 2, 4), 'at', {at}, 'fast', {_digits("coalesce(CAST(_fast AS STRING), '0')")})", total)

@@ -114,57 +114,59 @@ def compared(c: Component, rule: Rule, left: Column, right: Column, aggregate: C
     fast = numbers[0].isNotNull() & numbers[2].isNotNull()
     if rule.partial == "AGGREGATED_RIGHT_NOT_ABOVE_LEFT":
         fast = fast & (numbers[4].isNotNull() | texts[2].isNull())
-    exact = D.is_decimal(texts[0]) & D.is_decimal(texts[1])
-    narrow = _decimal_case(c, rule, out, *_narrow_terms(c, numbers, scales, texts))
+    if None in scales:
+        digits = F.greatest(numbers[1], numbers[3])
+        shown = scaled_text(F.abs(numbers[2].cast("decimal(38,18)") - numbers[0].cast("decimal(38,18)")).cast("decimal(38,18)"), digits)
+    else:
+        shown = F.abs(numbers[2] - numbers[0]).cast("string")
+    told = lambda decision, text: F.struct(decision["status"].alias("status"), decision["reason"].alias("reason"), text.alias("difference"))
+    narrow = told(_decision(c, rule, *_narrow_terms(c, numbers, scales, texts)), shown)
     if None not in scales and numbers[4] is None:
         return case.otherwise(narrow)
-    return case.when(fast, narrow).when(exact, _decimal_case(c, rule, out, *_wide_terms(c, texts))).otherwise(out(review, "DECIMAL_NOT_CANONICAL"))
+    exact = D.is_decimal(texts[0]) & D.is_decimal(texts[1])
+    wide = D.let(F.struct(D.order_key(texts[0]).alias("l"), D.order_key(texts[1]).alias("r"), *([] if texts[2] is None else [D.order_key(texts[2]).alias("total")])), lambda k: _decision(c, rule, *_wide_terms(c, texts, k)))
+    return case.when(fast, narrow).when(exact, told(wide, D.magnitude(D.difference(texts[0], texts[1])))).otherwise(out(review, "DECIMAL_NOT_CANONICAL"))
 
 
 def _narrow_terms(c: Component, numbers: tuple, scales: tuple, texts: list) -> tuple:
-    """What a decision needs of decimals that fit a type: difference, equal, near, not negative, right < left, left < right, the total and whether it is at most left."""
-    l, l_digits, r, r_digits, total, _ = numbers
-    if None in scales:
-        shown = scaled_text(F.abs(r.cast("decimal(38,18)") - l.cast("decimal(38,18)")).cast("decimal(38,18)"), F.greatest(l_digits, r_digits))
-    else:
-        shown = F.abs(r - l).cast("string")
+    """What a decision needs of decimals that fit a type: equal, near, not negative, right < left, left < right, the total and whether it is at most left."""
+    l, _, r, _, total, _ = numbers
     near = None
     if c.tolerance is not None and c.comparator == "DECIMAL_ABSOLUTE":
-        fits = F.lit(str(c.tolerance)).try_cast("decimal(38,18)")
-        near = F.coalesce(F.abs(r - l) <= fits, D.within(texts[0], texts[1], str(c.tolerance)))
+        near = F.coalesce(F.abs(r - l) <= F.lit(str(c.tolerance)).try_cast("decimal(38,18)"), D.within(texts[0], texts[1], str(c.tolerance)))
     elif c.tolerance is not None:
         read = [x if t is not None and t <= 8 else x.try_cast("decimal(24,8)") for x, t in zip((l, r), scales, strict=True)]
-        fits = (read[0] == l) & (read[1] == r)
-        if len(str(c.tolerance).partition(".")[2]) > 6 or len(str(c.tolerance).partition(".")[0]) > 3:
-            fits = F.lit(False)
+        whole, _, behind = str(c.tolerance).partition(".")
+        fits = (read[0] == l) & (read[1] == r) if len(whole) <= 3 and len(behind) <= 6 else F.lit(False)
         near = F.when(fits, F.abs(read[1] - read[0]) <= F.lit(str(c.tolerance)).try_cast("decimal(9,6)") * F.greatest(F.abs(read[0]), F.abs(read[1]))).otherwise(D.within(texts[0], texts[1], str(c.tolerance), True))
-    return shown, l == r, near, (l >= 0) & (r >= 0), r < l, l < r, total, None if total is None else total <= l
+    return l == r, near, (l >= 0) & (r >= 0), r < l, l < r, total, None if total is None else total <= l
 
 
-def _wide_terms(c: Component, texts: list) -> tuple:
-    """The same from texts of any width."""
-    l, r, total = texts
-    lk, rk = D.order_key(l), D.order_key(r)
-    near = None if c.tolerance is None else D.within(l, r, str(c.tolerance), c.comparator == "DECIMAL_RELATIVE")
-    return D.magnitude(D.difference(l, r)), lk == rk, near, (lk >= "1") & (rk >= "1"), rk < lk, lk < rk, None if total is None else D.order_key(total), None if total is None else D.order_key(total) <= lk
+def _wide_terms(c: Component, texts: list, keys: Column) -> tuple:
+    """The same from texts of any width and their sorting keys."""
+    l, r = keys["l"], keys["r"]
+    near = None if c.tolerance is None else D.within(texts[0], texts[1], str(c.tolerance), c.comparator == "DECIMAL_RELATIVE")
+    total = None if texts[2] is None else keys["total"]
+    return l == r, near, (l >= "1") & (r >= "1"), r < l, l < r, total, None if total is None else total <= l
 
 
-def _decimal_case(c: Component, rule: Rule, out: Callable, shown: Column, equal: Column, near: Column | None, positive: Column, right_less: Column, left_less: Column, total: Column | None, fits: Column | None) -> Column:
-    """The decision on two decimals; the first case that holds decides."""
+def _decision(c: Component, rule: Rule, equal: Column, near: Column | None, positive: Column, right_less: Column, left_less: Column, total: Column | None, fits: Column | None) -> Column:
+    """struct(status, reason) of two decimals; the first case that holds decides."""
     review = "HUMAN_REVIEW_REQUIRED"
-    case = F.when(equal, out("EXACT_MATCH", "DECIMAL_EQUAL", shown))
+    out = lambda status, reason: F.struct(F.lit(status).alias("status"), F.lit(reason).alias("reason"))
+    case = F.when(equal, out("EXACT_MATCH", "DECIMAL_EQUAL"))
     if near is not None:
-        case = case.when(near, out("WITHIN_TOLERANCE", "DECIMAL_WITHIN_TOLERANCE", shown) if c.tolerance_approved else out(review, "TOLERANCE_NOT_APPROVED", shown))
+        case = case.when(near, out("WITHIN_TOLERANCE", "DECIMAL_WITHIN_TOLERANCE") if c.tolerance_approved else out(review, "TOLERANCE_NOT_APPROVED"))
     if rule.partial:
         if rule.partial == "AGGREGATED_RIGHT_NOT_ABOVE_LEFT":
-            case = case.when(total.isNull(), out(review, "AGGREGATE_MISSING", shown))
+            case = case.when(total.isNull(), out(review, "AGGREGATE_MISSING"))
             fits = positive & fits
         else:
             fits = positive & (right_less if rule.partial == "RIGHT_LESS_THAN_LEFT" else left_less)
-        case = case.when(fits, out("PARTIAL_MATCH", rule.partial, shown) if rule.partial_approved else out(review, "PARTIAL_POLICY_NOT_APPROVED", shown))
+        case = case.when(fits, out("PARTIAL_MATCH", rule.partial) if rule.partial_approved else out(review, "PARTIAL_POLICY_NOT_APPROVED"))
     if rule.partial_review:
-        return case.otherwise(out(review, "PARTIAL_POLICY_REQUIRES_HUMAN_REVIEW", shown))
-    return case.otherwise(out("CONFLICTING_MATCH", "DECIMAL_DIFFERENCE", shown))
+        return case.otherwise(out(review, "PARTIAL_POLICY_REQUIRES_HUMAN_REVIEW"))
+    return case.otherwise(out("CONFLICTING_MATCH", "DECIMAL_DIFFERENCE"))
 
 
 def folded(statuses: list[Column]) -> Column:
@@ -300,10 +302,10 @@ def allocations(links: DataFrame) -> DataFrame:
     The totals are joined back, so that the rows of a hot record can be split."""
     parts = links.select("rule", "left_id", "right_id", F.explode("comparisons").alias("c")).where("c.status = 'PARTIAL_MATCH' AND NOT startswith(c.reason, 'AGGREGATED')")
     l, r = F.col("c.left_value"), F.col("c.right_value")
-    keyed = parts.select("rule", "left_id", "right_id", "c", (D.order_key(r) < D.order_key(l)).alias("less"))
+    keyed = parts.select("rule", "left_id", "right_id", "c", F.coalesce(decimal_or_null(r) < decimal_or_null(l), D.order_key(r) < D.order_key(l)).alias("less"))
     rows = keyed.select("rule", "left_id", "right_id", "c.component", F.when(F.col("less"), r).otherwise(l).alias("allocated"), F.when(F.col("less"), l).otherwise(r).alias("capacity"), F.when(F.col("less"), F.col("left_id")).otherwise(F.col("right_id")).alias("holder"))
     group = ["rule", "component", "holder"]
-    made = rows.join(D.exact_sums(rows, group, "allocated"), group).withColumn("over", D.order_key(F.col("total")) > D.order_key(F.col("capacity")))
+    made = rows.join(D.exact_sums(rows, group, "allocated"), group).withColumn("over", F.coalesce(decimal_or_null(F.col("total")) > decimal_or_null(F.col("capacity")), D.order_key(F.col("total")) > D.order_key(F.col("capacity"))))
     return made.select(*group, "left_id", "right_id", "allocated", "capacity", "total", F.when(F.col("over"), "HUMAN_REVIEW_REQUIRED").otherwise("PARTIAL_MATCH").alias("status"), F.when(F.col("over"), "PARTIAL_OVER_ALLOCATION").alias("reason"))
 
 
@@ -402,8 +404,9 @@ def last_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 def discrepancies(pairs: DataFrame, *rules: Rule) -> DataFrame:
     """A row for each conflicting component; a pair is evaluated once for a rule, so ids don't repeat."""
-    kinds = F.create_map(*[x for r in rules for c in r.components for x in (F.lit(f"{r.name}\n{c.name}"), discrepancy_type_of(F.lit(c.left), F.lit(c.right), F.lit(c.comparator)))])
-    rows = pairs.select("rule", "left_id", "right_id", F.explode("comparisons").alias("c")).where("c.status = 'CONFLICTING_MATCH'").withColumn("type", kinds[F.concat_ws("\n", "rule", "c.component")])
+    known = F.create_map(*[F.lit(x) for r in rules for c in r.components for x in (f"{r.name}\n{c.name}", f"{c.left}\n{c.right}\n{c.comparator}")])
+    rows = pairs.select("rule", "left_id", "right_id", F.explode("comparisons").alias("c")).where("c.status = 'CONFLICTING_MATCH'").withColumn("_of", F.split(known[F.concat_ws("\n", "rule", "c.component")], "\n"))
+    rows = rows.withColumn("type", discrepancy_type_of(F.col("_of")[0], F.col("_of")[1], F.col("_of")[2]))
     return rows.select(stable_id("disc", F.col("rule"), F.col("left_id"), F.col("right_id"), F.col("c.component")).alias("discrepancy_id"), "rule", "left_id", "right_id", "c.component", "type",
                        F.when(F.col("type") == "BANK_ACCOUNT_MISMATCH", "HIGH").otherwise("MEDIUM").alias("severity"), "c.difference")
 
