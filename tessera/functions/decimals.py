@@ -129,6 +129,32 @@ def _scaled(x: str, factor: str) -> str:
     return _let(_digits(x), of)
 
 
+def _settled(sums: str) -> str:
+    """Sums of limbs or of their products (an array of DECIMAL(38,0), which may have more digits than a long) as limbs; what is left goes to the first one."""
+    zero = "CAST(0 AS DECIMAL(38,0))"
+    digit = f"CAST(pmod(CAST(x + s.carry AS DECIMAL(38,0)), CAST({_BASE} AS DECIMAL(10,0))) AS BIGINT)"
+    step = f"named_struct('carry', CAST((CAST(x + s.carry AS DECIMAL(38,0)) - CAST({digit} AS DECIMAL(10,0))) / CAST({_BASE} AS DECIMAL(10,0)) AS DECIMAL(38,0)), 'done', concat(array({digit}), s.done))"
+    front = f"concat(array(s.done[0] + CAST(s.carry AS BIGINT) * {_BASE}L), slice(s.done, 2, 10000))"
+    return f"aggregate(reverse({sums}), named_struct('carry', {zero}, 'done', CAST(array() AS ARRAY<BIGINT>)), (s, x) -> {step}, s -> {front})"
+
+
+def _product(l: str, r: str) -> str:
+    def of(v: str) -> str:
+        before, after = (lambda d: _count(f"length({d}.whole)")), (lambda d: _count(f"length({d}.behind)"))
+        limbs = lambda d: _limbs(f"{d}.whole", f"{d}.behind", before(d), after(d))
+
+        def times(n: str) -> str:
+            # limb k of the product: all products of limbs whose places add up to it
+            own = f"aggregate(sequence(greatest(0, k - size({n}.r) + 1), least(k, size({n}.l) - 1)), CAST(0 AS DECIMAL(38,0)), (s, i) -> CAST(s + CAST({n}.l[i] * {n}.r[k - i] AS DECIMAL(20,0)) AS DECIMAL(38,0)))"
+            sums = f"concat(array(CAST(0 AS DECIMAL(38,0))), transform(sequence(0, size({n}.l) + size({n}.r) - 2), k -> {own}))"
+            signed = lambda x: f"CASE WHEN {v}.l.negative != {v}.r.negative THEN transform({x}, y -> -y) ELSE {x} END"
+            return _limbs_text(_carried(_let(_settled(sums), signed)), f"({after(f'{v}.l')} + {after(f'{v}.r')})", f"(length({v}.l.behind) + length({v}.r.behind))")
+
+        return _let(f"named_struct('l', {limbs(f'{v}.l')}, 'r', {limbs(f'{v}.r')})", times)
+
+    return _let(f"named_struct('l', {_digits(l)}, 'r', {_digits(r)})", of)
+
+
 def _magnitude(x: str) -> str:
     return f"regexp_replace({x}, '^[+-]', '')"
 
@@ -159,6 +185,11 @@ def difference(l: Column, r: Column) -> Column:
     return applied(_difference, l=l, r=r)
 
 
+def product(l: Column, r: Column) -> Column:
+    """The exact text of l times r, with the digits behind the point of both."""
+    return applied(_product, l=l, r=r)
+
+
 def scaled(c: Column, factor: str) -> Column:
     """The exact text of a decimal's magnitude times a factor that is a decimal text known when the plan is made."""
     return applied(lambda x: _scaled(x, factor), c=c)
@@ -212,15 +243,8 @@ def exact_sums(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def _summed() -> str:
     """The text of a group's sums of limbs by place (_limbs) and its narrow sum (_fast, null: none)."""
-    zero = "CAST(0 AS DECIMAL(38,0))"
-
     def settled(v: str) -> str:
-        # sums of limbs may have more digits than a long: one pass in DECIMAL brings them to limbs
-        sums = f"transform(sequence({v}.high, {v}.low, -1), p -> coalesce(try_element_at({v}.at, p), {zero}))"
-        digit = f"CAST(pmod(CAST(x + s.carry AS DECIMAL(38,0)), CAST({_BASE} AS DECIMAL(10,0))) AS BIGINT)"
-        step = f"named_struct('carry', CAST((CAST(x + s.carry AS DECIMAL(38,0)) - CAST({digit} AS DECIMAL(10,0))) / CAST({_BASE} AS DECIMAL(10,0)) AS DECIMAL(38,0)), 'done', concat(array({digit}), s.done))"
-        front = f"concat(array(s.done[0] + CAST(s.carry AS BIGINT) * {_BASE}L), slice(s.done, 2, 10000))"
-        return f"aggregate(reverse({sums}), named_struct('carry', {zero}, 'done', CAST(array() AS ARRAY<BIGINT>)), (s, x) -> {step}, s -> {front})"
+        return _settled(f"transform(sequence({v}.high, {v}.low, -1), p -> coalesce(try_element_at({v}.at, p), CAST(0 AS DECIMAL(38,0))))")
 
     def total(v: str) -> str:
         own = _let(_limbs(f"{v}.fast.whole", f"{v}.fast.behind", f"({v}.high + 1)", f"(-{v}.low)"), lambda x: f"CASE WHEN {v}.fast.negative THEN transform({x}, y -> -y) ELSE {x} END")

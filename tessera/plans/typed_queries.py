@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fields as X
 from ..operators import profiles as P
 from ..operators import reconcile as R
+from ..operators import type_rules as T
 from ..operators import workflow as W
 from .queries import _INV, _PO, invoices, orders, table
 
@@ -161,3 +162,41 @@ def type_inference(spark, sf):
 @query(f"SELECT p_partkey, regexp_matches(lower({_name('p_partkey', 7)}), '(id|number|account|reference|code|sha256|checksum)$') AS as_text FROM part")
 def identifier_columns(spark, sf):
     return table(spark, sf, "part").select("p_partkey", X.identifier_column(F.expr(_name("p_partkey", 7).replace("//", "div"))).alias("as_text"))
+
+
+# -- rules of document types -------------------------------------------------------------------------------------------
+
+RULES = T.load_rules()
+_INVOICE = """concat('{"invoice_number":', CASE WHEN o_orderkey % 7 = 0 THEN CAST(o_orderkey AS STRING) ELSE concat('"', o_orderkey, '"') END, ',"invoice_date":"', CASE WHEN o_orderkey % 5 = 0 THEN '03/04/2024' ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) END, '","seller_name":"s"', CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE ',"buyer_name":"b"' END,
+ ',"currency":"USD","subtotal":"', CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING), '","tax_amount":"1.50","discount_amount":"0.50","total_amount":"', CAST(CAST(o_totalprice AS DECIMAL(18,2)) + CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END AS STRING), '"}')"""
+_ORDER = """concat('{"po_number":"', o_orderkey, '","po_date":"', CAST(CAST(o_orderdate AS DATE) AS STRING), '","buyer_name":"b","vendor_name":"v","currency":"USD","total_po_amount":"', CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING), '"}')"""
+_STATEMENT = """concat('{"statement_reference":"', c_custkey, '","account_number":"0', c_custkey, '","account_holder_name":"h","statement_currency":"USD","statement_start_date":"2024-01-', CASE WHEN c_custkey % 4 = 0 THEN '31' ELSE '01' END, '","statement_end_date":"2024-01-30"', CASE WHEN c_custkey % 6 = 1 THEN ',"statement_generated_date":"2024-1-31"' ELSE '' END,
+ ',"opening_balance":"', CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS STRING), '","total_credits":"10.25","total_debits":"0.25","closing_balance":"', CAST(CAST(c_acctbal AS DECIMAL(18,2)) + CASE WHEN c_custkey % 9 = 0 THEN 9.99 ELSE 10 END AS STRING), '"}')"""
+
+
+def _typed_fields(text):
+    return F.try_variant_get(X.strict_json(text), "$", "map<string,variant>").alias("fields")
+
+
+def _purchase_lines(spark, sf):
+    rows = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    money = lambda c, k: F.col(c).cast(k).cast("string")
+    text = F.to_json(F.struct(money("l_quantity", "decimal(10,2)").alias("ordered_quantity"), money("p_retailprice", "decimal(12,2)").alias("unit_price"), money("l_extendedprice", "decimal(18,2)").alias("line_value")))
+    return rows.select(F.concat(F.lit("PO-"), "l_orderkey").alias("document_id"), F.lit("PURCHASE_ORDER").alias("document_type"), "l_linenumber", _typed_fields(text))
+
+
+@query("""SELECT 'I-' || o_orderkey AS document_id, t.* FROM orders, LATERAL (VALUES ('invoice.required-status', 'CRITICAL', 'FAIL', CASE WHEN o_orderkey % 11 = 0 THEN 'MISSING:buyer_name' END), ('invoice.identifier-text', 'HIGH', 'FAIL', CASE WHEN o_orderkey % 7 = 0 THEN 'NOT_TEXT:invoice_number' END),
+ ('invoice.date-ambiguity', 'HIGH', 'REVIEW', CASE WHEN o_orderkey % 5 = 0 THEN 'AMBIGUOUS_DATE:invoice_date' END), ('invoice.grand-total', 'CRITICAL', 'FAIL', CASE WHEN o_orderkey % 3 = 0 THEN 'DIFFERENCE:-1.00' END)) t(rule_id, severity, outcome, reason) WHERE reason IS NOT NULL
+ UNION ALL SELECT 'PO-' || o_orderkey, 'po.grand-total', 'CRITICAL', 'FAIL', 'DIFFERENCE:' || CAST(t - s AS VARCHAR) FROM (SELECT o_orderkey, CAST(any_value(o_totalprice) AS DECIMAL(18,2)) AS t, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS s FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1) WHERE t <> s
+ UNION ALL SELECT 'S-' || c_custkey, t.* FROM customer, LATERAL (VALUES ('bank-statement.period-order', 'CRITICAL', CASE WHEN c_custkey % 6 = 1 THEN 'REVIEW' ELSE 'FAIL' END, CASE WHEN c_custkey % 6 = 1 THEN 'DATE_NOT_CANONICAL:statement_generated_date' WHEN c_custkey % 4 = 0 THEN 'DATES_OUT_OF_ORDER' END),
+ ('bank-statement.balance', 'CRITICAL', 'FAIL', CASE WHEN c_custkey % 9 = 0 THEN 'DIFFERENCE:-0.01' END)) t(rule_id, severity, outcome, reason) WHERE reason IS NOT NULL""")
+def type_rule_failures(spark, sf):
+    make = lambda name, key, mark, kind, text: table(spark, sf, name).select(F.concat(F.lit(mark), key).alias("document_id"), F.lit(kind).alias("document_type"), _typed_fields(F.expr(text)))
+    docs = make("orders", "o_orderkey", "I-", "INVOICE", _INVOICE).unionByName(make("orders", "o_orderkey", "PO-", "PURCHASE_ORDER", _ORDER)).unionByName(make("customer", "c_custkey", "S-", "BANK_STATEMENT", _STATEMENT))
+    ready = T.with_line_sums(docs, _purchase_lines(spark, sf), [r for r in RULES if r.document_type == "PURCHASE_ORDER"])
+    return T.failing(T.rule_outcomes(ready, RULES)).select("document_id", "rule_id", "severity", "outcome", "reason")
+
+
+@query("SELECT 'PO-' || l_orderkey AS document_id, 'DIFFERENCE:' || CAST(CAST(l_extendedprice AS DECIMAL(18,2)) - CAST(CAST(l_quantity AS DECIMAL(10,2)) * CAST(p_retailprice AS DECIMAL(12,2)) AS DECIMAL(24,4)) AS VARCHAR) AS reason FROM lineitem JOIN part ON l_partkey = p_partkey WHERE CAST(l_extendedprice AS DECIMAL(18,2)) <> CAST(l_quantity AS DECIMAL(10,2)) * CAST(p_retailprice AS DECIMAL(12,2))")
+def line_rule_failures(spark, sf):
+    return T.failing(T.rule_outcomes(_purchase_lines(spark, sf), RULES, "line")).select("document_id", "reason")
