@@ -129,6 +129,24 @@ def _scaled(x: str, factor: str) -> str:
     return _let(_digits(x), of)
 
 
+def _added(*texts: str) -> str:
+    """The sum of texts; each may be taken from the sum by a minus in front of its name."""
+    part = lambda x: f"named_struct('minus', {'true' if x.startswith('-') else 'false'}, 'd', {_digits(x.lstrip('-'))})"
+
+    def of(v: str) -> str:
+        most = lambda side: f"array_max(transform({v}, p -> length(p.d.{side})))"
+        size = f"named_struct('before', {_count(most('whole'))}, 'scale', {most('behind')})"
+
+        def made(n: str) -> str:
+            after = _count(f"{n}.scale")
+            signed = _let(_limbs("p.d.whole", "p.d.behind", f"{n}.before", after), lambda y: f"CASE WHEN p.d.negative != p.minus THEN transform({y}, z -> -z) ELSE {y} END")
+            return _limbs_text(_carried(f"aggregate(transform({v}, p -> {signed}), transform(sequence(1, {n}.before + {after}), i -> 0L), (s, x) -> zip_with(s, x, (a, b) -> a + b))"), after, f"{n}.scale")
+
+        return _let(size, made)
+
+    return _let(f"array({', '.join(map(part, texts))})", of)
+
+
 def _settled(sums: str) -> str:
     """Sums of limbs or of their products (an array of DECIMAL(38,0), which may have more digits than a long) as limbs; what is left goes to the first one."""
     zero = "CAST(0 AS DECIMAL(38,0))"
@@ -185,6 +203,11 @@ def difference(l: Column, r: Column) -> Column:
     return applied(_difference, l=l, r=r)
 
 
+def added(parts: list[tuple[bool, Column]]) -> Column:
+    """The exact text of a sum of few decimals, each with whether it is subtracted."""
+    return applied(lambda *names: _added(*[("-" if minus else "") + n for (minus, _), n in zip(parts, names, strict=True)]), **{f"c{i}": c for i, (_, c) in enumerate(parts)})
+
+
 def product(l: Column, r: Column) -> Column:
     """The exact text of l times r, with the digits behind the point of both."""
     return applied(_product, l=l, r=r)

@@ -94,14 +94,31 @@ def load_rules(text: str = BUNDLED) -> list[TypeRule]:
     return rules
 
 
-def _field(name: str) -> Column:
-    """The variant of a field; a JSON null is missing."""
-    v = F.try_element_at("fields", F.lit(name.lstrip("-")))
-    return F.when(kind_of(v) != "VOID", v)
+def _known(name: str) -> str:
+    return re.sub(r"\W", "_", name.lstrip("-"))
+
+
+def _kind(name: str) -> Column:
+    """The kind of a field's value; null where it is missing or a JSON null."""
+    return F.col(f"_f.{_known(name)}.kind")
+
+
+def _any(name: str) -> Column:
+    """A field's value as a text, whatever its kind."""
+    return F.col(f"_f.{_known(name)}.text")
 
 
 def _text(name: str) -> Column:
-    return F.when(kind_of(_field(name)) == "STRING", text_of(_field(name)))
+    return F.when(_kind(name) == "STRING", _any(name))
+
+
+def _read(fields: str, names: list[str]) -> Column:
+    """struct(kind, text) of each field, read once for each record."""
+    def one(n: str) -> Column:
+        v = F.try_element_at(fields, F.lit(n.lstrip("-")))
+        return F.when(kind_of(v) != "VOID", F.struct(kind_of(v).alias("kind"), text_of(v).alias("text"))).alias(_known(n))
+
+    return F.struct(*[one(n) for n in sorted({n.lstrip("-") for n in names})])
 
 
 def _said(outcome: str, reason: str | Column | None = None) -> Column:
@@ -118,26 +135,26 @@ def _wrong(names: Column, failing: str, code: str) -> Column:
 
 
 def _required(r: TypeRule) -> Column:
-    return _wrong(_listed(r.fields, lambda n: _field(n).isNull() | (F.trim(text_of(_field(n))) == "")), "FAIL", "MISSING").otherwise(_said("PASS"))
+    return _wrong(_listed(r.fields, lambda n: _kind(n).isNull() | (F.trim(_any(n)) == "")), "FAIL", "MISSING").otherwise(_said("PASS"))
 
 
 def _identifiers(r: TypeRule) -> Column:
-    none = F.greatest(*[_field(n).isNotNull().cast("int") for n in r.fields], F.lit(0)) == 0
-    return _wrong(_listed(r.fields, lambda n: ~kind_of(_field(n)).isin("STRING", "ARRAY")), "FAIL", "NOT_TEXT").when(none, _said("NOT_APPLICABLE")).otherwise(_said("PASS"))
+    none = F.greatest(*[_kind(n).isNotNull().cast("int") for n in r.fields], F.lit(0)) == 0
+    return _wrong(_listed(r.fields, lambda n: ~_kind(n).isin("STRING", "ARRAY")), "FAIL", "NOT_TEXT").when(none, _said("NOT_APPLICABLE")).otherwise(_said("PASS"))
 
 
 def _format(r: TypeRule) -> Column:
-    none = F.greatest(*[_field(n).isNotNull().cast("int") for n in r.fields], F.lit(0)) == 0
-    return _wrong(_listed(r.fields, lambda n: _field(n).isNotNull() & ~F.coalesce(F.rlike(_text(n), F.lit(f"^(?:{r.pattern})$")), F.lit(False))), "FAIL", "FORMAT").when(none, _said("NOT_APPLICABLE")).otherwise(_said("PASS"))
+    none = F.greatest(*[_kind(n).isNotNull().cast("int") for n in r.fields], F.lit(0)) == 0
+    return _wrong(_listed(r.fields, lambda n: _kind(n).isNotNull() & ~F.coalesce(F.rlike(_text(n), F.lit(f"^(?:{r.pattern})$")), F.lit(False))), "FAIL", "FORMAT").when(none, _said("NOT_APPLICABLE")).otherwise(_said("PASS"))
 
 
 def _ambiguous(r: TypeRule) -> Column:
-    none = F.greatest(*[_field(n).isNotNull().cast("int") for n in r.fields], F.lit(0)) == 0
-    return _wrong(_listed(r.fields, lambda n: _field(n).isNotNull() & date_or_null(iso_date_or_same(_text(n))).isNull()), "REVIEW", "AMBIGUOUS_DATE").when(none, _said("NOT_APPLICABLE")).otherwise(_said("PASS"))
+    none = F.greatest(*[_kind(n).isNotNull().cast("int") for n in r.fields], F.lit(0)) == 0
+    return _wrong(_listed(r.fields, lambda n: _kind(n).isNotNull() & date_or_null(iso_date_or_same(_text(n))).isNull()), "REVIEW", "AMBIGUOUS_DATE").when(none, _said("NOT_APPLICABLE")).otherwise(_said("PASS"))
 
 
 def _order(r: TypeRule) -> Column:
-    unclear = _listed(r.fields, lambda n: _field(n).isNotNull() & date_or_null(_text(n)).isNull())
+    unclear = _listed(r.fields, lambda n: _kind(n).isNotNull() & date_or_null(_text(n)).isNull())
     days = F.array_compact(F.array(*[date_or_null(_text(n)) for n in r.fields]))
     return _wrong(unclear, "REVIEW", "DATE_NOT_CANONICAL").otherwise(D.let(days, lambda d: F.when(F.size(d) < 2, _said("NOT_APPLICABLE")).when(d == F.array_sort(d), _said("PASS")).otherwise(_said("FAIL", "DATES_OUT_OF_ORDER"))))
 
@@ -149,26 +166,23 @@ def _compared(parts: Column, total: Column, r: TypeRule) -> Column:
 
 def _sum(r: TypeRule) -> Column:
     *parts, total = r.fields
-    unclear = _listed(r.fields, lambda n: _field(n).isNotNull() & ~D.is_decimal(_text(n)))
-    none = _field(total).isNull() | (F.greatest(*[_field(n).isNotNull().cast("int") for n in parts], F.lit(0)) == 0)
-    added = None  # missing parts are left out, never invented
-    for n in parts:
-        own = F.coalesce(_text(n), F.lit("0"))
-        # l + r is r less the negative of l
-        added = (own if not n.startswith("-") else D.difference(own, F.lit("0"))) if added is None else D.difference(own, added) if n.startswith("-") else D.difference(D.difference(added, F.lit("0")), own)
+    unclear = _listed(r.fields, lambda n: _kind(n).isNotNull() & ~D.is_decimal(_text(n)))
+    none = _kind(total).isNull() | (F.greatest(*[_kind(n).isNotNull().cast("int") for n in parts], F.lit(0)) == 0)
+    # missing parts are left out, never invented
+    added = D.added([(n.startswith("-"), F.coalesce(_text(n), F.lit("0"))) for n in parts])
     return _wrong(unclear, "REVIEW", "DECIMAL_NOT_CANONICAL").when(none, _said("NOT_APPLICABLE")).otherwise(_compared(added, _text(total), r))
 
 
 def _times(r: TypeRule) -> Column:
     a, b, total = r.fields
-    unclear = _listed(r.fields, lambda n: _field(n).isNotNull() & ~D.is_decimal(_text(n)))
-    none = F.greatest(*[_field(n).isNull().cast("int") for n in r.fields], F.lit(0)) == 1
+    unclear = _listed(r.fields, lambda n: _kind(n).isNotNull() & ~D.is_decimal(_text(n)))
+    none = F.greatest(*[_kind(n).isNull().cast("int") for n in r.fields], F.lit(0)) == 1
     return _wrong(unclear, "REVIEW", "DECIMAL_NOT_CANONICAL").when(none, _said("NOT_APPLICABLE")).otherwise(_compared(D.product(_text(a), _text(b)), _text(total), r))
 
 
 def _same(fold: Callable[[Column], Column], code: str) -> Callable[[TypeRule], Column]:
     def compiled(r: TypeRule) -> Column:
-        unclear = _listed(r.fields, lambda n: _field(n).isNotNull() & (kind_of(_field(n)) != "STRING"))
+        unclear = _listed(r.fields, lambda n: _kind(n).isNotNull() & (_kind(n) != "STRING"))
         values = F.array_distinct(F.array_compact(F.array(*[fold(_text(n)) for n in r.fields])))
         return _wrong(unclear, "REVIEW", "NOT_TEXT").otherwise(D.let(values, lambda v: F.when(F.size(v) == 0, _said("NOT_APPLICABLE")).when(F.size(v) == 1, _said("PASS")).otherwise(_said("FAIL", F.concat(F.lit(f"{code}:"), F.array_join(F.array_sort(v), ","))))))
 
@@ -176,13 +190,13 @@ def _same(fold: Callable[[Column], Column], code: str) -> Callable[[TypeRule], C
 
 
 def _words(r: TypeRule) -> Column:
-    both = _field(r.fields[0]).isNotNull() & _field(r.fields[1]).isNotNull()
+    both = _kind(r.fields[0]).isNotNull() & _kind(r.fields[1]).isNotNull()
     return F.when(both, _said("REVIEW", "WORDS_NEED_A_READER")).otherwise(_said("NOT_APPLICABLE"))
 
 
 def _signed(r: TypeRule) -> Column:
-    none = F.greatest(*[_field(n).isNotNull().cast("int") for n in r.fields], F.lit(0)) == 0
-    return _wrong(_listed(r.fields, lambda n: _field(n).isNotNull() & ~F.coalesce(_text(n).isin(*PRESENCE), F.lit(False))), "FAIL", "NO_PRESENCE_STATUS").when(none, _said("NOT_APPLICABLE")).otherwise(_said("PASS"))
+    none = F.greatest(*[_kind(n).isNotNull().cast("int") for n in r.fields], F.lit(0)) == 0
+    return _wrong(_listed(r.fields, lambda n: _kind(n).isNotNull() & ~F.coalesce(_text(n).isin(*PRESENCE), F.lit(False))), "FAIL", "NO_PRESENCE_STATUS").when(none, _said("NOT_APPLICABLE")).otherwise(_said("PASS"))
 
 
 #: Compiler and least number of fields of each kind.
@@ -197,7 +211,8 @@ def with_line_sums(documents: DataFrame, lines: DataFrame, rules: list[TypeRule]
     wanted = sorted({f.lstrip("-")[4:-1] for r in rules for f in r.fields if f.lstrip("-").startswith("sum(")})
     out = documents
     for name in wanted:
-        sums = D.exact_sums(lines.select("document_id", _text(name).alias("_v")).where("_v IS NOT NULL"), ["document_id"], "_v").select("document_id", F.create_map(F.lit(f"sum({name})"), F.parse_json(F.concat(F.lit('"'), "total", F.lit('"')))).alias("_more"))
+        v = F.try_element_at("fields", F.lit(name))
+        sums = D.exact_sums(lines.select("document_id", F.when(kind_of(v) == "STRING", text_of(v)).alias("_v")).where("_v IS NOT NULL"), ["document_id"], "_v").select("document_id", F.create_map(F.lit(f"sum({name})"), F.parse_json(F.concat(F.lit('"'), "total", F.lit('"')))).alias("_more"))
         out = out.join(sums, "document_id", "left").withColumn("fields", F.when(F.col("_more").isNotNull(), F.map_concat("fields", "_more")).otherwise(F.col("fields"))).drop("_more")
     return out
 
@@ -207,7 +222,11 @@ def rule_outcomes(records: DataFrame, rules: list[TypeRule], level: str = "heade
     own = [r for r in rules if r.level == level]
     made = [F.when(F.col("document_type") == r.document_type, F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.kind).alias("kind"), F.lit(r.severity).alias("severity"), KINDS[r.kind][0](r).cast(OUTCOME).alias("said"))) for r in own]
     kind = f"array<struct<rule_id:string,kind:string,severity:string,said:{OUTCOME}>>"
-    return records.withColumn("outcomes", F.array_compact(F.array(*made)).cast(kind) if made else F.array().cast(kind))
+    if not made:
+        return records.withColumn("outcomes", F.array().cast(kind))
+    # a generator keeps the fields that were read from being read again in each rule
+    held = records.select("*", F.inline(F.array(F.struct(_read("fields", [n for r in own for n in r.fields]).alias("_f")))))
+    return held.withColumn("outcomes", F.array_compact(F.array(*made)).cast(kind)).drop("_f")
 
 
 def failing(outcomes: DataFrame) -> DataFrame:

@@ -34,14 +34,14 @@ def test_pairs(spark):
         pairs = list(zip(a, b)) + [(x, x) for x in a[:20]] + [("100", "100.5"), ("1000000000000000000000", "1000000000000000000001"), ("-5", "5")]
         df = spark.createDataFrame(pairs, "l string, r string")
         l, r = F.col("l"), F.col("r")
-        rows = df.select("l", "r", D.difference(l, r).alias("d"), D.within(l, r, "0.5").alias("near"), D.within(l, r, "0.005", True).alias("relative"), D.within(l, r, "1234567890123.000000000000001", True).alias("wide"), D.scaled(l, "12345678901.5").alias("times"), D.product(l, r).alias("product"), (D.order_key(l) < D.order_key(r)).alias("less"), (D.order_key(l) == D.order_key(r)).alias("same")).collect()
+        rows = df.select("l", "r", D.difference(l, r).alias("d"), D.within(l, r, "0.5").alias("near"), D.within(l, r, "0.005", True).alias("relative"), D.within(l, r, "1234567890123.000000000000001", True).alias("wide"), D.scaled(l, "12345678901.5").alias("times"), D.product(l, r).alias("product"), D.added([(False, l), (True, r), (False, F.lit("0.5")), (True, l), (False, r), (True, r)]).alias("added"), (D.order_key(l) < D.order_key(r)).alias("less"), (D.order_key(l) == D.order_key(r)).alias("same")).collect()
         for x in rows:
             p, q = exact(x.l), exact(x.r)
             assert x.d == plain(q - p), x
             assert (x.less, x.same) == (p < q, p == q), x
             assert x.near == (abs(q - p) <= Decimal("0.5")) and x.relative == (abs(q - p) <= Decimal("0.005") * max(abs(p), abs(q))), x
             assert x.wide == (abs(q - p) <= Decimal("1234567890123.000000000000001") * max(abs(p), abs(q)))
-            assert x.product == plain(p * q), x
+            assert x.product == plain(p * q) and exact(x.added) == Decimal("0.5") - q, x
             assert exact(x.times) == abs(p) * Decimal("12345678901.5"), x
 
 
