@@ -8,6 +8,8 @@ from ..functions import fields as X
 from ..operators import profiles as P
 from ..operators import reconcile as R
 from ..operators import type_rules as T
+from ..sinks.scratch import scratch
+from ..sources import byte_ranges as B
 from ..operators import workflow as W
 from .queries import _INV, _PO, invoices, orders, table
 
@@ -200,3 +202,16 @@ def type_rule_failures(spark, sf):
 @query("SELECT 'PO-' || l_orderkey AS document_id, 'DIFFERENCE:' || CAST(CAST(l_extendedprice AS DECIMAL(18,2)) - CAST(CAST(l_quantity AS DECIMAL(10,2)) * CAST(p_retailprice AS DECIMAL(12,2)) AS DECIMAL(24,4)) AS VARCHAR) AS reason FROM lineitem JOIN part ON l_partkey = p_partkey WHERE CAST(l_extendedprice AS DECIMAL(18,2)) <> CAST(l_quantity AS DECIMAL(10,2)) * CAST(p_retailprice AS DECIMAL(12,2))")
 def line_rule_failures(spark, sf):
     return T.failing(T.rule_outcomes(_purchase_lines(spark, sf), RULES, "line")).select("document_id", "reason")
+
+
+# -- binary files ------------------------------------------------------------------------------------------------------
+
+_NEEDLES = ("the", "password", "ü", "://")
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS needle, CAST(sum((length(text) - length(replace(text, '{n}', ''))) // {len(n)}) AS BIGINT) AS n FROM documents" for n in _NEEDLES))
+def range_scan(spark, sf):
+    path = scratch(spark, "texts")
+    table(spark, sf, "documents").where("text IS NOT NULL").select("text").write.text(path)
+    found = B.needle_counts(spark, path, _NEEDLES, range_bytes=100_000)
+    return found.select(F.explode("found").alias("needle", "n")).groupBy("needle").agg(F.sum("n").alias("n"))

@@ -20,6 +20,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.fields import directory_id
 from ..operators import content as C
+from ..sources.byte_ranges import file_marks
 
 CELL, ROWS = 32_767, 1_048_575  # limits of a sheet: characters of a cell, rows under the header
 
@@ -58,7 +59,11 @@ def publish(datasets: dict[str, DataFrame], path: str, kind: str = "parquet", om
                 fs.delete(_fs(spark, f"{staged}/{name}")[1], True)
                 continue
             rows.append((name, n, mark, df.schema.json()))
-        spark.createDataFrame(rows, "name string, n_rows long, content_mark string, schema string").coalesce(1).write.json(f"{staged}/manifest")
+        files = part_files(spark, staged)
+        files.write.json(f"{staged}/manifest-files")
+        written = spark.read.schema(files.schema).json(f"{staged}/manifest-files")
+        roots = written.groupBy("name").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("file", "size", "mark")))), 256).alias("root"))  # a few numbers for each part file
+        spark.createDataFrame(rows, "name string, n_rows long, content_mark string, schema string").join(roots, "name", "left").coalesce(1).write.json(f"{staged}/manifest")
         if not fs.rename(_fs(spark, staged)[1], target):
             raise OSError(f"{path} can't be published")
     except BaseException:
@@ -66,6 +71,29 @@ def publish(datasets: dict[str, DataFrame], path: str, kind: str = "parquet", om
         raise
 
 
+def part_files(spark: SparkSession, path: str) -> DataFrame:
+    """name (of the dataset), file, size, mark of each part file of a package: SHA-256 over those of its ranges, read by as many tasks as there are ranges."""
+    marks = file_marks(spark, path).where("state = 'STABLE'")
+    parts = F.split("path", "/")
+    return marks.select(F.element_at(parts, -2).alias("name"), F.element_at(parts, -1).alias("file"), "size", "mark").where(F.startswith("file", F.lit("part-")) & ~F.col("name").isin("manifest", "manifest-files"))
+
+
+def changed_files(spark: SparkSession, path: str) -> DataFrame:
+    """name, file, change (CHANGED, MISSING or ADDED) of the part files of a package that are not those of its manifest; a changed byte names its file."""
+    kind = "name string, file string, size long, mark string"
+    told = spark.read.schema(kind).json(f"{path}/manifest-files").select("name", "file", F.struct("size", "mark").alias("told"))
+    now = part_files(spark, path).select("name", "file", F.struct("size", "mark").alias("now"))
+    change = F.when(F.col("told").isNull(), "ADDED").when(F.col("now").isNull(), "MISSING").when(F.col("told") != F.col("now"), "CHANGED")
+    return told.join(now, ["name", "file"], "full").select("name", "file", change.alias("change")).where("change IS NOT NULL")
+
+
+def verified(spark: SparkSession, path: str) -> bool:
+    """Whether each dataset's root follows from the files that are there, so that neither they nor the list of them was changed apart."""
+    roots = part_files(spark, path).groupBy("name").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("file", "size", "mark")))), 256).alias("now"))
+    told = spark.read.schema("name string, n_rows long, root string").json(f"{path}/manifest")
+    return told.join(roots, "name", "full").where("NOT (root <=> now)").isEmpty()
+
+
 def published_differences(spark: SparkSession, path: str, kind: str = "parquet") -> list[str]:
     """Names of datasets of a package whose rows are not those of its manifest."""
     out = []
