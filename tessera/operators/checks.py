@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sinks.scratch import scratch
+from .ordered import numbered
+
 
 def business_duplicates(invoices: DataFrame) -> DataFrame:
     """number, kind, n: invoices that agree in number, vendor, currency and amount (DUPLICATE), and numbers that several vendors use (COLLISION)."""
@@ -60,8 +63,36 @@ def candidate_pairs(left: DataFrame, right: DataFrame, keys: list[tuple[str, str
     return best.select("left_id", "right_id", F.get(F.array(*[F.lit(s) for s in rank]), F.col("r")).alias("strength"))
 
 
-def version_edges(documents: DataFrame) -> DataFrame:
-    """earlier, later, relationship of documents (document_id, number, version, status, sha256): copies of one content are EXACT_DUPLICATE, a draft before a final one DRAFT_FINAL, else SUPERSEDED_BY; a chain, not all pairs."""
-    w = Window.partitionBy("number").orderBy("version", "document_id")
-    made = documents.withColumns({"_id": F.lag("document_id").over(w), "_sha": F.lag("sha256").over(w), "_status": F.lag("status").over(w)}).where("_id IS NOT NULL")
-    return made.select(F.col("_id").alias("earlier"), F.col("document_id").alias("later"), F.when(F.col("_sha") == F.col("sha256"), "EXACT_DUPLICATE").when((F.col("_status") == "DRAFT") & (F.col("status") == "FINAL"), "DRAFT_FINAL").otherwise("SUPERSEDED_BY").alias("relationship"))
+def version_edges(documents: DataFrame, pieces: int | None = None) -> DataFrame:
+    """earlier, later, relationship of documents (document_id, number, version, status, sha256): copies of one content are EXACT_DUPLICATE, a draft before a final one DRAFT_FINAL, else SUPERSEDED_BY; a chain, not all pairs.
+
+    Neighbours meet by (number, ordinal), so a number that many share is no single task."""
+    made = numbered(documents.where("number IS NOT NULL").select("document_id", "number", "version", "status", "sha256"), ["number"], ["version", "document_id"], "_i", pieces=pieces)
+    before = made.select("number", (F.col("_i") + 1).alias("_i"), F.col("document_id").alias("_id"), F.col("sha256").alias("_sha"), F.col("status").alias("_status"))
+    return made.join(before, ["number", "_i"]).select(F.col("_id").alias("earlier"), F.col("document_id").alias("later"), F.when(F.col("_sha") == F.col("sha256"), "EXACT_DUPLICATE").when((F.col("_status") == "DRAFT") & (F.col("status") == "FINAL"), "DRAFT_FINAL").otherwise("SUPERSEDED_BY").alias("relationship"))
+
+
+def version_chains(edges: DataFrame) -> DataFrame:
+    """document_id, current, steps, state of all documents in edges (earlier, later): where the chain of later versions ends, and how far it is.
+
+    state: CURRENT (no later one), SUPERSEDED, or CYCLE (the chain never ends: current and steps are null). Of several later versions the greatest id counts; an edge to
+    itself is a cycle. The ends are found by doubling, so rounds grow with the logarithm of the longest chain; each round is written to the shared folder.
+    """
+    good = edges.where("earlier IS NOT NULL AND later IS NOT NULL")
+    after = good.groupBy(F.col("earlier").alias("document_id")).agg(F.max("later").alias("at"))
+    known = good.select(F.explode(F.array("earlier", "later")).alias("document_id")).distinct().join(after, "document_id", "left")
+    known = _kept(known.select("document_id", F.coalesce("at", "document_id").alias("at"), F.col("at").isNotNull().cast("long").alias("steps"), F.col("at").isNull().alias("ended")))
+    rounds = max(1, known.count().bit_length())
+    for _ in range(rounds + 1):
+        onward = known.select(F.col("document_id").alias("at"), F.col("at").alias("_at"), F.col("steps").alias("_steps"), F.col("ended").alias("_ended"))
+        known = _kept(known.join(onward, "at").select("document_id", F.when(F.col("ended"), F.col("at")).otherwise(F.col("_at")).alias("at"), F.when(F.col("ended"), F.col("steps")).otherwise(F.col("steps") + F.col("_steps")).alias("steps"), (F.col("ended") | F.col("_ended")).alias("ended")))
+        if known.where("NOT ended").isEmpty():
+            break
+    # what goes on after more steps than there are documents goes round
+    return known.select("document_id", F.when(F.col("ended"), F.col("at")).alias("current"), F.when(F.col("ended"), F.col("steps")).alias("steps"), F.when(~F.col("ended"), "CYCLE").when(F.col("steps") == 0, "CURRENT").otherwise("SUPERSEDED").alias("state"))
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    path = scratch(df.sparkSession, "versions")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ordered import running
+
 from ..functions.fields import CONVERSION_MARKS, RAG_MARKS, markdown_escaped, table_cell
 
 
@@ -81,6 +83,12 @@ def running_bytes(members: DataFrame, most: int, each: int) -> DataFrame:
     return members.withColumn("bytes", F.sum("size").over(w)).withColumn("over", (F.col("bytes") > most) | (F.col("size") > each))
 
 
+def package_bytes(members: DataFrame, most: int, each: int, pieces: int | None = None) -> DataFrame:
+    """The same over a whole package: the bytes so far of all its members in the order of document and position."""
+    summed = running(members, ["document_id", "position", "size"], "size", "bytes", pieces)
+    return summed.withColumn("over", (F.col("bytes") > most) | (F.col("size") > each))
+
+
 def row_height(text: Column, width: int, line: float = 15.0, least: float = 30.0, most: float = 405.0) -> Column:
     """Height of a sheet's row: lines of ``width`` characters, within bounds."""
     lines = F.aggregate(F.split(F.coalesce(text, F.lit("")), "\n"), F.lit(0).cast("long"), lambda n, x: n + F.greatest(F.lit(1), F.ceil(F.length(x) / F.lit(width))))

@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.fields import formula_in_json, formula_like, inferred_type, kind_of, text_of
+from .ordered import numbered
 
 WRAPPER = ("raw_value", "normalized_value", "display_value", "data_type", "provenance", "human_review_required", "notes")
 DOCUMENT_KEYS = ("document_id", "record_id", "document_type", "role", "source_reference", "fields", "evidence_ids", "data_classification", "limitations")
@@ -98,13 +98,14 @@ def content_hashes(fields: DataFrame) -> DataFrame:
     return fields.groupBy("source", "document_id").agg(F.sha2(F.to_json(F.struct(F.first("document_type").alias("document_type"), F.array_sort(F.collect_list(F.struct("field_name", "raw_value"))).alias("fields"))), 256).alias("content_sha256"))
 
 
-def unique_ids(documents: DataFrame) -> DataFrame:
-    """document_id, with source_document_id the declared one: ids that several documents declare get a suffix from source, content hash and ordinal."""
-    w = Window.partitionBy("document_id").orderBy("source", "content_sha256")
-    n, i = F.count(F.lit(1)).over(Window.partitionBy("document_id")), F.row_number().over(w) - 1
-    basis = F.to_json(F.struct(F.col("content_sha256"), i.alias("ordinal"), F.col("source").alias("source_reference")))
-    made = F.when(n > 1, F.concat(F.substring("document_id", 1, 140), F.lit(".dup-"), F.substring(F.sha2(basis, 256), 1, 10))).otherwise(F.col("document_id"))
-    return documents.select("*", made.alias("_id")).withColumnRenamed("document_id", "source_document_id").withColumnRenamed("_id", "document_id")
+def unique_ids(documents: DataFrame, pieces: int | None = None) -> DataFrame:
+    """document_id, with source_document_id the declared one: ids that several documents declare get a suffix from source, content hash and ordinal.
+
+    Documents are numbered by pieces of their order, so an id that many declare is no single task."""
+    made = numbered(documents, ["document_id"], ["source", "content_sha256"], "_i", "_n", pieces)
+    basis = F.to_json(F.struct(F.col("content_sha256"), (F.col("_i") - 1).cast("int").alias("ordinal"), F.col("source").alias("source_reference")))
+    own = F.when(F.col("_n") > 1, F.concat(F.substring("document_id", 1, 140), F.lit(".dup-"), F.substring(F.sha2(basis, 256), 1, 10))).otherwise(F.col("document_id"))
+    return made.select(*documents.columns, own.alias("_id")).withColumnRenamed("document_id", "source_document_id").withColumnRenamed("_id", "document_id")
 
 
 def duplicate_issues(documents: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fields as X
+from ..operators import checks as K
+from ..operators import content as C
 from ..operators import profiles as P
 from ..operators import reconcile as R
 from ..operators import type_rules as T
@@ -215,3 +217,22 @@ def range_scan(spark, sf):
     table(spark, sf, "documents").where("text IS NOT NULL").select("text").write.text(path)
     found = B.needle_counts(spark, path, _NEEDLES, range_bytes=100_000)
     return found.select(F.explode("found").alias("needle", "n")).groupBy("needle").agg(F.sum("n").alias("n"))
+
+
+# -- order over whole tables and hot groups ----------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, CAST(sum(strlen(text)) OVER (ORDER BY source, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS bytes, strlen(text) > 20000 OR sum(strlen(text)) OVER (ORDER BY source, doc_id ROWS UNBOUNDED PRECEDING) > 1000000 AS over FROM documents")
+def package_bytes(spark, sf):
+    members = table(spark, sf, "documents").select(F.col("source").alias("document_id"), F.col("doc_id").alias("position"), F.octet_length("text").cast("long").alias("size"))
+    return C.package_bytes(members, 1_000_000, 20_000).select(F.col("position").alias("doc_id"), "bytes", "over")
+
+
+_CHAINS = "SELECT o_orderkey AS k, o_orderkey // 7 AS b, (SELECT max(o_orderkey) FROM orders) AS m FROM orders"
+
+
+@query(f"SELECT k AS document_id, CASE WHEN c THEN NULL ELSE least(b * 7 + 6, m) END AS current, CASE WHEN c THEN NULL ELSE least(b * 7 + 6, m) - k END AS steps, CASE WHEN c THEN 'CYCLE' WHEN least(b * 7 + 6, m) = k THEN 'CURRENT' ELSE 'SUPERSEDED' END AS state FROM (SELECT *, b % 5 = 0 AND b * 7 + 6 <= m AS c FROM ({_CHAINS})) WHERE NOT (k = m AND k % 7 = 0)")
+def version_chains(spark, sf):
+    keys = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))
+    onward = keys.where("k % 7 < 6").select(F.col("k").alias("earlier"), (F.col("k") + 1).alias("later")).join(keys.select(F.col("k").alias("later")), "later", "left_semi").select("earlier", "later")
+    return K.version_chains(onward.unionByName(keys.where("k % 35 = 6").select(F.col("k").alias("earlier"), (F.col("k") - 6).alias("later"))))
