@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.fields import formula_in_json, formula_like, inferred_type, kind_of, text_of
 from .ordered import numbered
 
+#: The members of a field's wrapper and of a document.
 WRAPPER = ("raw_value", "normalized_value", "display_value", "data_type", "provenance", "human_review_required", "notes")
 DOCUMENT_KEYS = ("document_id", "record_id", "document_type", "role", "source_reference", "fields", "evidence_ids", "data_classification", "limitations")
 IDENTIFIER = r"^[A-Za-z0-9][A-Za-z0-9._:-]*$"
@@ -53,19 +54,29 @@ def documents_of(payloads: DataFrame) -> DataFrame:
 
 
 def package_documents(payloads: DataFrame) -> DataFrame:
-    """Documents of extraction packages: inventory items with the extracted fields of their id (none: an empty map) as wrappers."""
+    """Documents of extraction packages: inventory items with the extracted fields of their id (none: an empty map) as wrappers, with provenance, review flag and notes.
+
+    Of a field that is extracted twice the last in the package's order stands. A source with a malformed field record has the issue MALFORMED_FIELD on all its
+    documents, an item without a classification MALFORMED_ITEM."""
     v = F.col("value")
+    get = lambda x, path, kind="variant": F.try_variant_get(x, f"$.{path}", kind)
     some = payloads.where(payload_shape(v) == "PACKAGE")
-    items = some.select("source", F.posexplode(F.try_variant_get(v, "$.document_inventory", "array<variant>")).alias("ordinal", "d")).select(
-        "source", "ordinal", F.try_variant_get("d", "$.document_id", "string").alias("document_id"), F.try_variant_get("d", "$.classification.document_type", "string").alias("document_type"))
-    fields = some.select("source", F.explode(F.try_variant_get(v, "$.extracted_fields", "array<variant>")).alias("f")).select(
-        "source", F.try_variant_get("f", "$.document_id", "string").alias("document_id"), F.try_variant_get("f", "$.field_name", "string").alias("name"),
-        F.parse_json(F.to_json(F.struct(*[F.try_variant_get("f", f"$.values.{k}", "variant").alias(k) for k in WRAPPER[:3]], F.coalesce(F.try_variant_get("f", "$.data_type", "string"), F.lit("TEXT")).alias("data_type"),
-                                        F.coalesce(F.try_variant_get("f", "$.human_review.required", "boolean"), F.lit(False)).alias("human_review_required")))).alias("wrapper"))
-    # a field that is extracted twice: the last in the package's order can't be told after a shuffle, so the greatest text stands
-    one = fields.groupBy("source", "document_id", "name").agg(F.max(F.to_json("wrapper")).alias("w"))
+    texts = lambda path, other: F.coalesce(get("d", path, "array<string>"), other)
+    none = F.array().cast("array<string>")
+    items = some.select("source", F.posexplode(get(v, "document_inventory", "array<variant>")).alias("ordinal", "d")).select(
+        "source", "ordinal", get("d", "document_id", "string").alias("document_id"), get("d", "classification.document_type", "string").alias("document_type"), (kind_of(get("d", "classification")) == "OBJECT").alias("_whole"),
+        texts("evidence_ids", none).alias("evidence_ids"), texts("data_classification", F.array(F.lit("UNKNOWN"))).alias("data_classification"))
+    text = lambda path: F.when(kind_of(get("f", path)) == "STRING", get("f", path, "string"))
+    wrapper = F.to_json(F.struct(*[get("f", f"values.{k}").alias(k) for k in WRAPPER[:3]], F.coalesce(get("f", "data_type", "string"), F.lit("TEXT")).alias("data_type"),
+                                 F.struct(*[get("f", f"provenance.{k}").alias(k) for k in ("source_page", "source_region", "bounding_box", "source_snippet")]).alias("provenance"),
+                                 F.coalesce(get("f", "human_review.required", "boolean"), F.lit(False)).alias("human_review_required"), F.coalesce(get("f", "notes", "array<string>"), none).alias("notes")))
+    fields = some.select("source", F.posexplode(get(v, "extracted_fields", "array<variant>")).alias("position", "f")).select("source", "position", text("document_id").alias("document_id"), text("field_name").alias("name"), wrapper.alias("wrapper"))
+    broken = fields.where("document_id IS NULL OR name IS NULL").select("source").distinct().withColumn("_broken", F.lit(True))
+    one = fields.where("document_id IS NOT NULL AND name IS NOT NULL").groupBy("source", "document_id", "name").agg(F.max_by("wrapper", "position").alias("w"))
     grouped = one.groupBy("source", "document_id").agg(F.map_from_entries(F.collect_list(F.struct("name", F.parse_json("w").alias("wrapper")))).alias("fields"))
-    return items.join(grouped, ["source", "document_id"], "left").select("source", "ordinal", "document_id", "document_type", F.lit(None).cast("string").alias("role_hint"), F.lit(None).cast("string").alias("declared_source"), "fields", F.lit(None).cast("string").alias("issue"))
+    issue = F.when(F.col("_broken"), "MALFORMED_FIELD").when(~F.coalesce("_whole", F.lit(False)), "MALFORMED_ITEM")
+    return items.join(grouped, ["source", "document_id"], "left").join(broken, "source", "left").select(
+        "source", "ordinal", "document_id", "document_type", F.lit(None).cast("string").alias("role_hint"), F.lit(None).cast("string").alias("declared_source"), F.coalesce("fields", F.create_map().cast("map<string,variant>")).alias("fields"), issue.alias("issue"), "evidence_ids", "data_classification")
 
 
 def field_rows(documents: DataFrame) -> DataFrame:

@@ -60,15 +60,20 @@ def parsed_documents(spark, sf):
     return W.documents_of(payloads(spark, sf)).select("source", "ordinal", "document_id", "issue")
 
 
+def _documents(spark, sf):
+    """Every document; the second of a collection, which declares the same id, gets one of its own."""
+    docs = W.documents_of(payloads(spark, sf)).where("issue IS NULL")
+    return docs.withColumn("document_id", F.when(F.col("ordinal") > 0, F.concat_ws("#", "document_id", "ordinal")).otherwise(F.col("document_id")))
+
+
 def _fields(spark, sf):
-    docs = W.documents_of(payloads(spark, sf)).where("issue IS NULL AND ordinal = 0")
-    return W.field_rows(docs)
+    return W.field_rows(_documents(spark, sf))
 
 
-_FIELDS = f"""SELECT 'PO-' || o_orderkey AS document_id, t.* FROM orders, LATERAL (VALUES
+_FIELDS = f"""SELECT 'PO-' || o_orderkey || CASE WHEN i > 0 THEN '#1' ELSE '' END AS document_id, t.* FROM orders, (VALUES (0), (1)) o(i), LATERAL (VALUES
  ('po_number', CAST(o_orderkey AS VARCHAR), 'IDENTIFIER', false, 'structured-json:po_number'), ('total_amount', CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR), 'CURRENCY_AMOUNT', false, 'structured-json:total_amount'),
  ('urgent', CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'false' END, 'BOOLEAN', false, 'structured-json:urgent'), ('tags', '["a","=b"]', 'LIST', true, 'structured-json:tags'),
- ('priority', CASE WHEN o_orderkey % 5 <> 0 THEN 'n' WHEN o_orderkey % 3 = 0 THEN '=cmd' ELSE 'x' END, 'TEXT', o_orderkey % 3 = 0, 'structured-json:priority')) t(field_name, effective_value, data_type, formula_injection_flag, source_region) WHERE o_orderkey % 4 < 3 AND {_GOOD}"""
+ ('priority', CASE WHEN o_orderkey % 5 <> 0 THEN 'n' WHEN o_orderkey % 3 = 0 THEN '=cmd' ELSE 'x' END, 'TEXT', o_orderkey % 3 = 0, 'structured-json:priority')) t(field_name, effective_value, data_type, formula_injection_flag, source_region) WHERE o_orderkey % 4 < 3 AND (i = 0 OR o_orderkey % 4 = 0) AND {_GOOD}"""
 
 
 @query(_FIELDS)
@@ -83,13 +88,13 @@ def field_dictionary(spark, sf):
 
 @query(f"SELECT 'PO' AS role, document_id AS record_id, field_name, effective_value, CASE field_name WHEN 'priority' THEN '4' ELSE 'NOT_APPLICABLE' END AS source_page, 'ev-' || substr(sha256(document_id), 1, 24) AS evidence_id FROM ({_FIELDS})")
 def role_field_sheet(spark, sf):
-    docs = W.documents_of(payloads(spark, sf)).where("issue IS NULL AND ordinal = 0").select("document_id", F.lit("PO").alias("role"), F.col("document_id").alias("source_document_id"))
+    docs = _documents(spark, sf).select("document_id", F.lit("PO").alias("role"), F.col("document_id").alias("source_document_id"))
     return W.role_field_sheet(_fields(spark, sf), docs).select("role", "record_id", "field_name", "effective_value", "source_page", "evidence_id")
 
 
 @query(f"SELECT document_id AS record_id, string_agg(field_name || '=' || effective_value, '|' ORDER BY field_name) AS fields FROM ({_FIELDS}) GROUP BY 1")
 def mapped_records(spark, sf):
-    docs = W.documents_of(payloads(spark, sf)).where("issue IS NULL AND ordinal = 0").select("document_id", F.lit("PO").alias("role"), "document_type", "source")
+    docs = _documents(spark, sf).select("document_id", F.lit("PO").alias("role"), "document_type", "source")
     made = W.record_map(_fields(spark, sf), docs)
     return made.select("record_id", F.array_join(F.transform(F.array_sort(F.map_entries("fields")), lambda e: F.concat_ws("=", e["key"], e["value"])), "|").alias("fields"))
 
@@ -101,14 +106,17 @@ def mapped_paths(spark, sf):
     return table(spark, sf, "orders").withColumn("m", m).select("o_orderkey", P.mapped_value(F.col("m"), "a").alias("flat"), P.mapped_value(F.col("m"), "b.c.d").alias("nested"), P.mapped_value(F.col("m"), "x.y").alias("literal"))
 
 
-@query("SELECT r_name AS source, n_name AS document_id, 'NATION' AS document_type, CASE WHEN n_nationkey % 3 > 0 THEN n_name END AS name, CASE WHEN n_nationkey % 3 > 0 THEN 'IDENTIFIER' END AS data_type FROM region JOIN nation ON n_regionkey = r_regionkey")
+@query("SELECT r_name AS source, n_name AS document_id, 'NATION' AS document_type, CASE WHEN n_nationkey % 3 > 0 THEN n_name END AS name, CASE WHEN n_nationkey % 3 > 0 THEN 'IDENTIFIER' END AS data_type, CASE WHEN n_nationkey % 3 > 0 THEN 'p' || n_nationkey END AS page, CASE WHEN n_nationkey % 3 > 0 THEN 'a,b' END AS notes, CASE WHEN r_regionkey = 4 THEN 'MALFORMED_FIELD' WHEN n_nationkey % 7 = 0 THEN 'MALFORMED_ITEM' END AS issue FROM region JOIN nation ON n_regionkey = r_regionkey")
 def package_documents(spark, sf):
-    item = F.struct(F.col("n_name").alias("document_id"), F.struct(F.lit("NATION").alias("document_type")).alias("classification"))
-    field = F.when(F.col("n_nationkey") % 3 > 0, F.struct(F.col("n_name").alias("document_id"), F.lit("name").alias("field_name"), F.lit("IDENTIFIER").alias("data_type"), F.struct(F.col("n_name").alias("raw_value")).alias("values")))
+    # of two records of a field the last stands; region 4 has one without a name, some items lack a classification
+    field = lambda value: F.struct(F.col("n_name").alias("document_id"), F.when((F.col("n_regionkey") < 4) | (F.length(value) > 1), "name").alias("field_name"), F.lit("IDENTIFIER").alias("data_type"), F.struct(value.alias("raw_value")).alias("values"), F.struct(F.concat(F.lit("p"), "n_nationkey").alias("source_page")).alias("provenance"), F.array(F.lit("a"), F.lit("b")).alias("notes"))
+    item = F.struct(F.col("n_name").alias("document_id"), F.when(F.col("n_nationkey") % 7 != 0, F.struct(F.lit("NATION").alias("document_type"))).alias("classification"))
+    fields = F.when(F.col("n_nationkey") % 3 > 0, F.array(field(F.lit("x")), field(F.col("n_name")))).otherwise(F.array().cast("array<struct<document_id:string,field_name:string,data_type:string,values:struct<raw_value:string>,provenance:struct<source_page:string>,notes:array<string>>>"))
     joined = table(spark, sf, "region").join(table(spark, sf, "nation"), F.col("n_regionkey") == F.col("r_regionkey"))
-    packs = joined.groupBy(F.col("r_name").alias("source")).agg(F.to_json(F.struct(F.collect_list(item).alias("document_inventory"), F.collect_list(field).alias("extracted_fields"))).alias("text"))
+    packs = joined.groupBy(F.col("r_name").alias("source")).agg(F.to_json(F.struct(F.collect_list(item).alias("document_inventory"), F.flatten(F.collect_list(fields)).alias("extracted_fields"))).alias("text"))
     docs = W.package_documents(packs.select("source", F.parse_json("text").alias("value")))
-    return docs.select("source", "document_id", "document_type", W.text_of(F.try_variant_get(F.try_element_at("fields", F.lit("name")), "$.raw_value", "variant")).alias("name"), F.try_variant_get(F.try_element_at("fields", F.lit("name")), "$.data_type", "string").alias("data_type"))
+    get = lambda path, kind="string": F.try_variant_get(F.try_element_at("fields", F.lit("name")), f"$.{path}", kind)
+    return docs.select("source", "document_id", F.coalesce("document_type", F.lit("NATION")).alias("document_type"), get("raw_value").alias("name"), get("data_type").alias("data_type"), get("provenance.source_page").alias("page"), F.array_join(get("notes", "array<string>"), ",").alias("notes"), "issue")
 
 
 @query("SELECT 'f' || o_orderkey AS source, CAST(i AS INTEGER) AS ordinal, CAST(o_orderkey + i AS BIGINT) AS k FROM orders, (VALUES (0), (1)) t(i) WHERE i = 0 OR o_orderkey % 3 < 2")
