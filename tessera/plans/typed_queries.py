@@ -9,6 +9,7 @@ from ..operators import checks as K
 from ..operators import content as C
 from ..operators import profiles as P
 from ..operators import reconcile as R
+from ..operators import slides as S
 from ..operators import type_rules as T
 from ..sinks.scratch import scratch
 from ..sources import byte_ranges as B
@@ -236,3 +237,29 @@ def version_chains(spark, sf):
     keys = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))
     onward = keys.where("k % 7 < 6").select(F.col("k").alias("earlier"), (F.col("k") + 1).alias("later")).join(keys.select(F.col("k").alias("later")), "later", "left_semi").select("earlier", "later")
     return K.version_chains(onward.unionByName(keys.where("k % 35 = 6").select(F.col("k").alias("earlier"), (F.col("k") - 6).alias("later"))))
+
+
+# -- slides ------------------------------------------------------------------------------------------------------------
+
+_TOP, _BOTTOM, _GAP, _ROW = 300_000, 6_558_000, 120_000, 350_000
+_BLOCKS = """SELECT conv_id, turn, CASE WHEN turn % 5 = 0 THEN 'HEADING' WHEN turn % 5 = 3 THEN 'TABLE' WHEN turn % 5 = 4 THEN 'CAPTION' ELSE 'PARAGRAPH' END AS kind, CASE WHEN turn % 5 = 3 THEN NULL ELSE concat(repeat(text, CAST(1 + turn % 4 * 12 AS INT)), CASE WHEN turn % 2 = 0 THEN chr(10) ELSE '' END) END AS text, CAST(CASE WHEN turn % 5 = 3 THEN length(text) % 70 END AS INT) AS n_rows FROM conversations"""
+
+
+def _measured(kind: str, a, b, c, d) -> str:
+    return f"CASE {kind} WHEN 'HEADING' THEN {a} WHEN 'PARAGRAPH' THEN {b} WHEN 'CAPTION' THEN {c} ELSE {d} END"
+
+
+@query(f"""WITH RECURSIVE m AS (SELECT *, {_measured('kind', 58, 105, 120, 1)} AS per, {_measured('kind', 430_000, 285_000, 240_000, _ROW)} AS lh, {_measured('kind', 100_000, 90_000, 80_000, _ROW)} AS pad FROM ({_BLOCKS})),
+ b AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, kind, lh, pad, kind = 'TABLE' AS tab, coalesce(n_rows, CAST(list_sum(list_transform(string_split(text, chr(10)), lambda x: greatest(1, CAST(ceil(length(x) / per) AS BIGINT)))) AS BIGINT)) AS n, coalesce(text LIKE '%' || chr(10), false) AS tail FROM m WHERE kind = 'TABLE' OR text <> ''),
+ f AS (SELECT conv_id, CAST(1 AS BIGINT) AS i, CAST(0 AS BIGINT) AS piece, CAST(n AS BIGINT) AS rest, CAST(1 AS BIGINT) AS slide, CAST({_TOP} AS BIGINT) AS y, false AS filled, CAST(NULL AS BIGINT) AS e_turn, CAST(0 AS BIGINT) AS e_piece, CAST(0 AS BIGINT) AS e_slide, CAST(0 AS BIGINT) AS e_y, CAST(0 AS BIGINT) AS e_units, CAST(0 AS BIGINT) AS e_height FROM b WHERE i = 1
+ UNION ALL SELECT conv_id, i + CAST(done AS INT), CASE WHEN done THEN 0 ELSE piece + 1 END, CASE WHEN done THEN coalesce(next_n, 0) ELSE rest - take END, s2 + CASE WHEN done THEN 0 ELSE 1 END, CASE WHEN done THEN y2 + h + {_GAP} ELSE {_TOP} END, done, turn, piece, s2, y2, take, h FROM (
+ SELECT *, rest - take <= 0 OR (NOT tab AND rest - take = 1 AND tail) AS done, pad + CASE WHEN tab THEN take ELSE greatest(take, 1) END * lh AS h FROM (
+ SELECT *, least(rest, greatest(CASE WHEN tab THEN ({_BOTTOM} - y2) // {_ROW} - 1 ELSE ({_BOTTOM} - y2 - pad) // lh END, 0)) AS take FROM (
+ SELECT *, s1 + CAST(moved AND filled1 AS INT) AS s2, CASE WHEN moved THEN {_TOP} ELSE y1 END AS y2 FROM (
+ SELECT *, CASE WHEN tab AND rest = 0 THEN {_BOTTOM} - y1 < {_ROW} WHEN tab THEN ({_BOTTOM} - y1) // {_ROW} - 1 < 1 ELSE ({_BOTTOM} - y1 - pad) // lh < 1 END AS moved FROM (
+ SELECT f.conv_id, f.i, f.piece, f.rest, b.turn, b.tab, b.tail, b.lh, b.pad, nb.n AS next_n, f.slide + CAST(b.kind = 'HEADING' AND f.piece = 0 AND f.filled AS INT) AS s1, CASE WHEN b.kind = 'HEADING' AND f.piece = 0 AND f.filled THEN {_TOP} ELSE f.y END AS y1, f.filled AND NOT (b.kind = 'HEADING' AND f.piece = 0) AS filled1
+ FROM f JOIN b ON b.conv_id = f.conv_id AND b.i = f.i LEFT JOIN b nb ON nb.conv_id = f.conv_id AND nb.i = f.i + 1))))))
+ SELECT conv_id AS document_id, e_turn AS reading_order, e_piece AS piece, e_slide AS slide, e_units AS units, e_y AS y, e_height AS height FROM f WHERE e_turn IS NOT NULL""")
+def slide_pieces(spark, sf):
+    blocks = spark.sql(_BLOCKS.replace("FROM conversations", "FROM {turns}"), turns=table(spark, sf, "conversations")).select(F.col("conv_id").alias("document_id"), F.col("turn").alias("reading_order"), F.col("kind").alias("block_type"), "text", "n_rows", F.lit(None).cast("int").alias("height"))
+    return S.slide_pieces(blocks).select("document_id", "reading_order", "piece", "slide", "units", "y", "height")
