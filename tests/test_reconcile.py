@@ -51,7 +51,9 @@ def test_keyed_and_all_pairs_link_alike(spark):
     links = [sorted(map(tuple, R.links_of(R.resolved(R.pairs_of(left, right, rule, pairs=p), rule)).select("left_id", "right_id", "status").collect())) for p in ("keyed", "all")]
     assert links[0] == links[1]
     with pytest.raises(ValueError):
-        R.pairs_of(left, right, R.Rule("r", (amount(),), max_pairs=3))
+        R.pairs_of(left, right, R.Rule("r", (amount(),), max_pairs=3), "all")
+    with pytest.raises(ValueError):  # no text key and no band
+        R.pairs_of(left, right, R.Rule("r", (R.Component("amount", "amount", "amount", "DECIMAL_RELATIVE", tolerance="0.1"),), max_pairs=3))
 
 
 def test_fields(spark):
