@@ -42,7 +42,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from .common import shared_folder, table
 from .packing import default_tokenizer, encoder
 
-FRAME_IDS, FILE_IDS, LEVEL = 65_536, 1 << 26, 3
+FRAME_IDS, FILE_IDS, LEVEL, REMEMBER = 65_536, 1 << 26, 3, 400_000
 # Fixed values of the public formats: zstandard's skippable frames and its seekable format.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEKABLE_MAGIC, CHECKSUM_FLAG = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 _FOOTER = struct.Struct("<IBI")
@@ -165,6 +165,7 @@ class OneFile(InputPartition):
 class TokenWriter(DataSourceArrowWriter):
     def __init__(self, options: dict[str, str], overwrite: bool):
         self.path, self.overwrite = options["path"].rstrip("/"), overwrite
+        self.tokenizer, self.remember = options.get("tokenizer"), int(options.get("remember", REMEMBER))
         self.frame_ids, self.file_ids, self.level = int(options.get("frame_ids", FRAME_IDS)), int(options.get("file_ids", FILE_IDS)), int(options.get("level", LEVEL))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
@@ -176,14 +177,16 @@ class TokenWriter(DataSourceArrowWriter):
             own.close()
             files.append({"name": name, "documents": len(own.docs), "ids": own.ids, "frames": len(own.frames), "first": _plain(own.docs[0]), "last": _plain(own.docs[-1])})
 
-        written = 0
+        written, encode = 0, encoder(self.tokenizer, self.remember) if self.tokenizer else None
         for batch in iterator:
-            ids = batch.column("ids")
-            for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
+            if encode:
+                found = (x.tobytes() for x in encode.batch([t or "" for t in batch.column("text").to_pylist()]))
+            else:
+                found = (x.as_py() for x in batch.column("ids"))
+            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), found, strict=True):
                 if own is None:
                     name, written = f"part-{part:06d}-{len(files):04d}-{uuid.uuid4().hex}.ids.zst", 0
                     own = FrameWriter(fs.open_output_stream(f"{root}/{name}", compression=None), batch.column("doc_id").type, self.frame_ids, self.level)
-                raw = ids[i].as_py()
                 own.add(doc_id, raw)
                 written += len(raw)
                 if written >= 4 * self.file_ids:
@@ -252,7 +255,7 @@ class TokenReader(DataSourceReader):
 
 
 class TokenFiles(DataSource):
-    """``token_files``: options path, frame_ids, file_ids, level (writing); path, content = ids, digest or index, doc_id = its type (reading)."""
+    """``token_files``: options path, frame_ids, file_ids, level and, for rows with texts instead of ids, tokenizer and remember (writing); path, content = ids, digest or index, doc_id = its type (reading)."""
 
     @classmethod
     def name(cls) -> str:
@@ -275,11 +278,15 @@ def manifest(path: str) -> dict[str, Any]:
         return json.loads(f.read())
 
 
-def encoded(docs: DataFrame, tokenizer: str | None = None, partitions: int | None = None, remember: int = 400_000) -> DataFrame:
-    """doc_id and ids (with the end id), in ascending doc_id order over the partitions and inside each one; ties in the input's order."""
-    path, kind = tokenizer or default_tokenizer(), docs.schema["doc_id"].dataType.simpleString()
+def in_order(docs: DataFrame, partitions: int | None = None) -> DataFrame:
+    """doc_id and text in ascending doc_id order over the partitions and inside each one; ties in the input's order."""
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row")).repartitionByRange(n, "doc_id", "_row").sortWithinPartitions("doc_id", "_row")
+    return docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row")).repartitionByRange(n, "doc_id", "_row").sortWithinPartitions("doc_id", "_row").select("doc_id", "text")
+
+
+def encoded(docs: DataFrame, tokenizer: str | None = None, partitions: int | None = None, remember: int = REMEMBER) -> DataFrame:
+    """doc_id and ids (with the end id) in this order."""
+    path, kind = tokenizer or default_tokenizer(), docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, remember)
@@ -289,7 +296,7 @@ def encoded(docs: DataFrame, tokenizer: str | None = None, partitions: int | Non
                 ids = [x.tobytes() for x in encode.batch([t or "" for t in part.column("text").to_pylist()])]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
-    return dealt.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary")
+    return in_order(docs, partitions).mapInArrow(run, f"doc_id {kind}, ids binary")
 
 
 def write_tokens(rows: DataFrame, path: str, frame_ids: int = FRAME_IDS, file_ids: int = FILE_IDS) -> None:
@@ -298,6 +305,13 @@ def write_tokens(rows: DataFrame, path: str, frame_ids: int = FRAME_IDS, file_id
     rows.select("doc_id", "ids").write.format("token_files").mode("append").options(frame_ids=frame_ids, file_ids=file_ids).save(path)
 
 
+def write_texts(docs: DataFrame, path: str, tokenizer: str | None = None, partitions: int | None = None, remember: int = REMEMBER, frame_ids: int = FRAME_IDS, file_ids: int = FILE_IDS) -> None:
+    """Writes the ids of texts in ascending doc_id order; the writing tasks encode, so ids go straight to their frames."""
+    docs.sparkSession.dataSource.register(TokenFiles)
+    rows = in_order(docs, partitions).write.format("token_files").mode("append")
+    rows.options(frame_ids=frame_ids, file_ids=file_ids, tokenizer=tokenizer or default_tokenizer(), remember=remember).save(path)
+
+
 def read_tokens(spark: SparkSession, path: str, content: str = "ids", doc_id: str = "long") -> DataFrame:
     """doc_id, start, n_tokens and, by ``content``, ids, ids_crc32 (digest) or file and at (index)."""
     spark.dataSource.register(TokenFiles)
@@ -325,5 +339,5 @@ def fetch(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
     path = f"{shared_folder(spark)}/tessera-token-files-{uuid.uuid4().hex}"
-    write_tokens(encoded(table(spark, sf_dir, "documents")), path)
+    write_texts(table(spark, sf_dir, "documents"), path)
     return read_tokens(spark, path, "digest")

@@ -90,6 +90,8 @@ def test_odd_rows_and_fetch(spark, tokenizer, tmp_path):
     want = [(None, "no id"), (-1, "first word " * 30_000), (3, None), (3, ""), (3, "twice"), (3, "twice"), (9, "last")]
     assert [(r.doc_id, r.ids) for r in got] == [(i, ids_of(tokenizer, t)) for i, t in want]
     assert [r.start for r in got] == np.cumsum([0] + [len(r.ids) // 4 for r in got[:-1]]).tolist()
+    T.write_texts(docs, f"{path}-texts", partitions=2, frame_ids=4096)
+    assert T.read_tokens(spark, f"{path}-texts").orderBy("start").collect() == got
     some = T.fetch(spark, path, spark.createDataFrame([(3,), (9,), (3,), (77,)], "doc_id long")).orderBy("start").collect()
     assert [(r.doc_id, r.ids) for r in some] == [(r.doc_id, r.ids) for r in got if r.doc_id in (3, 9)]
 
