@@ -1,14 +1,16 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
 Candidates are key-like strings found by a few patterns (vendor keys, private-key headers, JSON web tokens,
-assignments to words such as password or token, long random-looking runs). Each gets features: length, character
+dotted keys, bearer and basic credentials, passwords in addresses, assignments to words such as password or token, long
+random-looking runs). Each gets features: length, character
 classes and transitions, entropy, likelihood of its letter pairs, how much of it dictionary words cover, whether it
 looks like a path, a UUID, a placeholder or a repeated pattern, and which words stand next to it. A random forest
 trained from labelled findings tells secrets from the rest. The findings and the forest are bounded by parameters
 (``max_findings`` rows, ``trees`` x 2^``depth`` nodes), so the model is sent with the tasks.
 
-``labelled_findings`` gives findings of known label made from a seed: keys drawn at random in their formats, and
-hashes, ids, paths, placeholders and words that only look like keys. Findings of one's own can be given instead.
+``labelled_findings`` gives findings of known label made from a seed: keys drawn at random in their formats, passwords as
+people make them (joined or doubled words, words with digits and signs), and hashes, ids, paths, host names, placeholders,
+code and plain words that only look like keys. Findings of one's own can be given instead.
 
 One pass over the documents without a shuffle. Edge cases: null or empty text has no candidates; repeated rows are
 scanned on their own; overlapping candidates: the first pattern in order, then the leftmost, wins; other columns stay
@@ -46,17 +48,24 @@ PATTERNS = (
     ("api_key", re.compile(r"\b(?:sk|pk|rk)[-_](?:live[-_]|test[-_]|proj[-_])?[A-Za-z0-9]{16,}+\b")),
     ("google_key", re.compile(r"\bAIza[0-9A-Za-z_-]{35,}+")),
     ("jwt", re.compile(r"\beyJ[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)?")),
+    ("dotted_key", re.compile(r"(?<![\w./-])[A-Za-z0-9_-]{2,}+\.[A-Za-z0-9_-]{6,}+\.[A-Za-z0-9_-]{24,}+(?![\w.-])")),
+    ("bearer_token", re.compile(r"(?i)\b(?:bearer|basic)\s{1,3}([A-Za-z0-9._~+/-]{12,}+=*+)")),
+    ("url_password", re.compile(r"://[^\s:/?#@\"'<>]*+:([^\s/@\"'<>]{3,}+)@")),
     ("assigned", re.compile(r"(?i)\b(?:[a-z0-9_]{0,24}?)(?:password|passwd|pwd|secret|token|api_?-?key|access_?-?key|auth|credential)s?[\"']?\s{0,3}(?:=|:|:=|=>)\s{0,3}[\"']?([^\s\"',;<>]{6,}+)")),
     ("random_run", re.compile(r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{24,}+={0,2}(?![A-Za-z0-9+/_=-])")),
 )
 KINDS = tuple(dict.fromkeys(k for k, _ in PATTERNS))
 #: One cheap look tells whether a text can hold a candidate at all.
-GATE = re.compile(r"(?i)AKIA|ASIA|gh[pousr]_|xox[abprs]-|[sr]k[-_]|pk[-_]|AIza|eyJ|PRIVATE KEY|passw|pwd|secret|token|api_?-?key|access_?-?key|auth|credential|[a-z0-9+/_=-]{24}")
+GATE = re.compile(r"(?i)AKIA|ASIA|gh[pousr]_|xox[abprs]-|[sr]k[-_]|pk[-_]|AIza|eyJ|PRIVATE KEY|passw|pwd|secret|token|api_?-?key|access_?-?key|auth|credential|bearer|basic|://[^\s:/?#@\"'<>]*+:[^\s/@\"'<>]{3,}+@|[a-z0-9+/_=-]{24}")
 HINTS = ("password", "passwd", "pwd", "secret", "token", "key", "auth", "credential", "aws", "api")
 HARMLESS = ("sha", "md5", "hash", "checksum", "commit", "uuid", "guid", "etag", "digest", "version", "build", "example", "sample", "test", "id", "url", "path", "file", "class", "color")
 WORDS = ("password", "secret", "token", "example", "sample", "test", "change", "changeme", "your", "here", "insert", "dummy", "default", "admin", "user", "value", "none", "null", "true", "false",
          "config", "local", "host", "service", "index", "image", "static", "module", "class", "name", "file", "path", "data", "key", "string", "number", "placeholder", "todo", "redacted", "hidden", "the", "and", "for", "with", "that", "this",
          "api", "env", "get", "process", "self", "request", "response", "session", "login", "license", "version", "build", "main", "master", "branch", "http", "https", "www", "com", "org")
+#: Everyday words of which made-up passwords and prose are put together.
+EVERYDAY = ("apple bridge candle dragon eagle forest garden hammer island jungle kettle ladder market needle orange pencil quiet rocket silver thunder umbrella violet "
+            "window yellow zebra summer winter monday friday sunshine football guitar purple monkey cookie princess shadow master soccer flower cheese orchid basket copper "
+            "morning evening brother sister money house green black light stone water paper music planet tiger happy lucky crazy little strong").split()
 FEATURES = ("length", "digits", "uppers", "lowers", "others", "transitions", "entropy", "distinct", "pair_score", "dictionary", "vowels", "path", "uuid", "hexadecimal", "placeholder", "repeats", "hint_near", "harmless_near", "quoted", "assigned", "kind")
 _HINT, _HARMLESS = re.compile("|".join(HINTS)), re.compile(rf"\b(?:{'|'.join(HARMLESS)})\b")
 _DICT = re.compile("|".join(sorted(WORDS, key=len, reverse=True)))
@@ -103,21 +112,46 @@ def features(value: str, before: str, after: str, kind: str) -> list[float]:
     ]
 
 
-def labelled_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, str, str, str, int]]:
+def labelled_findings(n: int = 6000, seed: int = 7) -> list[tuple[str, str, str, str, int]]:
     """(value, text before, text after, kind, 1 for a secret) made from a seed, as many of each label."""
     r = np.random.default_rng(seed)
     draw = lambda alphabet, k: "".join(r.choice(list(alphabet), k))
     pick = lambda xs: xs[int(r.integers(len(xs)))]
     filler = lambda: " ".join("".join(r.choice(list("etaoinshrdlu"), int(r.integers(2, 8)))) for _ in range(int(r.integers(2, 7))))
     hexa, alnum = "0123456789abcdef", string.ascii_letters + string.digits
-    long_words = [w for w in WORDS if len(w) > 2]
+    long_words, pairs = [w for w in WORDS if len(w) > 2], sorted(_COMMON_PAIRS)
     word = lambda: pick(long_words)
+    natural = lambda low, high: "".join(pick(pairs) for _ in range(int(r.integers(low, high))))
+    everyday = lambda low, high: natural(low, high) if r.integers(3) == 0 else pick(EVERYDAY)
+
+    def human() -> str:
+        """A password as people make them."""
+        k = int(r.integers(5))
+        if k == 0:
+            return (everyday(2, 5) + str(r.integers(1, 1000))) * 2
+        if k == 1:
+            return "".join(everyday(3, 5) for _ in range(int(r.integers(4, 7))))
+        if k == 2:
+            return everyday(3, 6).title() + str(r.integers(1, 10_000)) + pick(["!", "#", "?", "", "$"])
+        if k == 3:
+            return pick(["-", "_", "."]).join([everyday(2, 5), everyday(2, 5), str(r.integers(10, 10_000))])
+        return everyday(2, 4).title() + pick("@$3!0") + natural(1, 3) + str(r.integers(1, 1000)) + pick(["!", "", "Pw"])
+
     out = []
     for i in range(n):
         a, b = filler() + " ", " " + filler()
         if i % 2:
-            k = int(r.integers(15))
-            if k >= 12:
+            k = int(r.integers(21))
+            if k >= 19:
+                name, q = pick(["password", "passwd", "pwd", "secret", "db_password"]), pick(["", '"', "'"])
+                out.append((human(), a + name + pick(["=", " = ", ": "]) + q, q + b, "assigned", 1))
+            elif k == 18:
+                out.append((pick([human(), draw(alnum + "!$%^*-_", int(r.integers(6, 25)))]), a + pick(["postgres", "mysql", "https", "amqp", "redis"]) + "://" + pick([word(), natural(1, 4), ""]) + ":", "@" + natural(1, 4) + b, "url_password", 1))
+            elif k == 17:
+                out.append((pick(["SG." + draw(alnum, 22) + "." + draw(alnum + "_-", 43), draw(alnum, 24) + "." + draw(alnum, 6) + "." + draw(alnum + "-_", int(r.integers(27, 41)))]), a + pick(["", "key ", "token "]), b, "dotted_key", 1))
+            elif k >= 15:
+                out.append((draw(pick([hexa, alnum, alnum + "-_", alnum + "._-", string.ascii_lowercase + string.digits]), int(r.integers(16, 81))) + pick(["", "", "=="]), a + pick(["Authorization: Bearer ", "bearer ", "Authorization: Basic ", '"Bearer ', "Bearer "]), pick([b, '"' + b]), "bearer_token", 1))
+            elif k >= 12:
                 # a key of its own: nothing near says what it is
                 key = draw(pick([alnum, alnum, alnum + "+/", alnum + "_-"]), int(r.integers(24, 129)) if k < 14 else int(r.integers(24, 60)))
                 out.append((key[:4] + "7" + key[4:] + "aQ" + pick(["", "", "=", "=="]), a + pick(["", "", "key ", "use "]), b, "random_run", 1))
@@ -138,8 +172,20 @@ def labelled_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, str, str,
                 value = pick([draw(hexa, int(r.integers(10, 25))), draw(hexa, int(r.integers(16, 65))), draw(alnum, int(r.integers(10, 41))), draw(alnum + "!@%^*+-", int(r.integers(10, 25)))])
                 out.append((value, a + name + pick(["=", " = ", ": "]) + q, q + b, "assigned", 1))
         else:
-            k = int(r.integers(13))
-            if k >= 9:
+            k = int(r.integers(19))
+            if k >= 17:
+                # prose and code behind a word such as secret
+                name = pick(["password", "secret", "token", "credentials", "auth"])
+                code = pick(["self." + name, "get_" + name + "()", natural(2, 4) + "." + name, "request.form[" + name, name + "_" + word(), "user" + name.title(), "String", "None)", "null}", "getenv(" + name.upper() + ")"])
+                out.append((pick([code, everyday(3, 8), everyday(3, 8), everyday(3, 7).title(), everyday(3, 7) + "."]), a + name + pick(["=", " = ", ": "]), b, "assigned", 0))
+            elif k == 16:
+                many = [natural(2, 5) for _ in range(int(r.integers(6, 10)))]
+                out.append((pick(["www", "com", "org", "v2", word()]) + "." + natural(3, 6) + "." + pick(["-", "_", ""]).join(many), a, b, "dotted_key", 0))
+            elif k == 15:
+                out.append((pick(["password", "pass", "xxxxxx", "secret", "${PASS}", "$PASSWORD", "changeme", "********", "your-password", "example", "{password}"]), a + pick(["postgres", "mysql", "https", "amqp", "redis"]) + "://" + pick(["user", "admin", "${USER}", "username", natural(1, 4)]) + ":", "@" + natural(1, 4) + b, "url_password", 0))
+            elif k >= 13:
+                out.append((pick([natural(6, 11), natural(6, 11), natural(3, 6) + "-" + natural(3, 6), natural(3, 6) + "/" + natural(3, 6), natural(6, 9) + ".", "YOUR_ACCESS_TOKEN", "your-token-here", "xxxxxxxxxxxxxxxx"]), a + pick(["bearer ", "basic ", "Basic ", "Bearer "]), b, "bearer_token", 0))
+            elif k >= 9:
                 # names and paths of mixed case, dates and dotted or long lower-case ids
                 many = [word() for _ in range(int(r.integers(5, 9)))]
                 camel = many[0] + "".join(w.title() for w in many[1:]) + str(r.integers(1, 100))
@@ -161,7 +207,7 @@ def labelled_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, str, str,
                 name, q = pick(["password", "secret", "token", "api_key"]), pick(["", '"', "'"])
                 out.append((pick(["changeme", "your-password-here", "xxxxxxxxxxxx", "<password>", "${PASSWORD}", "example-token", "********", "placeholder123", "os.environ.get", "config.secret_value", "None-value", "REDACTED"]), a + name + pick(["=", ": "]) + q, q + b, "assigned", 0))
             elif k == 6:
-                out.append((filler().replace(" ", "")[:24], a + pick(["token: ", "secret: ", "password: "]), b, "assigned", 0))
+                out.append((filler().replace(" ", "")[:14], a + pick(["token: ", "secret: ", "password: "]), b, "assigned", 0))
             elif k == 7:
                 out.append((pick(["ghp_", "sk-", "sk_test_"]) + pick(["x" * 36, "example" * 6, "your" * 9, "abcdef1234567890" * 3])[:36], a, b, pick(["github_token", "api_key"]), 0))
             else:
@@ -223,7 +269,7 @@ def forest_scores(forest, x: np.ndarray) -> np.ndarray:
     return total / max(1, len(forest))
 
 
-def trained(findings=None, max_findings: int = 4000, **forest):
+def trained(findings=None, max_findings: int = 6000, **forest):
     rows = list(labelled_findings() if findings is None else findings)[:max_findings]
     x = np.array([features(*row[:4]) for row in rows])
     return train_forest(x, np.array([row[4] for row in rows], float), **forest)
