@@ -4,7 +4,8 @@ Each rule is a boolean expression over the row that rejects a document; it compu
 sample the cost of each rule (seconds a row, net of what a job takes anyway) and its selectivity (share of rows it rejects)
 are measured; rules are then ordered by rejections per cost and evaluated as one CASE, so that the figures of a later rule
 are not computed for a document that an earlier one rejects. The order changes the time and the name in ``rejected_by``,
-never the verdict.
+never the verdict. Figures that are wanted for every row anyway are given as ``figures``: they are computed once, before
+the cascade, and rules read them as columns (``default_rules(counted=True)``); costs are then those of the rules alone.
 
 Counts are computed inside the row, over whole texts: no shuffle, join or UDF. Repeated windows are found by sorting
 the hashes (64 bits) of a text's windows; memory is linear in one text.
@@ -77,32 +78,41 @@ def with_counts(docs: DataFrame) -> DataFrame:
     return made.select(*[F.col(f"`{c}`") for c in own], f"{name}.n_words", f"{name}.word_chars", "n_symbols", "n_dup_lines", f"{name}.n_repeat_words")
 
 
-def default_rules() -> list[Rule]:
-    """Rules over the column ``text`` alone."""
+def default_rules(counted: bool = False) -> list[Rule]:
+    """Rules over the column ``text`` alone, or over it and the columns of ``with_counts``, with the same verdicts."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    n = F.size(words_of(text))
-    chars = F.length(F.regexp_replace(text, SPACE, ""))
+    if counted:
+        n, chars, symbols, doubled = (F.col(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines"))
+        windows = 100 * F.col("n_repeat_words") > 30 * n
+    else:
+        n = F.size(words_of(text))
+        chars = F.length(F.regexp_replace(text, SPACE, ""))
+        symbols, doubled = F.length(F.regexp_replace(text, SYMBOLS, "")), repeated_lines(text)
+        windows = let(words_of(text), lambda w: 100 * repeated_words(w) > 30 * F.size(w))
     letters = F.length(F.regexp_replace(text, r"[\x00-\x40\x5B-\x60\x7B-\x7F]+", ""))
     upper = F.length(F.regexp_replace(text, "[^A-Z]+", ""))
     return [
         Rule("few_words", n < 20),
-        Rule("repeated_windows", let(words_of(text), lambda w: 100 * repeated_words(w) > 30 * F.size(w))),
-        Rule("symbols", F.length(F.regexp_replace(text, SYMBOLS, "")) * 4 > n),
+        Rule("repeated_windows", windows),
+        Rule("symbols", symbols * 4 > n),
         Rule("short_words", chars < 2 * n),
         Rule("long_words", chars > 25 * n),
-        Rule("duplicate_lines", repeated_lines(text) * 2 > F.size(F.split(text, "\n"))),
+        Rule("duplicate_lines", doubled * 2 > F.size(F.split(text, "\n"))),
         Rule("few_letters", letters * 2 < chars),
         Rule("shouting", upper * 2 > letters),
         Rule("no_letters", ~F.rlike(text, F.lit(r"[A-Za-z\x80-\x{10FFFF}]"))),
     ]
 
 
-def ordered_rules(docs: DataFrame, rules: list[Rule], sample_rows: int = 200, times: int = 8) -> list[tuple[Rule, float, float]]:
-    """Rules by rejections per cost on ``sample_rows`` random rows, each evaluated ``times`` times: (rule, seconds a row, share rejected), best first."""
-    sample = docs.orderBy(F.rand(17)).limit(sample_rows).cache()
+def ordered_rules(docs: DataFrame, rules: list[Rule], sample_rows: int = 200, times: int = 8, figures: Callable[[DataFrame], DataFrame] | None = None) -> list[tuple[Rule, float, float]]:
+    """Rules by rejections per cost on ``sample_rows`` random rows, each evaluated ``times`` times: (rule, seconds a row, share rejected), best first.
+    ``figures`` adds the columns that the rules read, to the sample alone."""
+    # kept before its figures are added: a projection moved below the limit would turn the top rows into a sort of all
+    drawn = docs.orderBy(F.rand(17)).limit(sample_rows).cache()
+    sample = figures(drawn).cache() if figures else drawn
     try:
         n = max(1, sample.count())
-        many = sample.withColumn("_" * (1 + max(map(len, docs.columns))), F.explode(F.sequence(F.lit(1), F.lit(times))))
+        many = sample.withColumn("_" * (1 + max(map(len, sample.columns))), F.explode(F.sequence(F.lit(1), F.lit(times))))
 
         def took(*wanted: Column) -> tuple[float, int]:
             best, got = float("inf"), 0
@@ -116,19 +126,21 @@ def ordered_rules(docs: DataFrame, rules: list[Rule], sample_rows: int = 200, ti
         found = [(r, max(1e-8, (s - idle) / (n * times)), hits / (n * times)) for r in rules for s, hits in [took(r.rejects)]]
     finally:
         sample.unpersist()
+        drawn.unpersist()
     return sorted(found, key=lambda x: (-x[2] / x[1], x[1], x[0].name))
 
 
-def cascade(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = 200) -> DataFrame:
-    """Adds ``rejected_by``: the first rule, in the measured order, that rejects the row; null for rows that pass."""
+def cascade(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = 200, figures: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Adds ``rejected_by``: the first rule, in the measured order, that rejects the row; null for rows that pass.
+    ``figures`` adds columns for every row, once, before the rules that read them."""
     verdict = F.lit(None).cast("string")
-    for rule, _, _ in reversed(ordered_rules(docs, default_rules() if rules is None else rules, sample_rows)):
+    for rule, _, _ in reversed(ordered_rules(docs, default_rules() if rules is None else rules, sample_rows, figures=figures)):
         verdict = F.when(rule.rejects, rule.name).otherwise(verdict)
-    return docs.withColumn("rejected_by", verdict)
+    return (figures(docs) if figures else docs).withColumn("rejected_by", verdict)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = with_counts(cascade(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    judged = cascade(table(spark, sf_dir, "documents").select("doc_id", "text"), default_rules(counted=True), figures=with_counts)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return judged.select("doc_id", *COUNTS, failed.alias("base_failed"), F.col("rejected_by").isNull().alias("kept"))
 
