@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sinks.scratch import scratch
+from ..sinks.scratch import kept
 from .ordered import numbered
 
 
@@ -81,18 +81,12 @@ def version_chains(edges: DataFrame) -> DataFrame:
     good = edges.where("earlier IS NOT NULL AND later IS NOT NULL")
     after = good.groupBy(F.col("earlier").alias("document_id")).agg(F.max("later").alias("at"))
     known = good.select(F.explode(F.array("earlier", "later")).alias("document_id")).distinct().join(after, "document_id", "left")
-    known = _kept(known.select("document_id", F.coalesce("at", "document_id").alias("at"), F.col("at").isNotNull().cast("long").alias("steps"), F.col("at").isNull().alias("ended")))
+    known = kept(known.select("document_id", F.coalesce("at", "document_id").alias("at"), F.col("at").isNotNull().cast("long").alias("steps"), F.col("at").isNull().alias("ended")), "versions")
     rounds = max(1, known.count().bit_length())
     for _ in range(rounds + 1):
         onward = known.select(F.col("document_id").alias("at"), F.col("at").alias("_at"), F.col("steps").alias("_steps"), F.col("ended").alias("_ended"))
-        known = _kept(known.join(onward, "at").select("document_id", F.when(F.col("ended"), F.col("at")).otherwise(F.col("_at")).alias("at"), F.when(F.col("ended"), F.col("steps")).otherwise(F.col("steps") + F.col("_steps")).alias("steps"), (F.col("ended") | F.col("_ended")).alias("ended")))
+        known = kept(known.join(onward, "at").select("document_id", F.when(F.col("ended"), F.col("at")).otherwise(F.col("_at")).alias("at"), F.when(F.col("ended"), F.col("steps")).otherwise(F.col("steps") + F.col("_steps")).alias("steps"), (F.col("ended") | F.col("_ended")).alias("ended")), "versions")
         if known.where("NOT ended").isEmpty():
             break
     # what goes on after more steps than there are documents goes round
     return known.select("document_id", F.when(F.col("ended"), F.col("at")).alias("current"), F.when(F.col("ended"), F.col("steps")).alias("steps"), F.when(~F.col("ended"), "CYCLE").when(F.col("steps") == 0, "CURRENT").otherwise("SUPERSEDED").alias("state"))
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    path = scratch(df.sparkSession, "versions")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -15,6 +15,7 @@ from ..operators import registers as G
 from ..operators import validation as V
 from ..operators import workflow as W
 from ..sinks import office as O
+from ..sinks.scratch import kept
 from . import profile_queries as PQ
 from .queries import MONEY, PARTIAL, _LINES, _ONE_MANY, lines, orders, pairs
 
@@ -386,14 +387,14 @@ _ALLOCATED = f"{_ONE_MANY}, a AS (SELECT *, sum(CASE WHEN status = 'PARTIAL_MATC
 
 @query(f"{_ALLOCATED} SELECT left_id, right_id, CASE WHEN status = 'PARTIAL_MATCH' AND total > la THEN 'HUMAN_REVIEW_REQUIRED' ELSE status END AS status, CASE WHEN status = 'PARTIAL_MATCH' AND total > la THEN 'PARTIAL_OVER_ALLOCATION' END AS reason_code FROM a")
 def demoted_links(spark, sf):
-    found = R.links_of(R.resolved(pairs(spark, sf, PARTIAL, lines), PARTIAL))
-    return R.demoted(found, R.allocations(found)).select("left_id", "right_id", "status", "reason_code")
+    found = kept(R.links_of(R.resolved(pairs(spark, sf, PARTIAL, lines), PARTIAL)).select("rule", "left_id", "right_id", "status", "partials"), "links")
+    return R.demoted(found, R.over_allocations(found)).select("left_id", "right_id", "status", "reason_code")
 
 
 @query(f"{_ALLOCATED} SELECT DISTINCT 'disc-' || substr(sha256('[\"PARTIAL_OVER_ALLOCATION\",\"po-lines\",\"amount\",\"' || left_id || '\"]'), 1, 24) AS discrepancy_id, left_id AS holder, 'PARTIAL_OVER_ALLOCATION' AS type FROM a WHERE status = 'PARTIAL_MATCH' AND total > la")
 def over_allocation_discrepancies(spark, sf):
-    found = R.links_of(R.resolved(pairs(spark, sf, PARTIAL, lines), PARTIAL))
-    return R.over_allocation_discrepancies(R.allocations(found)).select("discrepancy_id", "holder", "type")
+    found = kept(R.links_of(R.resolved(pairs(spark, sf, PARTIAL, lines), PARTIAL)).select("rule", "left_id", "right_id", "partials"), "links")
+    return R.over_allocation_discrepancies(R.over_allocations(found)).select("discrepancy_id", "holder", "type")
 
 
 @query(f"{_ONE_MANY} SELECT left_id AS left_record_id, right_id AS right_record_id, status AS pair_status, c.* FROM m, LATERAL (VALUES ('po_number', 'EXACT_MATCH', CAST(NULL AS VARCHAR)), ('amount', m.status, CAST(abs(m.ra - m.la) AS VARCHAR))) c(component_id, component_status, difference)")
