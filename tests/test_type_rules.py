@@ -51,3 +51,11 @@ def test_declarations_are_checked():
     for line in ("rule header x UNKNOWN HIGH a", "rule page x FORMAT HIGH a /b/", "rule header x FORMAT HIGH a", "rule header x MULTIPLICATION HIGH a b", "rule header x ARITHMETIC_SUM HIGH a b ~-1", "rule header x DATE_ORDER LOUD a b"):
         with pytest.raises(ValueError):
             T.load_rules(f"type X\n{line}")
+
+
+def test_narrow_and_wide_sums_and_products_tell_the_same_difference(spark):
+    rules = T.load_rules("type X\nrule header s ARITHMETIC_SUM LOW a -b total ~0.01\nrule header p MULTIPLICATION LOW a b total")
+    rows = [("1", "2.50", "0.50", "2.00"), ("2", "2.50", "0.50", "1.000"), ("3", "1" + "0" * 40, "1", "1" + "0" * 40), ("4", "-0.3", "0.3", "-0.600")]
+    df = spark.createDataFrame(rows, "document_id string, a string, b string, total string").select("document_id", F.lit("X").alias("document_type"), F.create_map(*[x for n in ("a", "b", "total") for x in (F.lit(n), F.parse_json(F.concat(F.lit('"'), n, F.lit('"'))))]).alias("fields"))
+    found = {(r.document_id, r.rule_id): r.reason for r in T.failing(T.rule_outcomes(df, rules)).collect()}
+    assert found == {("1", "p"): "DIFFERENCE:0.7500", ("2", "s"): "DIFFERENCE:-1.000", ("2", "p"): "DIFFERENCE:-0.2500", ("3", "s"): "DIFFERENCE:1", ("4", "p"): "DIFFERENCE:-0.510"}
