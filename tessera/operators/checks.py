@@ -76,17 +76,19 @@ def version_chains(edges: DataFrame) -> DataFrame:
     """document_id, current, steps, state of all documents in edges (earlier, later): where the chain of later versions ends, and how far it is.
 
     state: CURRENT (no later one), SUPERSEDED, or CYCLE (the chain never ends: current and steps are null). Of several later versions the greatest id counts; an edge to
-    itself is a cycle. The ends are found by doubling, so rounds grow with the logarithm of the longest chain; each round is written to the shared folder.
+    itself is a cycle. The ends are found by doubling, so rounds grow with the logarithm of the longest chain; a round moves and writes the documents alone whose end is not
+    known yet. A chain that ends has documents at each distance from its end, so each round but the last finds some: where one finds none, all that are left go round.
     """
     good = edges.where("earlier IS NOT NULL AND later IS NOT NULL")
     after = good.groupBy(F.col("earlier").alias("document_id")).agg(F.max("later").alias("at"))
     known = good.select(F.explode(F.array("earlier", "later")).alias("document_id")).distinct().join(after, "document_id", "left")
-    known = kept(known.select("document_id", F.coalesce("at", "document_id").alias("at"), F.col("at").isNotNull().cast("long").alias("steps"), F.col("at").isNull().alias("ended")), "versions")
-    rounds = max(1, known.count().bit_length())
-    for _ in range(rounds + 1):
-        onward = known.select(F.col("document_id").alias("at"), F.col("at").alias("_at"), F.col("steps").alias("_steps"), F.col("ended").alias("_ended"))
-        known = kept(known.join(onward, "at").select("document_id", F.when(F.col("ended"), F.col("at")).otherwise(F.col("_at")).alias("at"), F.when(F.col("ended"), F.col("steps")).otherwise(F.col("steps") + F.col("_steps")).alias("steps"), (F.col("ended") | F.col("_ended")).alias("ended")), "versions")
-        if known.where("NOT ended").isEmpty():
-            break
-    # what goes on after more steps than there are documents goes round
+    first = kept(known.select("document_id", F.coalesce("at", "document_id").alias("at"), F.col("at").isNotNull().cast("long").alias("steps"), F.col("at").isNull().alias("ended")), "versions")
+    ended, going = first.where("ended"), first.where("NOT ended")
+    left, before = going.count(), -1
+    while left and left != before:
+        onward = ended.unionByName(going).select(F.col("document_id").alias("at"), F.col("at").alias("_at"), F.col("steps").alias("_steps"), F.col("ended").alias("_ended"))
+        moved = kept(going.join(onward, "at").select("document_id", F.col("_at").alias("at"), (F.col("steps") + F.col("_steps")).alias("steps"), F.col("_ended").alias("ended")), "versions")
+        ended, going = ended.unionByName(moved.where("ended")), moved.where("NOT ended")
+        left, before = going.count(), left
+    known = ended.unionByName(going)
     return known.select("document_id", F.when(F.col("ended"), F.col("at")).alias("current"), F.when(F.col("ended"), F.col("steps")).alias("steps"), F.when(~F.col("ended"), "CYCLE").when(F.col("steps") == 0, "CURRENT").otherwise("SUPERSEDED").alias("state"))

@@ -74,3 +74,12 @@ def test_neighbours_of_versions(spark):
     for a, b in zip(rows, rows[1:200]):
         want[a[0], b[0]] = "EXACT_DUPLICATE" if a[4] == b[4] else "DRAFT_FINAL" if (a[3], b[3]) == ("DRAFT", "FINAL") else "SUPERSEDED_BY"
     assert got == want
+
+
+def test_version_chains_stop_where_only_cycles_are_left(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(K, "kept", lambda df, label, own=K.kept: written.append(own(df, label)) or written[-1])
+    edges = [("a", "b"), ("b", "c"), ("c", "d")] + [(f"x{i:04}", f"x{i ^ 1:04}") for i in range(2000)]
+    rows = {x.document_id: (x.current, x.steps, x.state) for x in K.version_chains(spark.createDataFrame(edges, "earlier string, later string")).collect()}
+    assert len(rows) == 2004 and rows["a"] == ("d", 3, "SUPERSEDED") and rows["b"] == ("d", 2, "SUPERSEDED") and rows["d"] == ("d", 0, "CURRENT") and rows["x0000"] == (None, None, "CYCLE")
+    assert len(written) == 4  # before: a round for each bit of the number of documents
