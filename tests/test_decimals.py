@@ -69,3 +69,11 @@ def test_aggregates(spark):
 def test_gate(spark):
     rows = spark.createDataFrame([("007",), (".5",), ("1.",), ("1e5",), ("+1.5",), ("9" * 10_001,), (None,), ("NaN",)], "v string").select(D.is_decimal(F.col("v")).alias("ok"), D.order_key(F.col("v")).isNotNull().alias("key")).collect()
     assert [x.ok for x in rows] == [False, False, False, False, True, False, False, False] == [x.key for x in rows]
+
+
+def test_sums_by_place_are_hashed_and_do_not_sort_texts(spark):
+    rows = spark.createDataFrame([("a", "1" + "0" * 40), ("a", "-2.5"), ("a", "x"), (None, "3")], "g string, v string")
+    made = D.exact_aggregates(rows, ["g"], "v")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "SortAggregate" in x and "_place" in x]
+    assert {tuple(x) for x in made.collect()} == {("a", str(10**40 - 3) + ".5", 3, "-2.5", "1" + "0" * 40), (None, "3", 1, "3", "3")}
