@@ -59,21 +59,24 @@ def register_errors(records: DataFrame, register: str, record: str = "record") -
     return records.select(_as(v, first, "string").alias("id"), F.explode(found).alias("error")).unionByName(repeated)
 
 
+#: What is read of a page. A recogniser's output is cast to it in one go: a call for each member costs far more, as tasks of an executor hinder each other in it.
+_REGION = "struct<text:string, bounding_box:struct<x:double, y:double, width:double, height:double, coordinate_system:string>, confidence:struct<score:variant, band:string>"
+OUTPUT = f"struct<input_document_id:string, pages:array<struct<page_number:int, words:array<{_REGION}>>, lines:array<{_REGION}>>, regions:array<{_REGION}>>, tables:array<struct<table_id:string, cells:array<{_REGION}, row:int, column:int>>>>>>>"
+
+
 def adapter_rows(outputs: DataFrame, output: str = "output") -> DataFrame:
     """document_id, page, kind (WORD, LINE, REGION, CELL), position, table_id, row, column, text, x, y, width, height, coordinate_system, confidence of
-    what adapters read on pages: members of a page's lists in their order, from 0; a box that is null has no coordinates."""
-    v = F.col(f"`{output}`")
-    part = lambda x, path, kind="variant": F.try_variant_get(x, f"$.{path}", kind)
-    pages = outputs.select(part(v, "input_document_id", "string").alias("document_id"), F.explode(part(v, "pages", "array<variant>")).alias("p"))
+    what adapters read on pages: members of a page's lists in their order, from 0; a box that is null has no coordinates, a member of another type is null."""
+    read = outputs.select(F.inline(F.array(F.try_variant_get(F.col(f"`{output}`"), "$", OUTPUT))))
+    pages = read.select(F.col("input_document_id").alias("document_id"), F.explode("pages").alias("p"))
     none = F.lit(None)
 
-    def regions(member: str, kind: str) -> Column:
-        return F.transform(part(F.col("p"), member, "array<variant>"), lambda x, i: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("position"), none.cast("string").alias("table_id"), none.cast("int").alias("row"), none.cast("int").alias("column"), x.alias("v")))
+    def rows(items: Column, kind: str, cell: bool = False, table_id: Column = none) -> Column:
+        own = lambda x, name: (x[name] if cell else none.cast("int")).alias(name)
+        return F.transform(items, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("position"), table_id.cast("string").alias("table_id"), own(x, "row"), own(x, "column"), x["text"].alias("text"), x["bounding_box"].alias("box"), x["confidence"].alias("confidence")))
 
-    cells = F.flatten(F.transform(part(F.col("p"), "tables", "array<variant>"), lambda t: F.transform(part(t, "cells", "array<variant>"), lambda x, i: F.struct(
-        F.lit("CELL").alias("kind"), i.cast("int").alias("position"), part(t, "table_id", "string").alias("table_id"), part(x, "row", "int").alias("row"), part(x, "column", "int").alias("column"), x.alias("v")))))
-    lists = [F.coalesce(x, F.array()) for x in (regions("words", "WORD"), regions("lines", "LINE"), regions("regions", "REGION"), cells)]
-    flat = pages.select("document_id", part(F.col("p"), "page_number", "int").alias("page"), F.explode(F.concat(*lists)).alias("m"))
-    box = lambda name, kind: part(F.col("m.v"), f"bounding_box.{name}", kind).alias(name)
-    confidence = F.coalesce(text_of(part(F.col("m.v"), "confidence.score")), part(F.col("m.v"), "confidence.band", "string"), F.lit("UNKNOWN"))
-    return flat.select("document_id", "page", "m.kind", "m.position", "m.table_id", "m.row", "m.column", part(F.col("m.v"), "text", "string").alias("text"), *[box(n, "double") for n in ("x", "y", "width", "height")], box("coordinate_system", "string"), confidence.alias("confidence"))
+    cells = F.flatten(F.transform(F.col("p.tables"), lambda t: F.coalesce(rows(t["cells"], "CELL", True, t["table_id"]), F.array())))
+    lists = [F.coalesce(x, F.array()) for x in (rows(F.col("p.words"), "WORD"), rows(F.col("p.lines"), "LINE"), rows(F.col("p.regions"), "REGION"), cells)]
+    flat = pages.select("document_id", F.col("p.page_number").alias("page"), F.explode(F.concat(*lists)).alias("m"))
+    confidence = F.coalesce(text_of(F.col("m.confidence.score")), F.col("m.confidence.band"), F.lit("UNKNOWN"))
+    return flat.select("document_id", "page", "m.kind", "m.position", "m.table_id", "m.row", "m.column", "m.text", *[F.col(f"m.box.{n}").alias(n) for n in ("x", "y", "width", "height", "coordinate_system")], confidence.alias("confidence"))

@@ -33,3 +33,11 @@ def test_adapter_rows(spark):
     got = G.adapter_rows(variants(spark, [{"input_document_id": "d", "pages": [page, {"page_number": 3}]}, {"input_document_id": "e"}, None], "output")).collect()
     assert [(r.kind, r.position, r.text, r.x, r.confidence) for r in got] == [("WORD", 0, "a", 1.0, "0.5"), ("WORD", 1, "b", None, "LOW"), ("REGION", 0, "r", 1.0, "UNKNOWN"), ("CELL", 0, "c", None, "1")]
     assert {(r.document_id, r.page) for r in got} == {("d", 2)} and (got[3].table_id, got[3].row, got[3].column) == ("t", 0, 1)
+
+
+def test_a_table_without_cells_takes_no_others_with_it_and_members_are_read_in_one_go(spark):
+    page = {"page_number": "3", "words": [5, None, {"text": 7, "bounding_box": 5, "confidence": "HIGH"}], "tables": [{"table_id": "a"}, 5, {"table_id": "b", "cells": [{"row": "1", "text": "z"}, 7]}]}
+    made = G.adapter_rows(variants(spark, [{"input_document_id": "d", "pages": [page, None, 5]}], "output"))
+    got = [(r.page, r.kind, r.position, r.table_id, r.row, r.text, r.x, r.confidence) for r in made.collect()]
+    assert got == [(3, "WORD", 0, None, None, None, None, "UNKNOWN"), (3, "WORD", 1, None, None, None, None, "UNKNOWN"), (3, "WORD", 2, None, None, "7", None, "UNKNOWN"), (3, "CELL", 0, "b", 1, "z", None, "UNKNOWN"), (3, "CELL", 1, "b", None, None, None, "UNKNOWN")]
+    assert made.select("text", "x")._jdf.queryExecution().optimizedPlan().toString().count("variant_get(output") == 1
