@@ -24,3 +24,17 @@ def test_views_are_counted_in_one_pass(spark):
     one = lambda s: F.array(F.struct(F.lit("c").alias("component"), F.lit(s).alias("status"), F.lit("r").alias("reason"), F.lit("d").alias("difference")))
     rows = spark.range(5).select(F.col("id").cast("string").alias("reconciliation_id"), F.lit("r").alias("rule"), F.lit("l").alias("left_id"), F.lit("r").alias("right_id"), (F.col("id") > 1).alias("review_required"), F.when(F.col("id") > 2, one("CONFLICTING_MATCH")).otherwise(one("EXACT_MATCH")).alias("rule_results"))
     assert {r.view: r.n for r in R.view_counts(rows).collect()} == {v: R.output_view(rows, v).count() for v in ("full", "package", "discrepancies")}
+
+
+def test_views_of_results_are_counted_without_comparisons(spark):
+    p = PROFILES["INVENTORY_COUNT_BOOK_STOCK"]
+    rule = P.materialized(p)[0]
+    fields = lambda q, d: {"count_date": d, "as_of_date": d, "location_code": "L", "item_code": "i", "counted_quantity": q, "book_quantity": q, "unit": "EA"}
+    rows = [("c1", "INVENTORY_COUNT", fields("5", "2024-01-01")), ("b1", "BOOK_STOCK", fields("5", "2024-01-01")), ("b2", "BOOK_STOCK", fields("6", "2024-01-02")), ("b3", "BOOK_STOCK", fields("5", "2024-13-02"))]
+    records = spark.createDataFrame([(i, role, "", "s", f) for i, role, f in rows], "record_id string, role string, document_type string, source_reference string, fields map<string,string>")
+    made = P.run_profile(records, p)["pairs"]
+    results = R.result_rows(made.withColumn("reason", F.lit("")), None, rule, {"grain": p.grain})
+    counted = R.view_counts(results)
+    assert {r.view: r.n for r in counted.collect()} == {v: R.output_view(results, v).count() for v in ("full", "package", "discrepancies")} == {"full": 3, "package": 1, "discrepancies": 2}
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toJSON()
+    assert "DECIMAL_DIFFERENCE" in plan(results) and "DECIMAL_DIFFERENCE" not in plan(counted)
