@@ -155,6 +155,23 @@ def typed_record_map(fields: DataFrame, documents: DataFrame) -> DataFrame:
     return documents.where("role IS NOT NULL").join(maps, "document_id").select(F.col("document_id").alias("record_id"), "role", "document_type", "fields", F.col("source").alias("source_reference"))
 
 
+def unwrapped(v: Column) -> Column:
+    """A field's value as it is typed in JSON (as typed_value of field_rows): of a wrapper its normalized value, else its raw one; other values as they are."""
+    get = lambda k: F.try_variant_get(v, f"$.{k}", "variant")
+    keys = F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
+    wrapped = F.coalesce((kind_of(v) == "OBJECT") & F.arrays_overlap(keys, F.array(*map(F.lit, WRAPPER))), F.lit(False))
+    return F.when(wrapped, F.coalesce(F.when(text_of(get("normalized_value")).isNotNull(), get("normalized_value")), get("raw_value"))).otherwise(v)
+
+
+def typed_records_of(documents: DataFrame, role: str) -> DataFrame:
+    """typed_record_map of documents that all have one role and ids of their own, straight from their maps: no rows of fields, no shuffle and no second parse.
+
+    Maps stand behind generators, since each use of a field would make them again."""
+    own = held(documents.select("source", "document_id", "document_type", "fields"), {"_fields": F.col("fields")})
+    made = held(own.select("source", "document_id", "document_type", "_fields"), {"_typed": F.transform_values("_fields", lambda _, v: unwrapped(v))})
+    return made.select(F.col("document_id").alias("record_id"), F.lit(role).alias("role"), "document_type", F.col("_typed").alias("fields"), F.col("source").alias("source_reference"))
+
+
 def routed(request: dict) -> str:
     """The one task that a request asks for: conversion, rag or reconciliation."""
     asked = [k for k in ("conversion", "rag", "reconciliation") if request.get(k) is not None]
