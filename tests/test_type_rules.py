@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions.fields import strict_json
 from tessera.operators import type_rules as T
 
 RULES = """
@@ -59,3 +60,14 @@ def test_narrow_and_wide_sums_and_products_tell_the_same_difference(spark):
     df = spark.createDataFrame(rows, "document_id string, a string, b string, total string").select("document_id", F.lit("X").alias("document_type"), F.create_map(*[x for n in ("a", "b", "total") for x in (F.lit(n), F.parse_json(F.concat(F.lit('"'), n, F.lit('"'))))]).alias("fields"))
     found = {(r.document_id, r.rule_id): r.reason for r in T.failing(T.rule_outcomes(df, rules)).collect()}
     assert found == {("1", "p"): "DIFFERENCE:0.7500", ("2", "s"): "DIFFERENCE:-1.000", ("2", "p"): "DIFFERENCE:-0.2500", ("3", "s"): "DIFFERENCE:1", ("4", "p"): "DIFFERENCE:-0.510"}
+
+
+def test_outcomes_and_line_sums_are_made_once(spark):
+    rules = T.load_rules("type X\nrule header x.pages ARITHMETIC_SUM HIGH sum(page) r\nrule header x.order DATE_ORDER HIGH d e f\ntype Y\nrule header y.text IDENTIFIER_AS_TEXT HIGH r")
+    make = lambda rows: spark.createDataFrame(rows, "document_id string, document_type string, t string").select("document_id", "document_type", F.try_variant_get(strict_json(F.col("t")), "$", "map<string,variant>").alias("fields"))
+    documents = make([("a", "X", '{"r":"3","d":"2024-01-02","f":"2024-01-01"}'), ("b", "X", '{"r":"3","d":"2024-01-02","e":null}'), ("c", "Y", '{"r":3}'), ("d", None, '{"r":3}'), ("e", "X", '{"r":"3"} x')])
+    found = T.failing(T.rule_outcomes(T.with_line_sums(documents, make([("a", "X", '{"page":"1"}'), ("a", "X", '{"page":"+3.5"}'), ("b", "X", '{"page":"x"}'), ("b", "X", '{"page":3}'), ("e", "X", '{"page":"1"}')]), rules), rules))
+    assert {(r.document_id, r.rule_id): r.reason for r in found.collect()} == {("a", "x.pages"): "DIFFERENCE:-1.5", ("a", "x.order"): "DATES_OUT_OF_ORDER", ("c", "y.text"): "NOT_TEXT:r"}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("x.pages") == plan.count("y.text") == 1
+    assert plan.count("[page]") + plan.count(", page,") == 1 and plan.count('{"v":') == 2
