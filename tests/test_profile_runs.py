@@ -38,3 +38,36 @@ def test_views_of_results_are_counted_without_comparisons(spark):
     assert {r.view: r.n for r in counted.collect()} == {v: R.output_view(results, v).count() for v in ("full", "package", "discrepancies")} == {"full": 3, "package": 1, "discrepancies": 2}
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toJSON()
     assert "DECIMAL_DIFFERENCE" in plan(results) and "DECIMAL_DIFFERENCE" not in plan(counted)
+
+
+def test_links_are_counted_where_the_join_dealt_them_and_only_shared_holders_are_written(spark, monkeypatch):
+    p = PROFILES["CUSTOM_N_WAY"]
+    fields = lambda k, a, c="USD": {"reference_id": k, "amount": a, "currency": c}
+    rows = [("a1", "ROLE_A", fields("N1", "5")), ("a2", "ROLE_A", fields("N2", "5")), ("a3", "ROLE_A", fields("N2", "5")), ("a4", "ROLE_A", fields(None, "5")),
+            ("b1", "ROLE_B", fields("N1", "5")), ("b2", "ROLE_B", fields("N2", "5")), ("b3", "ROLE_B", fields("N1", "5", "EUR")), ("b4", "ROLE_B", fields(None, "5"))]
+    records = spark.createDataFrame([(i, role, "", "s", f) for i, role, f in rows], "record_id string, role string, document_type string, source_reference string, fields map<string,string>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        written = []
+        monkeypatch.setattr(P, "kept", lambda df, label: written.append(label) or df)
+        monkeypatch.setattr(R, "kept", lambda df, label: written.append(label) or df)
+        links = P.run_profile(records, p)["link_rows"]
+        plan = links._jdf.queryExecution().executedPlan().toString()
+        assert [(r.left_id, r.right_id, r.status) for r in links.collect()] == [("a1", "b1", "EXACT_MATCH")]
+        assert (plan.count("Exchange hashpartitioning"), plan.count("+- Window") + plan.count("   Window"), written) == (2, 2, [])
+        by_id = R.resolved(R.pairs_of(*[P.canonical_records(records, p, r) for r in p.roles.values()], P.materialized(p)[0], told=False), P.materialized(p)[0])
+        assert by_id.where("selected").count() == 1 and by_id.where("NOT selected").count() == 2
+        several = PROFILES["PR_PO"]
+        P.run_profile(records, several, overrides(several))["link_rows"]
+        assert written == ["links", "holders"]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_a_part_of_a_bounded_holder_is_never_over_allocated():
+    rule = lambda partial, cardinality: R.Rule("x", (), cardinality, partial=partial)
+    assert [c for c in R.BOUNDED if R.shares(rule("RIGHT_LESS_THAN_LEFT", c))] == ["ONE_TO_MANY", "MANY_TO_MANY"]
+    assert [c for c in R.BOUNDED if R.shares(rule("LEFT_LESS_THAN_RIGHT", c))] == ["MANY_TO_ONE", "MANY_TO_MANY"]
+    assert not any(R.shares(rule(partial, c)) for c in R.BOUNDED for partial in (None, "AGGREGATED_RIGHT_NOT_ABOVE_LEFT"))
