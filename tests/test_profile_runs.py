@@ -71,3 +71,22 @@ def test_a_part_of_a_bounded_holder_is_never_over_allocated():
     assert [c for c in R.BOUNDED if R.shares(rule("RIGHT_LESS_THAN_LEFT", c))] == ["ONE_TO_MANY", "MANY_TO_MANY"]
     assert [c for c in R.BOUNDED if R.shares(rule("LEFT_LESS_THAN_RIGHT", c))] == ["MANY_TO_ONE", "MANY_TO_MANY"]
     assert not any(R.shares(rule(partial, c)) for c in R.BOUNDED for partial in (None, "AGGREGATED_RIGHT_NOT_ABOVE_LEFT"))
+
+
+def test_records_that_several_rules_join_by_the_same_keys_are_dealt_once(spark):
+    p = PROFILES["PO_GRN_INVOICE"]
+    fields = lambda role, q: {s[-1]: {"quantity": q, "item_code": "i", "po_number": "N1", "currency": "USD"}.get(n) for n, s in p.roles[role].fields.items()}
+    rows = [(f"{role}-{q}", role, "", "s", fields(role, q)) for role, q in (("PO", "10"), ("GRN", "10"), ("INVOICE", "10"), ("INVOICE", "11"), ("GRN", None))]
+    rows.append(("INVOICE-EUR", "INVOICE", "", "s", fields("INVOICE", "12") | {p.roles["INVOICE"].fields["currency"][-1]: "EUR"}))
+    records = spark.createDataFrame(rows, "record_id string, role string, document_type string, source_reference string, fields map<string,string>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        links = P.run_profile(records, p)["link_rows"]
+        plan = links._jdf.queryExecution().executedPlan().toString()
+        again = plan.count("ReusedExchange")  # each names the exchange that it reads
+        assert (plan.count("Exchange hashpartitioning") - again, again) == (3, 3)
+        assert {(r.rule, r.left_id, r.right_id, r.status) for r in links.collect()} == {("po-to-grn", "PO-10", "GRN-10", "EXACT_MATCH"), ("po-to-invoice", "PO-10", "INVOICE-10", "EXACT_MATCH"), ("grn-to-invoice", "GRN-10", "INVOICE-10", "EXACT_MATCH")}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
